@@ -248,7 +248,8 @@ oracle("period_map", "zones stats_pre_process",
 oracle("period_pivot", "zones stats_pre_process",
        "SELECT time_period AS start_interval, " + ", ".join(
            f"max(case when system_id = 'op_{i}' then value end) AS op_{i}" for i in range(6))
-       + " FROM dense GROUP BY time_period", **_started("week"), dense=_DENSE)
+       + " FROM dense GROUP BY time_period",
+       **{**_started("week"), "facts": _facts("number_of_trip_started")}, dense=_DENSE)
 oracle("missing_days", "stats_pre_process",
        "SELECT date FROM calendar EXCEPT SELECT date FROM stats_pre_process "
        "WHERE stat_description = 'number_of_trips_ended'",

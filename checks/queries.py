@@ -13,7 +13,7 @@ from kerbline.model import TRIPS_ENDED, VEHICLES_AVAILABLE
 from kerbline.plans import access, detections, exports, feeds, park, rentals, report, series, statistics, trips, zones
 from kerbline.session import apply_runtime_conf, shared_dir
 from kerbline.sources import dimensions, sinks, tables
-from kerbline.sources.fixtures import INDEX_HORIZON, Fixtures
+from kerbline.sources.fixtures import INDEX_HORIZON, RAW_SCHEMAS, Fixtures
 from kerbline.streaming import streams
 
 POLYGON = ('{"type": "Polygon", "coordinates": [[[4.1, 50.1], [5.9, 50.2], [5.8, 52.3], [4.2, 52.2], [4.1, 50.1]]]}')
@@ -537,7 +537,7 @@ def audit_rows(t: Fixtures) -> DataFrame:
 # --- streams ----------------------------------------------------------------------------------------------------
 
 def _event_stream(t: Fixtures) -> DataFrame:
-    return streams.read_stream(t.spark, t.folder, t.raw("events").schema, "events.parquet")
+    return streams.read_stream(t.spark, t.folder, RAW_SCHEMAS["events"], "events.parquet")
 
 
 @query

@@ -19,84 +19,70 @@ GEOJSON_POLYGON = "type string, coordinates array<array<array<double>>>"
 GEOJSON_MULTIPOLYGON = "type string, coordinates array<array<array<array<double>>>>"
 
 
-# --- polygons -------------------------------------------------------------------------------------------------
-
-def close_ring(ring: Column) -> Column:
-    """Repeat the first point at the end when the ring is open."""
-    first, last = F.element_at(ring, 1), F.element_at(ring, -1)
-    return F.when(first == last, ring).otherwise(F.concat(ring, F.array(first)))
-
-
-def ring_edges(ring: Column) -> Column:
-    starts, ends = F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1)
-    return F.zip_with(starts, ends, lambda a, b: F.struct(
-        a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
+# The tests against arrays of edges are SQL text with the names of their inputs filled in: they serve in Column
+# expressions as well as in correlated subqueries.
 
+# --- polygons -------------------------------------------------------------------------------------------------
 
-def polygon_edges(rings: Column) -> Column:
+def polygon_edges(rings: str) -> Column:
     """All edges of all rings as one array."""
-    return F.flatten(F.transform(rings, ring_edges))
+    return F.expr(f"""flatten(transform({rings}, ring -> zip_with(
+        slice(ring, 1, size(ring) - 1), slice(ring, 2, size(ring) - 1),
+        (a, b) -> named_struct('x1', a.x, 'y1', a.y, 'x2', b.x, 'y2', b.y))))""")
 
 
 def rings_from_geojson(text: Column) -> Column:
     """GeoJSON text of type Polygon or MultiPolygon → closed rings; NULL for any other text."""
-    single = F.from_json(text, GEOJSON_POLYGON)
-    multi = F.from_json(text, GEOJSON_MULTIPOLYGON)
-    raw = (F.when(F.get_json_object(text, "$.type") == "Polygon", single["coordinates"])
-           .when(F.get_json_object(text, "$.type") == "MultiPolygon", F.flatten(multi["coordinates"])))
-    return F.transform(raw, lambda ring: close_ring(
-        F.transform(ring, lambda p: F.struct(F.element_at(p, 1).alias("x"), F.element_at(p, 2).alias("y")))))
+    single, multi = F.from_json(text, GEOJSON_POLYGON), F.from_json(text, GEOJSON_MULTIPOLYGON)
+    kind = F.get_json_object(text, "$.type")
+    raw = F.when(kind == "Polygon", single["coordinates"]).when(kind == "MultiPolygon", F.flatten(multi["coordinates"]))
 
+    def closed(ring: Column) -> Column:
+        points = F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+        first = F.slice(points, 1, 1)
+        return F.when(first == F.slice(points, -1, 1), points).otherwise(F.concat(points, first))
 
-def geojson_from_rings(rings: Column) -> Column:
-    """Rings → GeoJSON text of type Polygon; NULL stays NULL."""
-    coordinates = F.transform(rings, lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"])))
-    document = F.to_json(F.struct(F.lit("Polygon").alias("type"), coordinates.alias("coordinates")))
-    return F.when(rings.isNotNull(), document)
+    return F.transform(raw, closed)
 
 
-# --- point against polygon ------------------------------------------------------------------------------------
-
-def crosses(edge: Column, lon: Column, lat: Column) -> Column:
-    """Does the ray from the point to the east cross the edge?"""
-    x1, y1, x2, y2 = edge["x1"], edge["y1"], edge["x2"], edge["y2"]
-    straddles = (y1 > lat) != (y2 > lat)
-    return F.when(straddles, lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1).otherwise(F.lit(False))
-
+def geojson_from_rings(rings: str) -> Column:
+    """Rings → GeoJSON text of type Polygon; NULL stays NULL."""
+    return F.expr(f"""case when {rings} is not null then to_json(named_struct('type', 'Polygon', 'coordinates',
+        transform({rings}, ring -> transform(ring, p -> array(p.x, p.y))))) end""")
 
-def touches(edge: Column, lon: Column, lat: Column) -> Column:
-    """Does the point lie on the edge?"""
-    x1, y1, x2, y2 = edge["x1"], edge["y1"], edge["x2"], edge["y2"]
-    return (lat.between(F.least(y1, y2), F.greatest(y1, y2)) & lon.between(F.least(x1, x2), F.greatest(x1, x2))
-            & ((x2 - x1) * (lat - y1) == (y2 - y1) * (lon - x1)))
 
+# --- point against polygon ------------------------------------------------------------------------------------
 
-def parity(edges: Column, lon: Column, lat: Column) -> Column:
-    return F.aggregate(edges, F.lit(False), lambda odd, e: odd != crosses(e, lon, lat))
+def parity(edges: str, lon: str, lat: str) -> str:
+    """Does a ray from the point to the east cross an odd number of edges?"""
+    return f"""aggregate({edges}, false, (odd, e) -> odd <> (case when (e.y1 > {lat}) <> (e.y2 > {lat})
+        then {lon} < (e.x2 - e.x1) * ({lat} - e.y1) / (e.y2 - e.y1) + e.x1 else false end))"""
 
 
-def on_border(edges: Column, lon: Column, lat: Column) -> Column:
-    return F.exists(edges, lambda e: touches(e, lon, lat))
+def on_border(edges: str, lon: str, lat: str) -> str:
+    """Does the point lie on an edge?"""
+    return f"""exists({edges}, e -> {lat} between least(e.y1, e.y2) and greatest(e.y1, e.y2)
+        and {lon} between least(e.x1, e.x2) and greatest(e.x1, e.x2)
+        and (e.x2 - e.x1) * ({lat} - e.y1) = (e.y2 - e.y1) * ({lon} - e.x1))"""
 
 
-def within(edges: Column, lon: Column, lat: Column) -> Column:
+def within(edges: str, lon: str, lat: str) -> str:
     """Strictly inside: a border point does not count."""
-    return parity(edges, lon, lat) & ~on_border(edges, lon, lat)
+    return f"({parity(edges, lon, lat)} and not {on_border(edges, lon, lat)})"
 
 
-def intersects(edges: Column, lon: Column, lat: Column) -> Column:
+def intersects(edges: str, lon: str, lat: str) -> str:
     """Inside or on the border."""
-    return parity(edges, lon, lat) | on_border(edges, lon, lat)
+    return f"({parity(edges, lon, lat)} or {on_border(edges, lon, lat)})"
 
 
-def squared_distance(edge: Column, lon: Column, lat: Column) -> Column:
-    """Squared distance, in squared degrees, from the point to the nearest point of the edge."""
-    dx, dy = edge["x2"] - edge["x1"], edge["y2"] - edge["y1"]
-    length = dx * dx + dy * dy
-    along = F.when(length > 0, ((lon - edge["x1"]) * dx + (lat - edge["y1"]) * dy) / length).otherwise(F.lit(0.0))
-    share = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
-    gap_x, gap_y = lon - (edge["x1"] + share * dx), lat - (edge["y1"] + share * dy)
-    return gap_x * gap_x + gap_y * gap_y
+def near_border(edges: str, lon: str, lat: str, degrees: float) -> str:
+    """Is the point no further than this many degrees from some edge?"""
+    along = f"(({lon} - e.x1) * (e.x2 - e.x1) + ({lat} - e.y1) * (e.y2 - e.y1))"
+    squared = "((e.x2 - e.x1) * (e.x2 - e.x1) + (e.y2 - e.y1) * (e.y2 - e.y1))"
+    share = f"least(greatest(case when {squared} > 0 then {along} / {squared} else 0e0 end, 0e0), 1e0)"
+    return f"""exists({edges}, e -> pow({lon} - (e.x1 + {share} * (e.x2 - e.x1)), 2)
+        + pow({lat} - (e.y1 + {share} * (e.y2 - e.y1)), 2) <= {float(degrees * degrees)!r}d)"""
 
 
 # --- a polygon known when the plan is built ---------------------------------------------------------------------

@@ -26,9 +26,18 @@ def repeat_for_salts(lookup: DataFrame, salts: int = SALTS, column: str = "_salt
 
 def lookup_join(facts: DataFrame, lookup: DataFrame, on: str | list[str], how: str = "inner",
                 max_rows: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
-    """Join on equal keys. A key that holds a large share of the facts never lands in one task."""
-    keys = [on] if isinstance(on, str) else list(on)
+    """Join with a table that is cheap to count: broadcast when it fits, else spread.
+
+    A key that holds a large share of the facts never lands in one task.
+    """
     if fits_broadcast(lookup, max_rows):
-        return facts.join(F.broadcast(lookup), keys, how)
+        return facts.join(F.broadcast(lookup), [on] if isinstance(on, str) else list(on), how)
+    return spread_join(facts, lookup, on, how, salts)
+
+
+def spread_join(facts: DataFrame, other: DataFrame, on: str | list[str], how: str = "inner",
+                salts: int = SALTS) -> DataFrame:
+    """Join with a table of any size, without counting it: every key of the facts goes to several tasks."""
+    keys = [on] if isinstance(on, str) else list(on)
     salted = facts.withColumn("_salt", row_salt(facts, salts))
-    return salted.join(repeat_for_salts(lookup, salts), [*keys, "_salt"], how).drop("_salt")
+    return salted.join(repeat_for_salts(other, salts), [*keys, "_salt"], how).drop("_salt")

@@ -7,7 +7,7 @@ which are the large side, are never repeated, and never shuffled while the cells
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -24,20 +24,17 @@ BROADCAST_ITEMS = 2_000_000
 class Grid:
     """Polygons cut into cells.
 
-    `cells` has `key` (the polygon's id columns), `_cell_x`, `_cell_y`, `_covered` (the whole cell is inside),
+    `cells` has `key` (the polygon's id column), `_cell_x`, `_cell_y`, `_covered` (the whole cell is inside),
     `_edges` and the box of the polygon. `box` encloses all polygons; None when there is no polygon.
     """
 
     cells: DataFrame
-    key: tuple[str, ...]
+    key: str
     box: tuple[float, float, float, float] | None
     broadcast: bool
     per_degree: int
     salts: int = SALTS
 
-    def cell_of(self, axis: Column) -> Column:
-        return F.floor(axis * F.lit(float(self.per_degree))).cast("int")
-
     def near(self, lon: str, lat: str) -> Column:
         """Cheap test that reaches the file reader: is the point in the box of all polygons?"""
         if self.box is None:
@@ -53,89 +50,73 @@ class Grid:
         """The cells as the right side of a join."""
         return F.broadcast(self.cells) if self.broadcast else repeat_for_salts(self.cells, self.salts, "_cell_salt")
 
-    def same_cell(self, lon: Column, lat: Column, salt: Column) -> Column:
-        equal = (F.col("_cell_x") == self.cell_of(lon)) & (F.col("_cell_y") == self.cell_of(lat))
-        return equal if self.broadcast else equal & (F.col("_cell_salt") == salt)
+    def match(self, lon: str, lat: str, rule=geo.within) -> str:
+        """Join condition: the cell of the point, and the point inside the polygon by the rule.
 
-    def inside(self, lon: Column, lat: Column, rule=geo.within) -> Column:
-        # The box test is cheap, and it keeps the condition bound to both sides of the join.
-        in_box = lon.between(F.col("_west"), F.col("_east")) & lat.between(F.col("_south"), F.col("_north"))
-        return F.col("_covered") | (in_box & rule(F.col("_edges"), lon, lat))
+        The box test is cheap, and it keeps the condition bound to both sides of the join.
+        """
+        n = f"{float(self.per_degree)!r}d"
+        same_salt = "" if self.broadcast else "and _cell_salt = _salt"
+        return f"""_cell_x = cast(floor({lon} * {n}) as int) and _cell_y = cast(floor({lat} * {n}) as int) {same_salt}
+            and (_covered or ({lon} between _west and _east and {lat} between _south and _north
+                and {rule("_edges", lon, lat)}))"""
 
 
-def build_grid(polygons: DataFrame, key: str | tuple[str, ...] = "zone_id", rings: str = "rings",
-               per_degree: int = CELLS_PER_DEGREE, margin: float = 0.0, broadcast_items: int = BROADCAST_ITEMS,
-               salts: int = SALTS) -> Grid:
+def build_grid(polygons: DataFrame, key: str = "zone_id", rings: str = "rings", per_degree: int = CELLS_PER_DEGREE,
+               margin: float = 0.0, broadcast_items: int = BROADCAST_ITEMS, salts: int = SALTS) -> Grid:
     """Cut the polygons into cells. One small job over the polygons measures them first.
 
     With a `margin` (in degrees) the cells also cover the surroundings, and hold the edges within the margin.
     """
     if per_degree < 1 or per_degree & (per_degree - 1):
         raise ValueError("cells per degree must be a power of two")
-    key = (key,) if isinstance(key, str) else tuple(key)
-    n, pad = F.lit(float(per_degree)), F.lit(float(margin))
-
-    corners = F.flatten(F.col(rings))
+    n, pad = f"{float(per_degree)!r}d", f"{float(margin)!r}d"
     shapes = (polygons.where(F.col(rings).isNotNull())
-              .select(*key, geo.polygon_edges(F.col(rings)).alias("_edges"),
-                      (F.array_min(F.transform(corners, lambda p: p["x"])) - pad).alias("_west"),
-                      (F.array_min(F.transform(corners, lambda p: p["y"])) - pad).alias("_south"),
-                      (F.array_max(F.transform(corners, lambda p: p["x"])) + pad).alias("_east"),
-                      (F.array_max(F.transform(corners, lambda p: p["y"])) + pad).alias("_north"))
-              .where(F.col("_west").isNotNull()))
-
-    first_x, last_x = F.floor(F.col("_west") * n), F.floor(F.col("_east") * n)
-    first_y, last_y = F.floor(F.col("_south") * n), F.floor(F.col("_north") * n)
-    columns, rows = last_x - first_x + 1, last_y - first_y + 1
-    edge_rows = F.aggregate("_edges", F.lit(0).cast("bigint"), lambda total, e: total + F.floor(
-        (F.abs(e["y1"] - e["y2"]) + 2 * pad) * n) + 2)
-    size = shapes.agg(F.sum(columns * (rows + edge_rows)).alias("items"), F.min("_west"), F.min("_south"),
-                      F.max("_east"), F.max("_north")).first()
-
-    bottom, top = F.col("_cell_y") / n, (F.col("_cell_y") + 1) / n
-    left, right = F.col("_cell_x") / n, (F.col("_cell_x") + 1) / n
-    box = ("_west", "_south", "_east", "_north")
-    by_row = (shapes.withColumn("_cell_y", F.explode(F.sequence(first_y, last_y)))
-              .withColumn("_edges", F.filter("_edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= bottom - pad)
-                                             & (F.least(e["y1"], e["y2"]) <= top + pad))))
-    by_cell = (by_row.withColumn("_cell_x", F.explode(F.sequence(first_x, last_x)))
-               .withColumn("_edges", F.filter("_edges", lambda e: F.greatest(e["x1"], e["x2"]) >= left - pad))
-               .withColumn("_border", F.exists("_edges", lambda e: F.least(e["x1"], e["x2"]) <= right + pad))
-               .withColumn("_centre", geo.parity(F.col("_edges"), (left + right) / 2, (bottom + top) / 2))
-               .where(F.col("_border") | F.col("_centre")))
-    cells = by_cell.select(*key, F.col("_cell_x").cast("int"), F.col("_cell_y").cast("int"),
-                           (~F.col("_border")).alias("_covered"),
-                           F.when(F.col("_border"), F.col("_edges")).alias("_edges"), *box)
-    items = size["items"]
-    return Grid(cells, key, tuple(size[1:]) if items else None, (items or 0) <= broadcast_items, per_degree, salts)
+              .select(key, geo.polygon_edges(rings).alias("_edges"))
+              .selectExpr(key, "_edges", f"array_min(_edges.x1) - {pad} as _west", f"array_min(_edges.y1) - {pad} as _south",
+                          f"array_max(_edges.x1) + {pad} as _east", f"array_max(_edges.y1) + {pad} as _north")
+              .where("_west is not null"))
+
+    columns = f"(floor(_east * {n}) - floor(_west * {n}) + 1)"
+    rows = f"(floor(_north * {n}) - floor(_south * {n}) + 1)"
+    edge_rows = f"aggregate(_edges, 0L, (total, e) -> total + floor((abs(e.y1 - e.y2) + 2 * {pad}) * {n}) + 2)"
+    items, *box = shapes.selectExpr(f"sum({columns} * ({rows} + {edge_rows}))", "min(_west)", "min(_south)",
+                                    "max(_east)", "max(_north)").collect()[0]
+
+    # First the edges of a row of cells, then those of a cell that a ray to the east can meet.
+    by_row = shapes.withColumn("_cell_y", F.expr(f"explode(sequence(floor(_south * {n}), floor(_north * {n})))")).withColumn(
+        "_edges", F.expr(f"""filter(_edges, e -> greatest(e.y1, e.y2) >= _cell_y / {n} - {pad}
+            and least(e.y1, e.y2) <= (_cell_y + 1) / {n} + {pad})"""))
+    by_cell = by_row.withColumn("_cell_x", F.expr(f"explode(sequence(floor(_west * {n}), floor(_east * {n})))")).withColumn(
+        "_edges", F.expr(f"filter(_edges, e -> greatest(e.x1, e.x2) >= _cell_x / {n} - {pad})"))
+    centre = geo.parity("_edges", f"((_cell_x + 0.5d) / {n})", f"((_cell_y + 0.5d) / {n})")
+    marked = by_cell.selectExpr("*", f"exists(_edges, e -> least(e.x1, e.x2) <= (_cell_x + 1) / {n} + {pad}) as _border")
+    cells = marked.where(f"_border or {centre}").selectExpr(
+        key, "cast(_cell_x as int) as _cell_x", "cast(_cell_y as int) as _cell_y", "not _border as _covered",
+        "case when _border then _edges end as _edges", "_west", "_south", "_east", "_north")
+    return Grid(cells, key, tuple(box) if items else None, (items or 0) <= broadcast_items, per_degree, salts)
 
 
 def containing_polygons(points: DataFrame, grid: Grid, lon: str = "lon", lat: str = "lat",
                         rule=geo.within) -> DataFrame:
     """Inner join: every point once per polygon that contains it, with the polygon's key added."""
-    x, y = F.col(lon), F.col(lat)
-    condition = grid.same_cell(x, y, F.col("_salt")) & grid.inside(x, y, rule)
-    joined = grid.left(points.where(grid.near(lon, lat))).join(grid.right(), condition, "inner")
-    return joined.select(*points.columns, *grid.key)
+    left = grid.left(points.where(grid.near(lon, lat)))
+    return left.join(grid.right(), F.expr(grid.match(lon, lat, rule)), "inner").select(*points.columns, grid.key)
 
 
 def in_any_polygon(points: DataFrame, grid: Grid, lon: str = "lon", lat: str = "lat", rule=geo.within) -> DataFrame:
     """Semi join: every point inside at least one polygon, once."""
-    x, y = F.col(lon), F.col(lat)
-    condition = grid.same_cell(x, y, F.col("_salt")) & grid.inside(x, y, rule)
-    joined = grid.left(points.where(grid.near(lon, lat))).join(grid.right(), condition, "left_semi")
-    return joined.select(*points.columns)
+    left = grid.left(points.where(grid.near(lon, lat)))
+    return left.join(grid.right(), F.expr(grid.match(lon, lat, rule)), "left_semi").select(*points.columns)
 
 
 def either_in_any_polygon(rows: DataFrame, grid: Grid, first: tuple[str, str], second: tuple[str, str],
                           rule=geo.within) -> DataFrame:
     """Rows with at least one of two points inside at least one polygon, once, in a single pass over the rows."""
-    def found(lon: str, lat: str) -> Column:
-        x, y = F.col(lon).outer(), F.col(lat).outer()
-        return grid.right().where(grid.same_cell(x, y, F.col("_salt").outer()) & grid.inside(x, y, rule)).exists()
-
-    near = rows.where(grid.near(*first) | grid.near(*second))
-    return grid.left(near).where(found(*first) | found(*second)).select(*rows.columns)
+    left = grid.left(rows.where(grid.near(*first) | grid.near(*second)))
+    found = " or ".join(f"exists (select 1 from {{cells}} where {grid.match(*end, rule)})" for end in (first, second))
+    matched = rows.sparkSession.sql(f"select * from {{rows}} where {found}", rows=left, cells=grid.right())
+    return matched.select(*rows.columns)
 
 
 def first_polygon(points: DataFrame, grid: Grid, keys: list[str], lon: str = "lon", lat: str = "lat",
@@ -144,16 +125,15 @@ def first_polygon(points: DataFrame, grid: Grid, keys: list[str], lon: str = "lo
 
     While the cells fit a broadcast, all polygons of a cell are one row and no shuffle of the points is needed.
     """
-    (key,) = grid.key
     if not grid.broadcast:
         found = containing_polygons(points, grid, lon, lat, rule)
-        return found.groupBy(*keys).agg(F.min(key).alias(key))
-    x, y = F.col(lon), F.col(lat)
+        return found.groupBy(*keys).agg(F.min(grid.key).alias(grid.key))
     # The measured total of the cells bounds every one of these lists.
     lists = grid.cells.groupBy("_cell_x", "_cell_y").agg(F.collect_list(F.struct(
-        key, "_covered", "_edges")).alias("_polygons"))
-    same = (F.col("_cell_x") == grid.cell_of(x)) & (F.col("_cell_y") == grid.cell_of(y))
-    hits = F.filter("_polygons", lambda p: p["_covered"] | rule(p["_edges"], x, y))
+        F.col(grid.key).alias("key"), "_covered", "_edges")).alias("_polygons"))
+    n = f"{float(grid.per_degree)!r}d"
+    same = F.expr(f"_cell_x = cast(floor({lon} * {n}) as int) and _cell_y = cast(floor({lat} * {n}) as int)")
     joined = points.where(grid.near(lon, lat)).join(F.broadcast(lists), same, "inner")
-    lowest = F.array_min(F.transform(hits, lambda p: p[key]))
-    return joined.select(*keys, lowest.alias(key)).where(F.col(key).isNotNull())
+    hits = f"filter(_polygons, p -> p._covered or {rule('p._edges', lon, lat)})"
+    lowest = F.expr(f"array_min(transform({hits}, p -> p.key))")
+    return joined.select(*keys, lowest.alias(grid.key)).where(F.col(grid.key).isNotNull())

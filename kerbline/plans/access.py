@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kerbline.filters import Filter, keep
-from kerbline.operators.lookup import lookup_join
+from kerbline.operators.lookup import lookup_join, spread_join
 from kerbline.plans.zones import MUNICIPALITY
 
 # Names of organisation types and privileges.
@@ -58,9 +58,9 @@ def _effective(tables: AccessTables, owned: str, item: str) -> DataFrame:
     # Per organisation first: far fewer rows than per user.
     per_organisation = (lookup_join(own.unionByName(to_organisation).distinct(), items, "owner_organisation_id")
                         .select("organisation_id", item).distinct())
-    through_organisation = lookup_join(
+    through_organisation = spread_join(
         tables.users.select("user_id", "organisation_id"), per_organisation, "organisation_id").select("user_id", item)
-    directly = (lookup_join(to_user, items, "owner_organisation_id")
+    directly = (spread_join(to_user, items, "owner_organisation_id")
                 .join(tables.users.select("user_id"), "user_id", "left_semi").select("user_id", item))
     return through_organisation.unionByName(directly).distinct()
 
@@ -102,7 +102,7 @@ def _user_flags(tables: AccessTables, municipalities: DataFrame, operators: Data
 
 def _first_refused(items: DataFrame, granted: DataFrame, keys: list[str], shown: str, name: str) -> DataFrame:
     """Per request the first asked item, in the order of asking, that is not granted."""
-    refused = lookup_join(items, granted.withColumn("_granted", F.lit(True)), keys, "left").where(
+    refused = spread_join(items, granted.withColumn("_granted", F.lit(True)), keys, "left").where(
         F.col("_granted").isNull())
     return refused.groupBy("request_id").agg(F.min_by(shown, "position").alias(name))
 
@@ -122,7 +122,7 @@ def decide(requests: DataFrame, tables: AccessTables) -> DataFrame:
     refused_operator = _first_refused(asked_operators, operators, ["user_id", "system_id"], "system_id",
                                       "refused_operator")
 
-    flagged = (lookup_join(requests, _user_flags(tables, municipalities, operators), "user_id", "left")
+    flagged = (spread_join(requests, _user_flags(tables, municipalities, operators), "user_id", "left")
                .join(refused_zone, "request_id", "left").join(refused_operator, "request_id", "left"))
     by_zone, by_operator = F.col("has_municipalities"), F.col("has_operators")
     reason = (F.when(F.col("is_admin").isNull(), UNKNOWN_USER)
@@ -141,8 +141,8 @@ def decide_municipality(requests: DataFrame, tables: AccessTables) -> DataFrame:
     municipalities = effective_municipalities(tables).select("user_id", "municipality").distinct()
     restricted = municipalities.select("user_id", F.lit(True).alias("_restricted")).distinct()
     granted = municipalities.select("user_id", F.col("municipality").alias("gm_code"), F.lit(True).alias("_granted"))
-    known = lookup_join(requests, tables.known_users().select("user_id", F.lit(True).alias("_known")), "user_id", "left")
-    marked = lookup_join(lookup_join(known, restricted, "user_id", "left"), granted, ["user_id", "gm_code"], "left")
+    users = tables.known_users().select("user_id", F.lit(True).alias("_known")).join(restricted, "user_id", "left")
+    marked = spread_join(spread_join(requests, users, "user_id", "left"), granted, ["user_id", "gm_code"], "left")
     reason = (F.when(F.col("_known").isNull(), UNKNOWN_USER)
               .when(F.col("_restricted").isNotNull() & F.col("_granted").isNull(), MUNICIPALITY_REFUSED))
     return marked.select("request_id", "user_id", reason.isNull().alias("allowed"), reason.alias("reason"))

@@ -106,7 +106,7 @@ def zone_occupancy(events: DataFrame, zones: DataFrame, public_zones: DataFrame)
     no_operators = F.array().cast("array<struct<system_id: string, number_of_vehicles: bigint>>")
     return (public_zones.join(nested, "zone_id", "left").join(shapes, "zone_id", "left")
             .select("zone_id", "name", "capacity", F.coalesce("operators", no_operators).alias("operators"),
-                    geojson_from_rings(F.col("rings")).alias("geojson")))
+                    geojson_from_rings("rings").alias("geojson")))
 
 
 # --- the index of events by date --------------------------------------------------------------------------------

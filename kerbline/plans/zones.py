@@ -30,7 +30,7 @@ def zone_list(zones: DataFrame, geographies: DataFrame, f: Filter, include_custo
 def zones_with_geometry(zones: DataFrame, f: Filter) -> DataFrame:
     """Zones by id and municipality, with their area as GeoJSON text."""
     return (keep(zones, f.by_zone(), f.by_municipality())
-            .select(*ZONE_COLUMNS, geo.geojson_from_rings(F.col("rings")).alias("geojson")))
+            .select(*ZONE_COLUMNS, geo.geojson_from_rings("rings").alias("geojson")))
 
 
 def municipalities(zones: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def municipalities(zones: DataFrame) -> DataFrame:
 def municipality_area(areas: DataFrame, gm_code: str) -> DataFrame:
     """The area of a municipality as GeoJSON text."""
     return (areas.where((F.col("gm_code") == gm_code) & F.col("rings").isNotNull())
-            .select("gm_code", geo.geojson_from_rings(F.col("rings")).alias("geojson")).limit(1))
+            .select("gm_code", geo.geojson_from_rings("rings").alias("geojson")).limit(1))
 
 
 def municipality_at(points: DataFrame, zones: DataFrame, keys: list[str], lon: str = "lon",
@@ -55,7 +55,7 @@ def municipality_at(points: DataFrame, zones: DataFrame, keys: list[str], lon: s
 
 def border_points(requests: DataFrame, step: float = BORDER_STEP) -> DataFrame:
     """Points along the border of every drawn zone, no further apart than the step."""
-    edges = requests.select("request_id", "municipality", F.explode(geo.polygon_edges(F.col("rings"))).alias("e"))
+    edges = requests.select("request_id", "municipality", F.explode(geo.polygon_edges("rings")).alias("e"))
     dx, dy = F.col("e.x2") - F.col("e.x1"), F.col("e.y2") - F.col("e.y1")
     pieces = F.greatest(F.ceil(F.sqrt(dx * dx + dy * dy) / F.lit(step)), F.lit(1))
     stepped = edges.withColumn("pieces", pieces).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
@@ -75,15 +75,12 @@ def check_zone_requests(requests: DataFrame, zones: DataFrame, tolerance: float
              .groupBy("municipality").agg(F.min_by("rings", "zone_id").alias("rings")))
     grid = build_grid(areas, "municipality", margin=tolerance)
     points = border_points(requests, step).withColumnRenamed("municipality", "_wanted")
-    x, y = F.col("lon"), F.col("lat")
 
-    def inside_or_near(edges, lon, lat):
-        near = F.exists(edges, lambda e: geo.squared_distance(e, lon, lat) <= F.lit(tolerance * tolerance))
-        return geo.parity(edges, lon, lat) | near
+    def inside_or_near(edges: str, lon: str, lat: str) -> str:
+        return f"({geo.parity(edges, lon, lat)} or {geo.near_border(edges, lon, lat, tolerance)})"
 
-    condition = ((F.col("_wanted") == F.col("municipality")) & grid.same_cell(x, y, F.col("_salt"))
-                 & grid.inside(x, y, inside_or_near))
-    good = grid.left(points).join(grid.right(), condition, "left").select(
+    same_area = F.expr(f"_wanted = municipality and {grid.match('lon', 'lat', inside_or_near)}")
+    good = grid.left(points).join(grid.right(), same_area, "left").select(
         "request_id", F.col("municipality").isNotNull().alias("good"))
     return good.groupBy("request_id").agg(F.bool_and("good").alias("is_valid"))
 

@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 def literal_table(spark: SparkSession, rows: Iterable[tuple], schema: T.StructType) -> DataFrame:
     """A table written out in the plan; it needs no job and no file."""
-    names = schema.fieldNames()
-    items = [F.struct(*(F.lit(value).cast(field.dataType).alias(field.name)
-                        for value, field in zip(row, schema.fields))) for row in rows]
-    return spark.range(1).select(F.inline(F.array(*items)).alias(*names))
+    def literal(value: object) -> str:
+        if value is None:
+            return "null"
+        return "'" + value.replace("'", "\\'") + "'" if isinstance(value, str) else str(value)
+
+    values = ", ".join("(" + ", ".join(map(literal, row)) + ")" for row in rows)
+    table = spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(schema.fieldNames())})")
+    return table.select(*(F.col(f.name).cast(f.dataType) for f in schema))
 
 
 # Operators that are shown when a user is not restricted to some, with their display names.

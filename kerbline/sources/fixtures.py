@@ -204,6 +204,19 @@ DERIVATIONS: dict[str, tuple[Select, ...]] = {
     }),),
 }
 
+# Columns of the star schema that the derivations use.
+RAW_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
+}
+
 # Vehicle types. Ids from 5 on occur in the facts and are unmatched on purpose.
 VEHICLE_TYPES = ((0, "bicycle"), (1, "moped"), (2, "cargo_bicycle"), (3, "car"), (4, "kick_scooter"))
 
@@ -230,7 +243,7 @@ class Fixtures:
         self.spark, self.folder = spark, folder
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(RAW_SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
     def select_from(self, name: str, source: DataFrame) -> DataFrame:
         """A table of one ungrouped select over another source with the same columns, such as a stream."""

@@ -12,7 +12,7 @@ from kerbline.session import shared_dir
 LATENESS = "1 day"
 
 
-def read_stream(spark: SparkSession, folder: str, schema: T.StructType, files: str = "*.parquet",
+def read_stream(spark: SparkSession, folder: str, schema: T.StructType | str, files: str = "*.parquet",
                 files_per_trigger: int = 1000) -> DataFrame:
     """A folder of Parquet files as a stream; `files` selects by name."""
     return (spark.readStream.schema(schema).option("pathGlobFilter", files)
