@@ -61,9 +61,17 @@ def parity(edges: str, lon: str, lat: str) -> str:
 
 def on_border(edges: str, lon: str, lat: str) -> str:
     """Does the point lie on an edge?"""
-    return f"""exists({edges}, e -> {lat} between least(e.y1, e.y2) and greatest(e.y1, e.y2)
-        and {lon} between least(e.x1, e.x2) and greatest(e.x1, e.x2)
-        and (e.x2 - e.x1) * ({lat} - e.y1) = (e.y2 - e.y1) * ({lon} - e.x1))"""
+    return f"""exists({edges}, e -> (e.x2 - e.x1) * ({lat} - e.y1) = (e.y2 - e.y1) * ({lon} - e.x1)
+        and {lat} between least(e.y1, e.y2) and greatest(e.y1, e.y2)
+        and {lon} between least(e.x1, e.x2) and greatest(e.x1, e.x2))"""
+
+
+def meets_box(edges: str, x: str, y: str, half: str) -> str:
+    """Does an edge come into the square around (x, y)? Rounding may only err towards yes."""
+    return f"""exists({edges}, e -> least(e.x1, e.x2) <= {x} + {half} and greatest(e.x1, e.x2) >= {x} - {half}
+        and least(e.y1, e.y2) <= {y} + {half} and greatest(e.y1, e.y2) >= {y} - {half}
+        and abs((e.x2 - e.x1) * ({y} - e.y1) - (e.y2 - e.y1) * ({x} - e.x1))
+            <= (abs(e.x2 - e.x1) + abs(e.y2 - e.y1)) * {half} * 1.000001d)"""
 
 
 def within(edges: str, lon: str, lat: str) -> str:

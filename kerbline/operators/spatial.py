@@ -50,6 +50,10 @@ class Grid:
         """The cells as the right side of a join."""
         return F.broadcast(self.cells) if self.broadcast else repeat_for_salts(self.cells, self.salts, "_cell_salt")
 
+    def per_polygon(self, rows: DataFrame) -> DataFrame:
+        """Rows of which there is at most one per polygon: where the cells fit a broadcast, so do these."""
+        return F.broadcast(rows) if self.broadcast else rows
+
     def match(self, lon: str, lat: str, rule=geo.within) -> str:
         """Join condition: the cell of the point, and the point inside the polygon by the rule.
 
@@ -89,9 +93,10 @@ def build_grid(polygons: DataFrame, key: str = "zone_id", rings: str = "rings",
             and least(e.y1, e.y2) <= (_cell_y + 1) / {n} + {pad})"""))
     by_cell = by_row.withColumn("_cell_x", F.expr(f"explode(sequence(floor(_west * {n}), floor(_east * {n})))")).withColumn(
         "_edges", F.expr(f"filter(_edges, e -> greatest(e.x1, e.x2) >= _cell_x / {n} - {pad})"))
-    centre = geo.parity("_edges", f"((_cell_x + 0.5d) / {n})", f"((_cell_y + 0.5d) / {n})")
-    marked = by_cell.selectExpr("*", f"exists(_edges, e -> least(e.x1, e.x2) <= (_cell_x + 1) / {n} + {pad}) as _border")
-    cells = marked.where(f"_border or {centre}").selectExpr(
+    centre = (f"((_cell_x + 0.5d) / {n})", f"((_cell_y + 0.5d) / {n})")
+    border = geo.meets_box("_edges", *centre, f"(0.5d / {n} + {pad})")
+    marked = by_cell.selectExpr("*", f"{border} as _border")
+    cells = marked.where(f"_border or {geo.parity('_edges', *centre)}").selectExpr(
         key, "cast(_cell_x as int) as _cell_x", "cast(_cell_y as int) as _cell_y", "not _border as _covered",
         "case when _border then _edges end as _edges", "_west", "_south", "_east", "_north")
     return Grid(cells, key, tuple(box) if items else None, (items or 0) <= broadcast_items, per_degree, salts)

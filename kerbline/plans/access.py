@@ -41,10 +41,6 @@ class AccessTables:
     def municipality_zones(self) -> DataFrame:
         return self.zones.where(F.col("zone_type") == MUNICIPALITY)
 
-    def for_user(self, user_id: str) -> AccessTables:
-        """The same tables for one user only."""
-        return AccessTables(self.users.where(F.col("user_id") == user_id), self.organisations, self.grants, self.zones)
-
 
 def _effective(tables: AccessTables, owned: str, item: str) -> DataFrame:
     """(user_id, item): what the own organisation owns, and what owners granted to it or to the user."""
@@ -165,24 +161,37 @@ class Scope:
     operators: DataFrame | None
 
 
+def _items_of(tables: AccessTables, user_id: str, organisation_id: int, owned: str, item: str) -> DataFrame:
+    """What one user was granted; the filters on the grants reach the reader."""
+    owners = tables.grants.where((F.col("granted_organisation_id") == organisation_id)
+                                 | (F.col("granted_user") == user_id)).select(
+        F.col("owner_organisation_id").alias("organisation_id"))
+    granted = tables.organisations.join(owners, "organisation_id", "left_semi")
+    own = tables.organisations.where(F.col("organisation_id") == organisation_id)
+    return own.select(F.explode(owned).alias(item)).unionByName(granted.select(F.explode(owned).alias(item))).distinct()
+
+
 def scope_of(tables: AccessTables, user_id: str, f: Filter) -> Scope:
     """The filter with the user's grants added; for an administrator the filter alone."""
-    mine = tables.for_user(user_id)
-    account = mine.known_users().select("type_of_organisation").first()
+    account = tables.users.where(F.col("user_id") == user_id).join(
+        tables.organisations, "organisation_id").select("organisation_id", "type_of_organisation").first()
     if account is None:
         raise PermissionError(UNKNOWN_USER)
-    zone_grants = effective_municipalities(mine).select("municipality").distinct()
-    operator_grants = effective_operators(mine).select("system_id")
-    limit_zones = account[0] != ADMIN and not zone_grants.isEmpty()
-    limit_operators = account[0] != ADMIN and not operator_grants.isEmpty()
-
     zones = keep(tables.zones, f.by_zone()) if f.zone_ids else None
-    if limit_zones:
-        granted = tables.zones.join(zone_grants, "municipality", "left_semi").select(*tables.zones.columns)
-        zones = granted.unionByName(zones).dropDuplicates(["zone_id"]) if f.zone_ids else granted
     operators = operator_names(tables.zones.sparkSession, f.operators) if f.operators else None
-    if limit_operators:
-        operators = operator_grants.unionByName(operators).distinct() if f.operators else operator_grants
+    if account["type_of_organisation"] == ADMIN:
+        return Scope(zones, operators)
+
+    mine = (tables, user_id, account["organisation_id"])
+    known = tables.municipality_zones().select("municipality")
+    municipalities = _items_of(*mine, "data_owner_of_municipalities", "municipality").join(
+        known, "municipality", "left_semi")
+    if not municipalities.isEmpty():
+        granted = tables.zones.join(municipalities, "municipality", "left_semi").select(*tables.zones.columns)
+        zones = granted.unionByName(zones).dropDuplicates(["zone_id"]) if f.zone_ids else granted
+    granted_operators = _items_of(*mine, "data_owner_of_operators", "system_id")
+    if not granted_operators.isEmpty():
+        operators = granted_operators.unionByName(operators).distinct() if f.operators else granted_operators
     return Scope(zones, operators)
 
 

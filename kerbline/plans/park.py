@@ -87,10 +87,11 @@ def park_event_stats(events: DataFrame, vehicle_types: DataFrame, zones: DataFra
     if f.form_factors:
         parked = _with_form_factor(parked, vehicle_types, f)
     bucket = age_bucket(F.col("start_time"), moment(f.instant()))
-    found = containing_polygons(parked, build_grid(chosen)).withColumn("bucket", bucket)
+    grid = build_grid(chosen)
+    found = containing_polygons(parked, grid).withColumn("bucket", bucket)
     counts = [F.count_if(F.col("bucket") == i) for i in range(len(NO_EVENTS))]
     stats = found.groupBy("zone_id").agg(F.array(*counts).alias("stats"))
-    return (chosen.join(stats, "zone_id", "left")
+    return (chosen.join(grid.per_polygon(stats), "zone_id", "left")
             .select("zone_id", "name", "municipality", "zone_type",
                     F.coalesce("stats", F.array(*(F.lit(n).cast("bigint") for n in NO_EVENTS))).alias("stats")))
 
@@ -98,13 +99,14 @@ def park_event_stats(events: DataFrame, vehicle_types: DataFrame, zones: DataFra
 def zone_occupancy(events: DataFrame, zones: DataFrame, public_zones: DataFrame) -> DataFrame:
     """Vehicles parked now per public zone and operator, nested per zone; zones without vehicles stay."""
     shapes = zones.join(public_zones.select("zone_id"), "zone_id", "left_semi").select("zone_id", "rings")
-    found = containing_polygons(events.where(parked_now()), build_grid(shapes))
+    grid = build_grid(shapes)
+    found = containing_polygons(events.where(parked_now()), grid)
     counts = found.groupBy("zone_id", "system_id").agg(F.count("*").alias("number_of_vehicles"))
     # One item per operator: the counts above bound the list.
     nested = counts.groupBy("zone_id").agg(F.sort_array(F.collect_list(
         F.struct("system_id", "number_of_vehicles"))).alias("operators"))
     no_operators = F.array().cast("array<struct<system_id: string, number_of_vehicles: bigint>>")
-    return (public_zones.join(nested, "zone_id", "left").join(shapes, "zone_id", "left")
+    return (public_zones.join(grid.per_polygon(nested), "zone_id", "left").join(shapes, "zone_id", "left")
             .select("zone_id", "name", "capacity", F.coalesce("operators", no_operators).alias("operators"),
                     geojson_from_rings("rings").alias("geojson")))
 

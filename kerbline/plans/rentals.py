@@ -35,6 +35,7 @@ def rental_zone_stats(events: DataFrame, zones: DataFrame, f: Filter) -> DataFra
     ends, starts = f.in_period("start_time"), f.in_period("end_time")
     edges = keep(events, ends | starts, f.by_operator()).select(
         "lon", "lat", F.coalesce(ends, F.lit(False)).alias("is_end"), F.coalesce(starts, F.lit(False)).alias("is_start"))
-    counts = (containing_polygons(edges, build_grid(chosen)).groupBy("zone_id")
+    grid = build_grid(chosen)
+    counts = (containing_polygons(edges, grid).groupBy("zone_id")
               .agg(F.count_if("is_end").alias("ended"), F.count_if("is_start").alias("started")))
-    return with_zone_counts(chosen, counts, "ended", "started")
+    return with_zone_counts(chosen, grid.per_polygon(counts), "ended", "started")

@@ -62,9 +62,10 @@ def trip_stats(trips: DataFrame, zones: DataFrame, f: Filter) -> DataFrame:
     ends = F.array(*(F.struct(F.col(x).alias("lon"), F.col(y).alias("lat"), F.lit(kind).alias("is_start"))
                      for (x, y), kind in ((START, True), (END, False))))
     points = _in_period(trips, f).select(F.inline(ends))
-    counts = (containing_polygons(points, build_grid(chosen)).groupBy("zone_id")
+    grid = build_grid(chosen)
+    counts = (containing_polygons(points, grid).groupBy("zone_id")
               .agg(F.count_if("is_start").alias("started"), F.count_if(~F.col("is_start")).alias("ended")))
-    return with_zone_counts(chosen, counts, "started", "ended")
+    return with_zone_counts(chosen, grid.per_polygon(counts), "started", "ended")
 
 
 def with_zone_counts(zones: DataFrame, counts: DataFrame, first: str, second: str) -> DataFrame:
