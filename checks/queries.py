@@ -308,7 +308,8 @@ def report_operators(t: Fixtures) -> DataFrame:
 
 @query
 def report_indicators(t: Fixtures) -> DataFrame:
-    return _rounded(report.indicators(t.table("stats_pre_process"), t.table("zones"), _filter(REPORT_PERIOD)))
+    found = report.indicators(t.table("stats_pre_process"), t.table("zones"), _filter(REPORT_PERIOD))
+    return _rounded(found.drop("municipality"))
 
 
 @query

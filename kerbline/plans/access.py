@@ -42,42 +42,55 @@ class AccessTables:
         return self.zones.where(F.col("zone_type") == MUNICIPALITY)
 
 
-def _effective(tables: AccessTables, owned: str, item: str) -> DataFrame:
-    """(user_id, item): what the own organisation owns, and what owners granted to it or to the user."""
-    items = tables.organisations.select(
-        F.col("organisation_id").alias("owner_organisation_id"), F.explode(owned).alias(item))
+def _owned(tables: AccessTables) -> DataFrame:
+    """(owner_organisation_id, kind, item); only municipalities that exist as a zone."""
+    def exploded(kind: str, array: str) -> DataFrame:
+        return tables.organisations.select(F.col("organisation_id").alias("owner_organisation_id"),
+                                           F.lit(kind).alias("kind"), F.explode(array).alias("item"))
+
+    existing = tables.municipality_zones().select(F.col("municipality").alias("item")).distinct()
+    municipalities = lookup_join(exploded("municipality", "data_owner_of_municipalities"), existing, "item", "left_semi")
+    return municipalities.unionByName(exploded("operator", "data_owner_of_operators"))
+
+
+def effective_grants(tables: AccessTables) -> DataFrame:
+    """(user_id, kind, item): what the own organisation owns, and what owners granted to it or to the user."""
+    items = _owned(tables)
     own = tables.organisations.select("organisation_id", F.col("organisation_id").alias("owner_organisation_id"))
     to_organisation = tables.grants.where(F.col("granted_organisation_id").isNotNull()).select(
         F.col("granted_organisation_id").alias("organisation_id"), "owner_organisation_id")
     to_user = (tables.grants.where(F.col("granted_user").isNotNull())
                .select(F.col("granted_user").alias("user_id"), "owner_organisation_id").distinct())
     # Per organisation first: far fewer rows than per user.
-    per_organisation = (lookup_join(own.unionByName(to_organisation).distinct(), items, "owner_organisation_id")
-                        .select("organisation_id", item).distinct())
-    through_organisation = spread_join(
-        tables.users.select("user_id", "organisation_id"), per_organisation, "organisation_id").select("user_id", item)
+    per_organisation = (spread_join(own.unionByName(to_organisation).distinct(), items, "owner_organisation_id")
+                        .select("organisation_id", "kind", "item").distinct())
+    through_organisation = spread_join(tables.users.select("user_id", "organisation_id"), per_organisation,
+                                       "organisation_id").select("user_id", "kind", "item")
     directly = (spread_join(to_user, items, "owner_organisation_id")
-                .join(tables.users.select("user_id"), "user_id", "left_semi").select("user_id", item))
+                .join(tables.users.select("user_id"), "user_id", "left_semi").select("user_id", "kind", "item"))
     return through_organisation.unionByName(directly).distinct()
 
 
+def _of_kind(tables: AccessTables, kind: str, name: str) -> DataFrame:
+    return effective_grants(tables).where(F.col("kind") == kind).select("user_id", F.col("item").alias(name))
+
+
 def effective_municipalities(tables: AccessTables) -> DataFrame:
-    """(user_id, municipality, name); only municipalities that exist as a zone."""
-    names = tables.municipality_zones().select("municipality", "name")
-    granted = _effective(tables, "data_owner_of_municipalities", "municipality")
-    return lookup_join(granted, names, "municipality").select("user_id", "municipality", "name").distinct()
+    """(user_id, municipality, name)."""
+    names = tables.municipality_zones().select("municipality", "name").distinct()
+    return lookup_join(_of_kind(tables, "municipality", "municipality"), names, "municipality").select(
+        "user_id", "municipality", "name")
 
 
 def effective_zones(tables: AccessTables) -> DataFrame:
     """(user_id, zone_id): all zones of the municipalities of a user."""
-    granted = effective_municipalities(tables).select("user_id", "municipality").distinct()
     zones = tables.zones.select("zone_id", "municipality")
-    return lookup_join(granted, zones, "municipality").select("user_id", "zone_id")
+    return lookup_join(_of_kind(tables, "municipality", "municipality"), zones, "municipality").select("user_id", "zone_id")
 
 
 def effective_operators(tables: AccessTables) -> DataFrame:
     """(user_id, system_id)."""
-    return _effective(tables, "data_owner_of_operators", "system_id")
+    return _of_kind(tables, "operator", "system_id")
 
 
 def raw_data_right(organisation_type: Column, privileges: Column) -> Column:
@@ -86,62 +99,62 @@ def raw_data_right(organisation_type: Column, privileges: Column) -> Column:
 
 # --- decisions ----------------------------------------------------------------------------------------------
 
-def _user_flags(tables: AccessTables, municipalities: DataFrame, operators: DataFrame) -> DataFrame:
-    with_municipality = municipalities.select("user_id", F.lit(True).alias("has_municipalities")).distinct()
-    with_operator = operators.select("user_id", F.lit(True).alias("has_operators")).distinct()
-    flags = (tables.known_users().select(
-        "user_id", (F.col("type_of_organisation") == ADMIN).alias("is_admin"),
-        raw_data_right(F.col("type_of_organisation"), F.col("privileges")).alias("may_export"))
-        .join(with_municipality, "user_id", "left").join(with_operator, "user_id", "left"))
-    return flags.fillna(False, ["has_municipalities", "has_operators"])
+def user_grants(tables: AccessTables) -> DataFrame:
+    """One row per known user: role, export right, and the lists of granted municipalities and operators.
 
+    The number of municipalities and of operators bounds the lists.
+    """
+    def items(kind: str) -> Column:
+        return F.collect_list(F.when(F.col("kind") == kind, F.col("item")))
 
-def _first_refused(items: DataFrame, granted: DataFrame, keys: list[str], shown: str, name: str) -> DataFrame:
-    """Per request the first asked item, in the order of asking, that is not granted."""
-    refused = spread_join(items, granted.withColumn("_granted", F.lit(True)), keys, "left").where(
-        F.col("_granted").isNull())
-    return refused.groupBy("request_id").agg(F.min_by(shown, "position").alias(name))
+    lists = effective_grants(tables).groupBy("user_id").agg(
+        items("municipality").alias("municipalities"), items("operator").alias("granted_operators"))
+    nothing = F.array().cast("array<string>")
+    return tables.known_users().join(lists, "user_id", "left").select(
+        "user_id", (F.col("type_of_organisation") == ADMIN).alias("is_admin"),
+        raw_data_right(F.col("type_of_organisation"), F.col("privileges")).alias("may_export"),
+        F.coalesce("municipalities", nothing).alias("municipalities"),
+        F.coalesce("granted_operators", nothing).alias("granted_operators"))
 
 
 def decide(requests: DataFrame, tables: AccessTables) -> DataFrame:
     """(request_id, user_id, allowed, reason, may_export) for requests `request_id, user_id, zone_ids, operators`.
 
-    A zone is granted when its municipality is, so zones are looked up once instead of listed per user.
+    A zone is granted when its municipality is, so zones are looked up once instead of listed per user. Of the
+    refused items the first in the order of asking is named.
     """
-    municipalities = effective_municipalities(tables).select("user_id", "municipality").distinct()
-    operators = effective_operators(tables)
-    asked_zones = requests.select("request_id", "user_id", F.posexplode("zone_ids").alias("position", "asked"))
     zone_of = tables.zones.select(F.col("zone_id").cast("string").alias("asked"), "municipality")
-    refused_zone = _first_refused(lookup_join(asked_zones, zone_of, "asked", "left"), municipalities,
-                                  ["user_id", "municipality"], "asked", "refused_zone")
-    asked_operators = requests.select("request_id", "user_id", F.posexplode("operators").alias("position", "system_id"))
-    refused_operator = _first_refused(asked_operators, operators, ["user_id", "system_id"], "system_id",
-                                      "refused_operator")
-
-    flagged = (spread_join(requests, _user_flags(tables, municipalities, operators), "user_id", "left")
-               .join(refused_zone, "request_id", "left").join(refused_operator, "request_id", "left"))
-    by_zone, by_operator = F.col("has_municipalities"), F.col("has_operators")
+    asked = lookup_join(requests.select("request_id", F.posexplode("zone_ids").alias("position", "asked")),
+                        zone_of, "asked", "left")
+    # As long as the list of the request.
+    asked_zones = asked.groupBy("request_id").agg(F.sort_array(F.collect_list(
+        F.struct("position", "asked", "municipality"))).alias("asked_zones"))
+    known = spread_join(requests.select("request_id", "user_id", "zone_ids", "operators").join(
+        asked_zones, "request_id", "left"), user_grants(tables), "user_id", "left")
+
+    def first_refused(items: str, refused) -> Column:
+        return F.get(F.filter(items, refused), F.lit(0))
+
+    refused_zone = first_refused("asked_zones", lambda z: ~F.coalesce(
+        F.array_contains(F.col("municipalities"), z["municipality"]), F.lit(False)))["asked"]
+    refused_operator = first_refused("operators", lambda o: ~F.array_contains(F.col("granted_operators"), o))
+    by_zone, by_operator = F.size("municipalities") > 0, F.size("granted_operators") > 0
     reason = (F.when(F.col("is_admin").isNull(), UNKNOWN_USER)
               .when(~F.col("is_admin") & ~by_zone & ~by_operator, NO_GRANTS)
               .when(by_zone & (F.size("zone_ids") == 0), ZONES_REQUIRED)
-              .when(by_zone & F.col("refused_zone").isNotNull(), F.concat(F.lit(ZONE_REFUSED), "refused_zone"))
+              .when(by_zone & refused_zone.isNotNull(), F.concat(F.lit(ZONE_REFUSED), refused_zone))
               .when(by_operator & (F.size("operators") == 0), OPERATORS_REQUIRED)
-              .when(by_operator & F.col("refused_operator").isNotNull(),
-                    F.concat(F.lit(OPERATOR_REFUSED), "refused_operator")))
-    return flagged.select("request_id", "user_id", reason.isNull().alias("allowed"), reason.alias("reason"),
-                          F.coalesce("may_export", F.lit(False)).alias("may_export"))
+              .when(by_operator & refused_operator.isNotNull(), F.concat(F.lit(OPERATOR_REFUSED), refused_operator)))
+    return known.select("request_id", "user_id", reason.isNull().alias("allowed"), reason.alias("reason"),
+                        F.coalesce("may_export", F.lit(False)).alias("may_export"))
 
 
 def decide_municipality(requests: DataFrame, tables: AccessTables) -> DataFrame:
     """(request_id, user_id, allowed, reason) for requests that name one municipality in `gm_code`."""
-    municipalities = effective_municipalities(tables).select("user_id", "municipality").distinct()
-    restricted = municipalities.select("user_id", F.lit(True).alias("_restricted")).distinct()
-    granted = municipalities.select("user_id", F.col("municipality").alias("gm_code"), F.lit(True).alias("_granted"))
-    users = tables.known_users().select("user_id", F.lit(True).alias("_known")).join(restricted, "user_id", "left")
-    marked = spread_join(spread_join(requests, users, "user_id", "left"), granted, ["user_id", "gm_code"], "left")
-    reason = (F.when(F.col("_known").isNull(), UNKNOWN_USER)
-              .when(F.col("_restricted").isNotNull() & F.col("_granted").isNull(), MUNICIPALITY_REFUSED))
-    return marked.select("request_id", "user_id", reason.isNull().alias("allowed"), reason.alias("reason"))
+    known = spread_join(requests.select("request_id", "user_id", "gm_code"), user_grants(tables), "user_id", "left")
+    granted = (F.size("municipalities") == 0) | F.array_contains(F.col("municipalities"), F.col("gm_code"))
+    reason = F.when(F.col("is_admin").isNull(), UNKNOWN_USER).when(~granted, MUNICIPALITY_REFUSED)
+    return known.select("request_id", "user_id", reason.isNull().alias("allowed"), reason.alias("reason"))
 
 
 def decide_export(requests: DataFrame, tables: AccessTables) -> DataFrame:
@@ -222,23 +235,21 @@ def user_summary(tables: AccessTables, with_data: DataFrame, all_operators: Data
         F.struct(F.col("municipality").alias("gm_code"), "name"))).alias("own_municipalities"))
     own_operators = effective_operators(tables).groupBy("user_id").agg(F.sort_array(F.collect_list(
         F.struct("system_id", capitalised(F.col("system_id")).alias("name")))).alias("own_operators"))
-    defaults = default_municipalities(with_data, tables.zones).agg(F.sort_array(F.collect_list(
-        F.struct("gm_code", "name"))).alias("default_municipalities")).withColumn("default_m", F.lit(True))
-    default_operators = all_operators.agg(F.sort_array(F.collect_list(
-        F.struct("system_id", "name"))).alias("default_operators")).withColumn("default_o", F.lit(True))
-
-    users = (tables.known_users().join(own_municipalities, "user_id", "left").join(own_operators, "user_id", "left")
-             .withColumn("default_m", F.col("own_municipalities").isNull() | F.col("own_operators").isNotNull())
-             .withColumn("default_o", F.col("own_operators").isNull() | F.col("own_municipalities").isNotNull()))
-    shown = lookup_join(lookup_join(users, defaults, "default_m", "left"), default_operators, "default_o", "left")
+    # The default lists are the same for all users: two scalar subqueries.
+    default_list = default_municipalities(with_data, tables.zones).agg(F.sort_array(F.collect_list(
+        F.struct("gm_code", "name")))).scalar()
+    default_operators = all_operators.agg(F.sort_array(F.collect_list(F.struct("system_id", "name")))).scalar()
+    shown = tables.known_users().join(own_municipalities, "user_id", "left").join(own_operators, "user_id", "left")
+    only_municipalities = F.col("own_municipalities").isNotNull() & F.col("own_operators").isNull()
+    only_operators = F.col("own_operators").isNotNull() & F.col("own_municipalities").isNull()
     return shown.select(
         "user_id", "type_of_organisation", "privileges",
         (F.col("type_of_organisation") == ADMIN).alias("is_admin"),
         F.array_contains("privileges", ORGANISATION_ADMIN).alias("is_contact_person_municipality"),
         F.col("own_municipalities").isNotNull().alias("filter_municipality"),
         F.col("own_operators").isNotNull().alias("filter_operator"),
-        F.coalesce("default_municipalities", "own_municipalities").alias("municipalities"),
-        F.coalesce("default_operators", "own_operators").alias("operators"))
+        F.when(only_municipalities, F.col("own_municipalities")).otherwise(default_list).alias("municipalities"),
+        F.when(only_operators, F.col("own_operators")).otherwise(default_operators).alias("operators"))
 
 
 def public_filter_values(with_data: DataFrame, zones: DataFrame, all_operators: DataFrame,

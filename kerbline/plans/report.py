@@ -15,9 +15,9 @@ LETTERS = tuple("abcdefghij")
 
 def _facts(stats: DataFrame, zones: DataFrame, f: Filter) -> DataFrame:
     """Statistics of the municipality in the period. Rows of all operators together pass every operator filter."""
-    refs = (zones.where(F.col("municipality") == f.gm_code).select(F.col("stats_ref").alias("zone_ref"))
-            .where(F.col("zone_ref").isNotNull()).distinct())
-    return lookup_join(keep(stats, f.in_days("date"), f.by_operator_or_all()), refs, "zone_ref", "left_semi")
+    refs = (zones.where((F.col("municipality") == f.gm_code) & F.col("stats_ref").isNotNull())
+            .select("municipality", F.col("stats_ref").alias("zone_ref")).distinct())
+    return lookup_join(keep(stats, f.in_days("date"), f.by_operator_or_all()), refs, "zone_ref")
 
 
 def report_triples(stats: DataFrame, zones: DataFrame, f: Filter) -> DataFrame:
@@ -36,7 +36,7 @@ def _ratio(top: Column, bottom: Column) -> Column:
 
 
 def indicators(stats: DataFrame, zones: DataFrame, f: Filter) -> DataFrame:
-    """Indicators a to j per zone reference and operator. NULL as operator counts as all operators together."""
+    """Indicators a to j per municipality, zone reference and operator. NULL as operator counts as all operators together."""
     days = F.lit(float(days_in_period(*f.days())))
     names = {
         "available": model.VEHICLES_AVAILABLE, "started": model.TRIPS_STARTED, "ended": model.TRIPS_ENDED,
@@ -46,7 +46,7 @@ def indicators(stats: DataFrame, zones: DataFrame, f: Filter) -> DataFrame:
     sums = [F.sum(F.when(F.col("stat_description") == description, F.col("value")).otherwise(0))
             .cast("double").alias(name) for name, description in names.items()]
     s = (_facts(stats, zones, f).withColumn("system_id", F.coalesce("system_id", F.lit("")))
-         .groupBy("zone_ref", "system_id").agg(*sums))
+         .groupBy("municipality", "zone_ref", "system_id").agg(*sums))
     c = {name: F.col(name) for name in names}
     a, b = c["available"] / days, c["started"] / days
     formulas = {
@@ -56,7 +56,7 @@ def indicators(stats: DataFrame, zones: DataFrame, f: Filter) -> DataFrame:
         "h": c["over_7_days"] / days, "i": _ratio(c["over_7_days"], c["available"]),
         "j": _ratio(c["duration"], c["ended"]) / 60.0,
     }
-    return s.select("zone_ref", "system_id", *(formulas[letter].alias(letter) for letter in LETTERS))
+    return s.select("municipality", "zone_ref", "system_id", *(formulas[letter].alias(letter) for letter in LETTERS))
 
 
 def report(stats: DataFrame, zones: DataFrame, f: Filter) -> DataFrame:
@@ -66,9 +66,8 @@ def report(stats: DataFrame, zones: DataFrame, f: Filter) -> DataFrame:
     statistics are read once for the active operators and their values.
     """
     values = F.struct(*LETTERS).alias("values")
-    per_operator = (indicators(stats, zones, f).groupBy("system_id")
-                    .agg(F.map_from_entries(F.collect_list(F.struct("zone_ref", values))).alias("by_zone"))
-                    .withColumn("municipality", F.lit(f.gm_code)))
+    per_operator = (indicators(stats, zones, f).groupBy("municipality", "system_id")
+                    .agg(F.map_from_entries(F.collect_list(F.struct("zone_ref", values))).alias("by_zone")))
     rows = zones.where((F.col("municipality") == f.gm_code) & F.col("zone_type").isin(*REPORT_ZONE_TYPES)).select(
         "municipality", "zone_type", "name", "stats_ref")
     found = F.try_element_at(F.col("by_zone"), F.col("stats_ref"))

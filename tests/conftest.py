@@ -11,7 +11,8 @@ from kerbline.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = build_session("tests", "local[4]", 4, **{
-        "spark.ui.enabled": "false", "spark.driver.memory": "4g",
+        "spark.ui.enabled": "false", "spark.sql.maxMetadataStringLength": "5000",
+        "spark.sql.debug.maxToStringFields": "200", "spark.driver.memory": "4g",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     session.sparkContext.setLogLevel("ERROR")
     yield session
