@@ -487,20 +487,27 @@ _DECISION = {
              "AS has_o, z.item AS zone, b.item AS operator FROM requests r JOIN user_account u ON u.user_id = r.user_id "
              "JOIN organisation o ON o.organisation_id = u.organisation_id LEFT JOIN bad_zone z "
              "ON z.request_id = r.request_id LEFT JOIN bad_operator b ON b.request_id = r.request_id",
-    "decided": "SELECT *, case when not is_admin and not has_m and not has_o then 'There should be at least a filter on "
-               "municipalities or operators.' when has_m and zone_ids = '' then 'No zone filter was specified, but user "
+}
+
+
+def _decided(asks_itself: str) -> str:
+    """Without a list of its own a request is refused only where no grants are added to it."""
+    return ("SELECT *, case when not is_admin and not has_m and not has_o then 'There should be at least a filter on "
+               "municipalities or operators.' when has_m and " + asks_itself + " and zone_ids = '' then 'No zone filter was specified, but user "
                "doesn''t have access to all zones.' when has_m and zone is not null then "
-               "concat('User is not allowed to access data within zone ', zone) when has_o and operators = '' then "
+               "concat('User is not allowed to access data within zone ', zone) when has_o and " + asks_itself + " and operators = '' then "
                "'No operator filter was specified, but user doesn''t have access to all operators.' when has_o and "
                "operator is not null then concat('User is not allowed to access operator ', operator) end AS reason "
-               "FROM facts",
-}
+               "FROM facts")
+
+
 oracle("acl_decisions", _ACCESS + " requests",
-       "SELECT request_id, user_id, reason IS NULL AS allowed, reason, may_export FROM decided", **_DECISION)
+       "SELECT request_id, user_id, reason IS NULL AS allowed, reason, may_export FROM decided", **_DECISION,
+       decided=_decided("true"))
 oracle("acl_export_decisions", _ACCESS + " requests",
        "SELECT request_id, user_id, reason IS NULL AND may_export AS allowed, case when reason is not null then reason "
        "when not may_export then 'This user is not admin and doesn''t have raw data rights.' end AS reason FROM decided",
-       **_DECISION)
+       **_DECISION, decided=_decided("is_admin"))
 oracle("acl_municipality_decisions", _ACCESS + " requests",
        "SELECT request_id, user_id, reason IS NULL AS allowed, reason FROM decided", **_GRANTS,
        decided="SELECT request_id, user_id, case when user_id in (select user_id from my_municipalities) and not exists "

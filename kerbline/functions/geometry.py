@@ -126,8 +126,10 @@ def within_polygon(lon: Column, lat: Column, rings: list[list[tuple[float, float
             if y1 != y2:
                 meets = lon < (lat - F.lit(y1)) * F.lit(x2 - x1) / F.lit(y2 - y1) + F.lit(x1)
                 crossed.append(((F.lit(y1) > lat) != (F.lit(y2) > lat)) & meets)
-            touched.append(lat.between(min(y1, y2), max(y1, y2)) & lon.between(min(x1, x2), max(x1, x2))
-                           & ((lat - F.lit(y1)) * F.lit(x2 - x1) == (lon - F.lit(x1)) * F.lit(y2 - y1)))
+            # On the line through both corners, and between them along the longer axis.
+            axis, low, high = (lon, x1, x2) if abs(x2 - x1) >= abs(y2 - y1) else (lat, y1, y2)
+            touched.append(((lat - F.lit(y1)) * F.lit(x2 - x1) == (lon - F.lit(x1)) * F.lit(y2 - y1))
+                           & axis.between(min(low, high), max(low, high)))
     if not crossed:
         return F.lit(False)
     return box & _balanced(lambda a, b: a != b, crossed) & ~_balanced(lambda a, b: a | b, touched)

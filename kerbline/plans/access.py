@@ -117,9 +117,11 @@ def user_grants(tables: AccessTables) -> DataFrame:
         F.coalesce("granted_operators", nothing).alias("granted_operators"))
 
 
-def decide(requests: DataFrame, tables: AccessTables) -> DataFrame:
+def decide(requests: DataFrame, tables: AccessTables, grants_added: bool = False) -> DataFrame:
     """(request_id, user_id, allowed, reason, may_export) for requests `request_id, user_id, zone_ids, operators`.
 
+    With `grants_added` the grants of a user who is not an administrator count as asked for on top.
+
     A zone is granted when its municipality is, so zones are looked up once instead of listed per user. Of the
     refused items the first in the order of asking is named.
     """
@@ -139,11 +141,12 @@ def decide(requests: DataFrame, tables: AccessTables) -> DataFrame:
         F.array_contains(F.col("municipalities"), z["municipality"]), F.lit(False)))["asked"]
     refused_operator = first_refused("operators", lambda o: ~F.array_contains(F.col("granted_operators"), o))
     by_zone, by_operator = F.size("municipalities") > 0, F.size("granted_operators") > 0
+    asks_itself = F.col("is_admin") | F.lit(not grants_added)
     reason = (F.when(F.col("is_admin").isNull(), UNKNOWN_USER)
               .when(~F.col("is_admin") & ~by_zone & ~by_operator, NO_GRANTS)
-              .when(by_zone & (F.size("zone_ids") == 0), ZONES_REQUIRED)
+              .when(by_zone & asks_itself & (F.size("zone_ids") == 0), ZONES_REQUIRED)
               .when(by_zone & refused_zone.isNotNull(), F.concat(F.lit(ZONE_REFUSED), refused_zone))
-              .when(by_operator & (F.size("operators") == 0), OPERATORS_REQUIRED)
+              .when(by_operator & asks_itself & (F.size("operators") == 0), OPERATORS_REQUIRED)
               .when(by_operator & refused_operator.isNotNull(), F.concat(F.lit(OPERATOR_REFUSED), refused_operator)))
     return known.select("request_id", "user_id", reason.isNull().alias("allowed"), reason.alias("reason"),
                         F.coalesce("may_export", F.lit(False)).alias("may_export"))
@@ -158,10 +161,10 @@ def decide_municipality(requests: DataFrame, tables: AccessTables) -> DataFrame:
 
 
 def decide_export(requests: DataFrame, tables: AccessTables) -> DataFrame:
-    """As `decide` for raw data, which needs a right of its own on top."""
+    """As `decide` for raw data: grants are added to the request, and a right of its own is needed."""
     reason = F.when(~F.col("allowed"), F.col("reason")).when(~F.col("may_export"), RAW_DATA_REFUSED)
-    return decide(requests, tables).select("request_id", "user_id", reason.isNull().alias("allowed"),
-                                           reason.alias("reason"))
+    decided = decide(requests, tables, grants_added=True)
+    return decided.select("request_id", "user_id", reason.isNull().alias("allowed"), reason.alias("reason"))
 
 
 # --- the rows of one user -------------------------------------------------------------------------------------

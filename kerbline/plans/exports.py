@@ -10,8 +10,9 @@ from kerbline.filters import Filter, keep
 from kerbline.functions.calendar import moment
 from kerbline.operators.lookup import lookup_join
 from kerbline.operators.spatial import build_grid, either_in_any_polygon, in_any_polygon
-from kerbline.plans.access import Scope
+from kerbline.plans.access import AccessTables, Scope, decide_export, scope_of
 from kerbline.plans.trips import END, START
+from kerbline.sources.sinks import append, export_by_date
 
 
 def _by_operator(facts: DataFrame, scope: Scope) -> DataFrame:
@@ -34,6 +35,28 @@ def visible_park_events(events: DataFrame, scope: Scope, f: Filter) -> DataFrame
     return found.select(*events.columns)
 
 
+def raw_export(trips: DataFrame, events: DataFrame, tables: AccessTables, user_id: str, f: Filter, folder: str,
+               audit: str, raw_api_call: str, now: datetime) -> dict[str, str]:
+    """Check the rights of a user, log the request, and write both tables by day; returns the folders.
+
+    The user's grants are added to the filter first; what was asked on top of them must be granted as well.
+    """
+    f.period()
+    spark = trips.sparkSession
+    request = spark.createDataFrame([(1, user_id, [str(z) for z in f.zone_ids], list(f.operators))],
+                                    "request_id bigint, user_id string, zone_ids array<string>, operators array<string>")
+    refused = decide_export(request, tables).where(~F.col("allowed")).first()
+    if refused is not None:
+        raise PermissionError(refused["reason"])
+    scope = scope_of(tables, user_id, f)
+    entry = spark.createDataFrame([(user_id, raw_api_call, f.to_json())], "user_id string, raw_api_call string, filter string")
+    append(audit_rows(entry, now), audit)
+    paths = {"trips": f"{folder}/trips", "park_events": f"{folder}/park_events"}
+    export_by_date(visible_trips(trips, scope, f), paths["trips"])
+    export_by_date(visible_park_events(events, scope, f), paths["park_events"])
+    return paths
+
+
 def audit_rows(requests: DataFrame, at: datetime) -> DataFrame:
     """Log rows of requests `user_id, raw_api_call` and their filter columns, the filter as JSON, keys sorted."""
     keys = sorted(c for c in requests.columns if c not in ("user_id", "raw_api_call", "request_id"))

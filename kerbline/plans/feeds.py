@@ -26,4 +26,5 @@ def feed_pages(feeds: DataFrame, now: datetime, page_ids: int = PAGE_IDS) -> Dat
     """The active feeds as JSON arrays ordered by id, one per page of ids."""
     rows = active_feeds(feeds, now)
     page = F.floor(F.col("feed_id") / F.lit(page_ids)).alias("page")
-    return rows.groupBy(page).agg(F.to_json(F.sort_array(F.collect_list(F.struct(*rows.columns)))).alias("feeds"))
+    feeds_of_page = F.sort_array(F.collect_list(F.struct(*rows.columns)))
+    return rows.groupBy(page).agg(F.to_json(feeds_of_page).alias("feeds")).orderBy("page")

@@ -13,8 +13,9 @@ from kerbline.functions.geometry import geojson_from_rings, parse_polygon, rings
 from kerbline.operators.lookup import lookup_join
 from kerbline.operators.spatial import build_grid, containing_polygons, in_any_polygon
 
-# A drawn polygon with more corners than this is joined as a zone instead of compiled into the filter.
-COMPILED_CORNERS = 200
+# A drawn polygon with more corners than this is joined as a zone instead of compiled into the filter: beyond it
+# the generated method gets too large for the JVM to optimise.
+COMPILED_CORNERS = 12
 
 AGE_LIMITS_DAYS = (2, 4, 7, 14)
 NO_EVENTS = [0] * (len(AGE_LIMITS_DAYS) + 1)

@@ -55,7 +55,7 @@ def rental_series(series: DataFrame, f: Filter, aggregation: str) -> DataFrame:
 def availability_document(values: DataFrame) -> DataFrame:
     """One row per bucket: `time` and a map of name → amount. The number of names bounds the map."""
     entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "amount"))))
-    return values.groupBy(F.col("bucket").alias("time")).agg(entries.alias("values"))
+    return values.groupBy(F.col("bucket").alias("time")).agg(entries.alias("values")).orderBy("time")
 
 
 def rental_document(values: DataFrame) -> DataFrame:
@@ -65,4 +65,4 @@ def rental_document(values: DataFrame) -> DataFrame:
     per_operator = values.groupBy("bucket", "system_id").agg(F.map_from_entries(F.sort_array(F.collect_list(
         F.struct("modality", counts.alias("counts"))))).alias("modalities"))
     return per_operator.groupBy(F.col("bucket").alias("time")).agg(F.map_from_entries(
-        F.collect_list(F.struct("system_id", "modalities"))).alias("values"))
+        F.collect_list(F.struct("system_id", "modalities"))).alias("values")).orderBy("time")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kerbline.filters import Filter, keep, operator_present
-from kerbline.functions.calendar import PERIODS, calendar, level, moment
+from kerbline.functions.calendar import PERIODS, calendar, level
 from kerbline.model import TRIPS_STARTED, VEHICLES_AVAILABLE
 from kerbline.operators.gapfill import gap_fill
 from kerbline.operators.lookup import lookup_join
@@ -65,12 +65,13 @@ def period_operator_grid(stats: DataFrame, zones: DataFrame, f: Filter, aggregat
 def pivot_by_operator(values: DataFrame, period: str = "time_period") -> DataFrame:
     """One record per period: its start and a map of operator → value. The number of operators bounds the map."""
     entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct("system_id", "value"))))
-    return values.groupBy(F.col(period).alias("start_interval")).agg(entries.alias("values"))
+    return values.groupBy(F.col(period).alias("start_interval")).agg(entries.alias("values")).orderBy("start_interval")
 
 
 def pivot_columns(values: DataFrame, operators: list[str], period: str = "time_period") -> DataFrame:
     """As `pivot_by_operator` for known operators: one column each."""
-    return values.groupBy(F.col(period).alias("start_interval")).pivot("system_id", operators).agg(F.first("value"))
+    return (values.groupBy(F.col(period).alias("start_interval")).pivot("system_id", operators).agg(F.first("value"))
+            .orderBy("start_interval"))
 
 
 def missing_days(spark: SparkSession, stats: DataFrame, f: Filter, description: str) -> DataFrame:

@@ -4,7 +4,6 @@ import re
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from checks.queries import ALL_ZONES, CHOSEN_ZONES, POLYGON, QUERIES
 from kerbline.filters import Filter
@@ -87,12 +86,3 @@ def test_detections_are_shuffled_once_per_slice(spark):
     df = QUERIES["movements"](spark, FOLDER)
     df.collect()
     assert "ReusedExchange" in plan(df)
-
-
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_query_needs_a_cross_join(spark, name):
-    if name.startswith(("stream_", "raw_export", "active_users", "audit", "report_export")):
-        pytest.skip("written and read back")
-    text = plan(QUERIES[name](spark, FOLDER))
-    assert "CartesianProduct" not in text and "NestedLoop" not in text
-    assert "ArrowEvalPython" not in text and "BatchEvalPython" not in text
