@@ -520,9 +520,9 @@ def active_users_daily(t: Fixtures) -> DataFrame:
     """Registered twice: the second time adds nothing."""
     path = shared_dir(t.spark, "active-users")
     rows = exports.active_users(_visits(t), SALT)
-    sinks.append(rows.where(F.col("active_on") < F.lit("2024-01-10").cast("date")), path)
-    sinks.append_if_absent(rows, path, ["user_hash", "active_on"])
-    return t.spark.read.parquet(path)
+    sinks.append(rows.where(F.col("active_on") < F.lit("2024-01-10").cast("date")), path, "active_on")
+    sinks.append_if_absent(rows, path, ["user_hash", "active_on"], "active_on")
+    return t.spark.read.schema(rows.schema).parquet(path)
 
 
 @query

@@ -13,6 +13,8 @@ from kerbline.functions.calendar import moment
 
 TIMESTAMP_FORMAT = "%Y-%m-%dT%H:%M:%SZ"
 UNKNOWN_FORM_FACTOR = "unknown"
+# Partition column of fact tables that are stored by day.
+START_DATE = "start_date"
 
 
 def _items(args: Mapping, key: str) -> tuple[str, ...]:
@@ -126,6 +128,18 @@ def keep(df: DataFrame, *predicates: Column | None) -> DataFrame:
     return df
 
 
+def prune_days(df: DataFrame, first: datetime | None = None, last: datetime | None = None) -> DataFrame:
+    """Skip whole days of a table that is stored by the day of `start_time`; other tables pass as they are.
+
+    Rows of such a table never end before they start.
+    """
+    if START_DATE not in df.columns:
+        return df
+    day = F.col(START_DATE)
+    return keep(df, None if first is None else day >= F.lit(first.date().isoformat()).cast("date"),
+                None if last is None else day <= F.lit(last.date().isoformat()).cast("date"))
+
+
 def parked_now() -> Column:
     return F.col("end_time").isNull()
 

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
-from kerbline.filters import Filter, keep
+from kerbline.filters import Filter, prune_days
 from kerbline.functions.calendar import moment
 from kerbline.operators.lookup import lookup_join
 from kerbline.operators.spatial import build_grid, either_in_any_polygon, in_any_polygon
@@ -21,7 +21,7 @@ def _by_operator(facts: DataFrame, scope: Scope) -> DataFrame:
 
 def visible_trips(trips: DataFrame, scope: Scope, f: Filter) -> DataFrame:
     """Trips of the period within the scope, all columns."""
-    found = _by_operator(trips.where(f.contained_in_period()), scope)
+    found = _by_operator(prune_days(trips, *f.period()).where(f.contained_in_period()), scope)
     if scope.zones is not None:
         found = either_in_any_polygon(found, build_grid(scope.zones), START, END)
     return found.select(*trips.columns)
@@ -29,7 +29,7 @@ def visible_trips(trips: DataFrame, scope: Scope, f: Filter) -> DataFrame:
 
 def visible_park_events(events: DataFrame, scope: Scope, f: Filter) -> DataFrame:
     """Park events that start in the period within the scope, all columns."""
-    found = _by_operator(events.where(f.in_period("start_time")), scope)
+    found = _by_operator(prune_days(events, *f.period()).where(f.in_period("start_time")), scope)
     if scope.zones is not None:
         found = in_any_polygon(found, build_grid(scope.zones))
     return found.select(*events.columns)

@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kerbline.filters import Filter, keep, parked_now
+from kerbline.filters import Filter, keep, parked_now, prune_days
 from kerbline.functions.calendar import moment
 from kerbline.functions.geometry import geojson_from_rings, parse_polygon, rings_from_geojson, within_polygon
 from kerbline.operators.lookup import lookup_join
@@ -28,6 +28,10 @@ def location(lon: str = "lon", lat: str = "lat", name: str = "location") -> Colu
     return F.struct(F.col(lat).alias("latitude"), F.col(lon).alias("longitude")).alias(name)
 
 
+def _parked(events: DataFrame, f: Filter) -> DataFrame:
+    return keep(prune_days(events, last=f.instant()), f.parked_at_instant())
+
+
 def _with_form_factor(events: DataFrame, vehicle_types: DataFrame, f: Filter) -> DataFrame:
     """The filter comes after the outer join, because it may ask for vehicles without a form factor."""
     return keep(lookup_join(events, vehicle_types, "vehicle_type_id", "left"), f.by_form_factor())
@@ -41,7 +45,7 @@ def _in_zones(events: DataFrame, zones: DataFrame, f: Filter) -> DataFrame:
 
 def park_events_at(events: DataFrame, vehicle_types: DataFrame, zones: DataFrame, f: Filter) -> DataFrame:
     """Vehicles parked at the filter's timestamp, one document per parking interval."""
-    parked = keep(events, f.parked_at_instant(), f.by_operator())
+    parked = keep(_parked(events, f), f.by_operator())
     found = _with_form_factor(_in_zones(parked, zones, f), vehicle_types, f)
     return found.select("system_id", "bike_id", location(), "start_time", "end_time", "form_factor")
 
@@ -58,7 +62,7 @@ def public_vehicles(events: DataFrame, vehicle_types: DataFrame, zones: DataFram
 def park_count(events: DataFrame, vehicle_types: DataFrame, f: Filter) -> DataFrame:
     """Vehicles parked inside a drawn polygon, by form factor. Events without a vehicle id are not counted."""
     rings = parse_polygon(f.geojson)
-    parked = events.where(f.parked_at_instant())
+    parked = _parked(events, f)
     if sum(len(ring) for ring in rings) <= COMPILED_CORNERS:
         inside = parked.where(within_polygon(F.col("lon"), F.col("lat"), rings))
     else:
@@ -84,7 +88,7 @@ def age_bucket(start_time: Column, at: Column) -> Column:
 def park_event_stats(events: DataFrame, vehicle_types: DataFrame, zones: DataFrame, f: Filter) -> DataFrame:
     """Number of parked vehicles per zone and age bucket, as an array of five; zones without events have zeros."""
     chosen = zones.where(f.by_zone() if f.zone_ids else F.lit(False))
-    parked = keep(events, f.parked_at_instant(), f.by_operator())
+    parked = keep(_parked(events, f), f.by_operator())
     if f.form_factors:
         parked = _with_form_factor(parked, vehicle_types, f)
     bucket = age_bucket(F.col("start_time"), moment(f.instant()))
@@ -131,5 +135,5 @@ def events_by_date_index(events: DataFrame, index: DataFrame, f: Filter) -> Data
     """Events parked at the timestamp, found through the index of its date."""
     day = F.lit(f.instant().date().isoformat()).cast("date")
     ids = index.where(F.col("on_date") == day).select(F.explode("park_event_ids").alias("park_event_id"))
-    candidates = keep(events, f.parked_at_instant(), f.by_operator())
+    candidates = keep(_parked(events, f), f.by_operator())
     return candidates.join(ids, "park_event_id", "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from kerbline.filters import Filter, keep
+from kerbline.filters import Filter, keep, prune_days
 from kerbline.operators.spatial import build_grid, containing_polygons, in_any_polygon
 from kerbline.plans.park import location
 from kerbline.plans.trips import with_zone_counts
@@ -19,13 +19,15 @@ def _located_in_zones(events: DataFrame, zones: DataFrame, f: Filter) -> DataFra
 
 def rental_starts(events: DataFrame, zones: DataFrame, f: Filter) -> DataFrame:
     """Rentals that start in the period. As in the source system the reported time is the start of the interval."""
-    found = _located_in_zones(keep(events, f.in_period("end_time"), f.by_operator()), zones, f)
+    ended = keep(prune_days(events, last=f.period()[1]), f.in_period("end_time"), f.by_operator())
+    found = _located_in_zones(ended, zones, f)
     return found.select("system_id", "bike_id", location(), F.col("start_time").alias("departure_time"))
 
 
 def rental_ends(events: DataFrame, zones: DataFrame, f: Filter) -> DataFrame:
     """Rentals that end in the period; the reported time is the end of the interval, which may still be open."""
-    found = _located_in_zones(keep(events, f.in_period("start_time"), f.by_operator()), zones, f)
+    begun = keep(prune_days(events, *f.period()), f.in_period("start_time"), f.by_operator())
+    found = _located_in_zones(begun, zones, f)
     return found.select("system_id", "bike_id", location(), F.col("end_time").alias("arrival_time"))
 
 
@@ -33,7 +35,7 @@ def rental_zone_stats(events: DataFrame, zones: DataFrame, f: Filter) -> DataFra
     """Number of rentals that end and that start in each zone, in this order, in one pass over the events."""
     chosen = zones.where(f.by_zone() if f.zone_ids else F.lit(False))
     ends, starts = f.in_period("start_time"), f.in_period("end_time")
-    edges = keep(events, ends | starts, f.by_operator()).select(
+    edges = keep(prune_days(events, last=f.period()[1]), ends | starts, f.by_operator()).select(
         "lon", "lat", F.coalesce(ends, F.lit(False)).alias("is_end"), F.coalesce(starts, F.lit(False)).alias("is_start"))
     grid = build_grid(chosen)
     counts = (containing_polygons(edges, grid).groupBy("zone_id")

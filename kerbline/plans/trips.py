@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kerbline.filters import Filter, keep
+from kerbline.filters import Filter, keep, prune_days
 from kerbline.functions.geometry import hundreds_of_metres, travelled_metres, whole_metres
 from kerbline.operators.lookup import lookup_join
 from kerbline.operators.spatial import build_grid, containing_polygons, either_in_any_polygon, in_any_polygon
@@ -19,7 +19,7 @@ def _metres() -> Column:
 
 
 def _in_period(trips: DataFrame, f: Filter) -> DataFrame:
-    return keep(trips, f.contained_in_period(), f.by_operator())
+    return keep(prune_days(trips, *f.period()), f.contained_in_period(), f.by_operator())
 
 
 def _typed(trips: DataFrame, vehicle_types: DataFrame, f: Filter) -> DataFrame:

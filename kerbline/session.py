@@ -18,13 +18,17 @@ RUNTIME_CONF = {
 }
 
 
+# Call sites of Column functions cost several calls into the JVM each; plans here are built from many of them.
+BUILD_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
 def build_session(app_name: str = "kerbline", master: str | None = None, shuffle_partitions: int = 4096,
                   **conf: str) -> SparkSession:
     """A session for a cluster, or for `local[n]` when `master` says so."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    settings = {**RUNTIME_CONF, "spark.sql.shuffle.partitions": str(shuffle_partitions), **conf}
+    settings = {**RUNTIME_CONF, **BUILD_CONF, "spark.sql.shuffle.partitions": str(shuffle_partitions), **conf}
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 
-def append(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append(df: DataFrame, path: str, *days: str) -> None:
+    """Append, stored by the columns named."""
+    df.write.mode("append").partitionBy(*days).parquet(path)
 
 
-def append_if_absent(rows: DataFrame, path: str, keys: list[str]) -> int:
-    """Append the rows whose keys the table does not hold yet; returns how many. The table must exist."""
-    spark = rows.sparkSession
-    target = spark.read.schema(rows.schema).parquet(path).select(*keys)
-    fresh = rows.join(target, keys, "left_anti").select(*rows.columns)
-    before = target.count()
-    fresh.write.mode("append").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path).count() - before
+def append_if_absent(rows: DataFrame, path: str, keys: list[str], day: str) -> int:
+    """Append the rows whose keys the table does not hold yet; returns how many.
+
+    The table must exist. It is stored by `day`, one of the keys, and only the days of the new rows are read.
+    """
+    first, last = rows.agg(F.min(day), F.max(day)).first()
+    stored = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    target = stored.where(F.col(day).between(F.lit(first), F.lit(last))).select(*keys)
+    added = Observation("added")
+    fresh = rows.join(target, keys, "left_anti").select(*rows.columns).observe(added, F.count(F.lit(1)).alias("rows"))
+    fresh.write.mode("append").partitionBy(day).parquet(path)
+    return added.get["rows"]
 
 
 def export_by_date(df: DataFrame, path: str, time: str = "start_time", date: str = "start_date",

@@ -5,10 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbline.model import SCHEMAS
-from kerbline.plans import exports, feeds
+from kerbline.filters import Filter
+from kerbline.plans import exports, feeds, park, rentals
 from kerbline.session import shared_dir
 from kerbline.sources import sinks, tables
 from kerbline.streaming import streams
+from tests.shapes import vehicle_types
 
 NOW = datetime(2024, 1, 30, 12)
 
@@ -22,10 +24,10 @@ def test_active_users_are_stored_once_per_day(spark):
     day = datetime(2024, 1, 1, 9)
     rows = exports.active_users(_visits(spark, ("a", "admin", day), ("a", "admin", day + timedelta(hours=1)),
                                         ("", None, day), (None, None, day), ("b", None, day)), ":salt")
-    sinks.append(rows, path)
-    assert sinks.append_if_absent(rows, path, ["user_hash", "active_on"]) == 0
+    sinks.append(rows, path, "active_on")
+    assert sinks.append_if_absent(rows, path, ["user_hash", "active_on"], "active_on") == 0
     later = exports.active_users(_visits(spark, ("a", "admin", day), ("a", "admin", day + timedelta(days=1))), ":salt")
-    assert sinks.append_if_absent(later, path, ["user_hash", "active_on"]) == 1
+    assert sinks.append_if_absent(later, path, ["user_hash", "active_on"], "active_on") == 1
     stored = spark.read.parquet(path)
     assert stored.count() == 3
     import hashlib
@@ -46,6 +48,10 @@ def test_export_by_date_prunes_partitions(spark):
     sinks.export_by_date(spark.createDataFrame(rows, SCHEMAS["park_events"]), path)
     back = spark.read.parquet(path)
     assert back.count() == 30 and set(back.columns) == {*SCHEMAS["park_events"].fieldNames(), "start_date"}
+    for plan in (rentals.rental_ends(back, None, Filter(start_time=datetime(2024, 1, 2), end_time=datetime(2024, 1, 2))),
+                 park.park_events_at(back, vehicle_types(spark), None, Filter(timestamp=datetime(2024, 1, 2, 5)))):
+        assert "PartitionFilters: [isnotnull(start_date" in plan._jdf.queryExecution().executedPlan().toString()
+    assert plan.count() == 20
     one = back.where(F.col("start_date") == F.lit("2024-01-02").cast("date"))
     assert one.count() == 10
     assert "PartitionFilters: [isnotnull(start_date" in one._jdf.queryExecution().executedPlan().toString()
