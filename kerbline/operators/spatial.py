@@ -70,22 +70,32 @@ def build_grid(polygons: DataFrame, key: str = "zone_id", rings: str = "rings",
                margin: float = 0.0, broadcast_items: int = BROADCAST_ITEMS, salts: int = SALTS) -> Grid:
     """Cut the polygons into cells. One small job over the polygons measures them first.
 
+    Cells get coarser, down to a degree, while that makes them fit a broadcast; the result of a join is the same.
     With a `margin` (in degrees) the cells also cover the surroundings, and hold the edges within the margin.
     """
     if per_degree < 1 or per_degree & (per_degree - 1):
         raise ValueError("cells per degree must be a power of two")
-    n, pad = f"{float(per_degree)!r}d", f"{float(margin)!r}d"
+    pad = f"{float(margin)!r}d"
     shapes = (polygons.where(F.col(rings).isNotNull())
               .select(key, geo.polygon_edges(rings).alias("_edges"))
               .selectExpr(key, "_edges", f"array_min(_edges.x1) - {pad} as _west", f"array_min(_edges.y1) - {pad} as _south",
                           f"array_max(_edges.x1) + {pad} as _east", f"array_max(_edges.y1) + {pad} as _north")
               .where("_west is not null"))
 
-    columns = f"(floor(_east * {n}) - floor(_west * {n}) + 1)"
-    rows = f"(floor(_north * {n}) - floor(_south * {n}) + 1)"
-    edge_rows = f"aggregate(_edges, 0L, (total, e) -> total + floor((abs(e.y1 - e.y2) + 2 * {pad}) * {n}) + 2)"
-    items, *box = shapes.selectExpr(f"sum({columns} * ({rows} + {edge_rows}))", "min(_west)", "min(_south)",
-                                    "max(_east)", "max(_north)").collect()[0]
+    def items(n: int) -> str:
+        """Upper bound of the cells and the edges held by cells."""
+        columns = f"(floor(_east * {n}) - floor(_west * {n}) + 1)"
+        rows = f"(floor(_north * {n}) - floor(_south * {n}) + 1)"
+        edge_rows = f"aggregate(_edges, 0L, (total, e) -> total + floor((abs(e.y1 - e.y2) + 2 * {pad}) * {n}) + 2)"
+        return f"sum({columns} * ({rows} + {edge_rows}))"
+
+    levels = [per_degree >> shift for shift in range(per_degree.bit_length())]
+    *box, sizes = shapes.selectExpr("min(_west)", "min(_south)", "max(_east)", "max(_north)",
+                                     f"array({', '.join(map(items, levels))})").collect()[0]
+    empty = box[0] is None
+    fitting = levels if empty else [level for level, size in zip(levels, sizes) if size <= broadcast_items]
+    per_degree = fitting[0] if fitting else per_degree
+    n = f"{float(per_degree)!r}d"
 
     # First the edges of a row of cells, then those of a cell that a ray to the east can meet.
     by_row = shapes.withColumn("_cell_y", F.expr(f"explode(sequence(floor(_south * {n}), floor(_north * {n})))")).withColumn(
@@ -99,7 +109,7 @@ def build_grid(polygons: DataFrame, key: str = "zone_id", rings: str = "rings",
     cells = marked.where(f"_border or {geo.parity('_edges', *centre)}").selectExpr(
         key, "cast(_cell_x as int) as _cell_x", "cast(_cell_y as int) as _cell_y", "not _border as _covered",
         "case when _border then _edges end as _edges", "_west", "_south", "_east", "_north")
-    return Grid(cells, key, tuple(box) if items else None, (items or 0) <= broadcast_items, per_degree, salts)
+    return Grid(cells, key, None if empty else tuple(box), bool(fitting), per_degree, salts)
 
 
 def containing_polygons(points: DataFrame, grid: Grid, lon: str = "lon", lat: str = "lat",

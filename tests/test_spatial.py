@@ -113,6 +113,13 @@ def test_unknown_position_is_nowhere(spark):
     assert [r["pid"] for r in in_any_polygon(df, build_grid(polygons(spark, z1=[square(4, 52)]))).collect()] == [0]
 
 
+def test_large_areas_get_coarser_cells_before_the_join_is_shuffled(world):
+    shapes, spots, _, expected = world
+    grid = build_grid(shapes, broadcast_items=6000)
+    assert grid.broadcast and grid.per_degree < 16
+    assert {tuple(r) for r in containing_polygons(spots, grid).select("pid", "zone_id").collect()} == expected
+
+
 def test_cells_per_degree_must_be_a_power_of_two(spark):
     with pytest.raises(ValueError):
         build_grid(polygons(spark, z1=[square(4, 52)]), per_degree=10)
