@@ -71,7 +71,7 @@ def report(stats: DataFrame, zones: DataFrame, f: Filter) -> DataFrame:
     rows = zones.where((F.col("municipality") == f.gm_code) & F.col("zone_type").isin(*REPORT_ZONE_TYPES)).select(
         "municipality", "zone_type", "name", "stats_ref")
     found = F.try_element_at(F.col("by_zone"), F.col("stats_ref"))
-    return (lookup_join(rows, per_operator, "municipality")
+    return (lookup_join(per_operator, rows, "municipality")
             .select("system_id", "zone_type", "name", "stats_ref",
                     *(found[letter].alias(letter) for letter in LETTERS)))
 

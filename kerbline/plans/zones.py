@@ -95,7 +95,7 @@ def number_rows(df: DataFrame, key: str, column: str, start: int, run_bits: int
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = totals.select("_run", before.alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_run").orderBy(key))
-    return (lookup_join(runs.withColumn("_rank", rank), offsets, "_run")
+    return (runs.withColumn("_rank", rank).join(offsets, "_run")
             .withColumn(column, (F.lit(start) + F.col("_before") + F.col("_rank")).cast("bigint"))
             .drop("_run", "_before", "_rank"))
 
@@ -105,7 +105,7 @@ def create_zones(zones: DataFrame, requests: DataFrame) -> tuple[DataFrame, Data
 
     `requests` has `request_id, name, municipality, rings`. The caller appends the new zones to the table.
     """
-    checked = lookup_join(requests, check_zone_requests(requests, zones), "request_id", "left")
+    checked = requests.join(check_zone_requests(requests, zones), "request_id", "left")
     valid = F.coalesce("is_valid", F.lit(False))
     last = zones.agg(F.max("zone_id")).first()[0] or 0
     numbered = number_rows(checked.where(valid), "request_id", "zone_id", last)
