@@ -7,7 +7,7 @@ import pytest
 
 from checks.queries import ALL_ZONES, CHOSEN_ZONES, POLYGON, QUERIES
 from kerbline.filters import Filter
-from kerbline.operators.spatial import build_grid, containing_polygons
+from kerbline.operators.spatial import build_grid, containing_polygons, either_in_any_polygon
 from kerbline.plans import park, trips
 from kerbline.session import shared_dir
 from kerbline.sources import tables
@@ -82,6 +82,13 @@ def test_points_are_shuffled_only_beyond_the_limit(spark, stored):
     assert "_salt" in large and "NestedLoop" not in large
 
 
+def test_either_end_beyond_the_limit_joins_by_cell_and_salt(stored):
+    grid = build_grid(stored["zones"], broadcast_items=10)
+    text = plan(either_in_any_polygon(stored["trips"], grid, trips.START, trips.END))
+    assert text.count("ExistenceJoin") == 2 and "NestedLoop" not in text
+    assert len([line for line in text.splitlines() if "FileScan" in line and "start_lon" in line]) == 1
+
+
 def test_detections_are_shuffled_once_per_slice(spark):
     df = QUERIES["movements"](spark, FOLDER)
     df.collect()
