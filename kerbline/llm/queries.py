@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kerbline.llm import langid, merkle, quality
+from kerbline.llm.bpe import encode_decode
 from kerbline.llm.suffix import remove_repeats
 from kerbline.llm.work import documents
 
@@ -17,8 +20,44 @@ def op1_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
                       F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def _remainder(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False))
+    model = quality.learn(docs, documents(spark, folder, "labels"), ~held_out)
+    return (docs.select("doc_id", held_out.alias("held_out"), quality.features("text").alias("_f"))
+            .select("doc_id", "held_out", quality.score(model, F.col("_f")).alias("score"))
+            .withColumn("predicted", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0)))
+
+
+def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    out = encode_decode(documents(spark, folder).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                        public_tokenizers.PATTERN)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_merkle_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.compare_with_next(documents(spark, folder)).withColumnRenamed("row_id", "doc_id")
+
+
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
+    out = langid.identify(docs, ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op8_merkle_fingerprints": op8_merkle_fingerprints,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE: dict[str, str] = {}
