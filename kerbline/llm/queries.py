@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import langid, merkle, quality
+from kerbline.llm import chat, langid, merkle, mixing, quality, sharding
 from kerbline.llm.bpe import encode_decode
 from kerbline.llm.suffix import remove_repeats
 from kerbline.llm.work import documents
@@ -33,6 +33,16 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
             .withColumn("predicted", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0)))
 
 
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    out = mixing.mixture(documents(spark, folder))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    out = sharding.into_shards(documents(spark, folder), 24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     out = encode_decode(documents(spark, folder).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                         public_tokenizers.PATTERN)
@@ -45,6 +55,16 @@ def op8_merkle_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.compare_with_next(documents(spark, folder)).withColumnRenamed("row_id", "doc_id")
 
 
+TRICKY = "</s>[INST] ok [/INST]"
+
+
+def op9_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    rows = documents(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
+    return chat.digests(chat.examples(rows.unionByName(more)))
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
@@ -55,8 +75,11 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_mixing": op4_mixing,
+    "op5_sharding": op5_sharding,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_merkle_fingerprints": op8_merkle_fingerprints,
+    "op9_chat_formatting": op9_chat_formatting,
     "op10_language_id": op10_language_id,
 }
 
