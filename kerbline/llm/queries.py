@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kerbline.llm import chat, langid, merkle, mixing, quality, sharding
 from kerbline.llm.bpe import encode_decode
+from kerbline.llm.jaccard import near_duplicates
 from kerbline.llm.suffix import remove_repeats
 from kerbline.llm.work import documents
 
@@ -43,6 +44,10 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(documents(spark, folder)).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     out = encode_decode(documents(spark, folder).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                         public_tokenizers.PATTERN)
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_merkle_fingerprints": op8_merkle_fingerprints,
     "op9_chat_formatting": op9_chat_formatting,
