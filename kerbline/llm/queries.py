@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kerbline.llm import chat, langid, merkle, mixing, quality, sharding
 from kerbline.llm.bpe import encode_decode
+from kerbline.llm.epsilon import near_vectors
 from kerbline.llm.jaccard import near_duplicates
 from kerbline.llm.suffix import remove_repeats
 from kerbline.llm.work import documents
@@ -21,6 +22,10 @@ def op1_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
                       F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_epsilon_grid_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(documents(spark, folder, "embeddings"))
+
+
 def _remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
@@ -79,6 +84,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_epsilon_grid_join": op2_epsilon_grid_join,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
