@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.llm.shingles import mix, shingle_sets
-from kerbline.llm.work import components, row_key, stored
+from kerbline.llm.work import WORD, components, row_key, stored
 
 BLOCK = 512  # classes
 BATCH_TOKENS = 1_500_000  # whose counts a map task sends at a time
@@ -452,3 +452,20 @@ def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     out = known.join(least, "root", "left")
     return out.select("_row.*", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).alias("class_id"),
                       F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, row_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80,
+                    orders: int = ORDERS) -> DataFrame:
+    """`docs` with one row of every component: the one of the smallest id (null last; of equal ids one by hash).
+
+    Rows without words link with nothing and all stay. Of equal rows one stays.
+    """
+    rows, roots = linked_classes(docs, row_id, text, width, percent, orders)
+    sets = rows.where("n > 0").select("_ka", "_kb", "c").dropDuplicates(["_ka", "_kb"])
+    ids = docs.select(F.col(row_id).alias("_id"), *row_key(row_id, text))
+    chosen = (ids.join(sets, ["_ka", "_kb"]).join(roots.select(F.col("node").alias("c"), "root"), "c", "left")
+              .groupBy(F.coalesce("root", "c").alias("_root"))
+              .agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "_ka", "_kb")).alias("k")).select("k._ka", "k._kb"))
+    worded = F.coalesce(F.col(text).rlike(WORD), F.lit(False))
+    first = docs.where(worded).withColumns(dict(zip(("_ka", "_kb"), row_key(row_id, text)))).join(stored(chosen, "chosen"), ["_ka", "_kb"], "left_semi")
+    return first.dropDuplicates(["_ka", "_kb"]).drop("_ka", "_kb").unionByName(docs.where(~worded))

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -278,38 +279,48 @@ def merged(spans) -> list[tuple[int, int]]:
     return [(b, e) for b, e in out]
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in batches:
-        kept, removed, ranges = [], [], []
-        for data, spans in zip(frame["_bytes"], frame["spans"]):
-            data = bytes(data)
-            cuts = merged(spans) if spans is not None else []
-            at, parts = 0, []
-            for b, e in cuts:
-                parts.append(data[at:b])
-                at = e
-            parts.append(data[at:])
-            kept.append(b"".join(parts) if cuts else data)
-            removed.append(sum(e - b for b, e in cuts))
-            ranges.append([{"begin": b, "end": e} for b, e in cuts])
-        yield pd.DataFrame({"_row": frame["_row"], "n_bytes": [len(x) for x in frame["_bytes"]], "n_removed": removed,
-                            "removed": ranges, "kept": kept})
+def _cut(as_text: bool):
+    kind = pa.string() if as_text else pa.binary()
+    ranges_kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, sizes, removed, ranges = [], [], [], []
+            for data, spans in zip(batch.column("_bytes").to_pylist(), batch.column("spans").to_pylist()):
+                cuts = merged(spans) if spans is not None else []
+                at, parts = 0, []
+                for b, e in cuts:
+                    parts.append(data[at:b])
+                    at = e
+                parts.append(data[at:])
+                left = b"".join(parts) if cuts else data
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
+                sizes.append(len(data))
+                removed.append(sum(e - b for b, e in cuts))
+                ranges.append([{"begin": b, "end": e} for b, e in cuts])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_row"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(ranges, ranges_kind), pa.array(kept, kind)],
+                names=["_row", "n_bytes", "n_removed", "removed", "kept"])
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, row_id: str = "doc_id", text: str = "text", length: int = 400,
-                   carry: list[str] | None = None) -> DataFrame:
+                   carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """The rows of `docs` without the bytes that lie in a `length`-byte string which also starts anywhere else.
 
     Returns the columns `carry` (default: the id), n_bytes, n_removed, removed (maximal ranges of bytes) and kept (the
-    bytes that remain, possibly ending within a character). A null text counts as empty; texts shorter than `length`
+    bytes that remain). A range may begin or end within a character; with `as_text`, kept is a string without the parts of
+    such characters. A null text counts as empty; texts shorter than `length`
     stay whole; equal rows count as different places and lose the same bytes; a null id is an id like any other; other
     columns, whatever their names, are not looked at. An empty table gives an empty table.
     """
     names = [row_id] if carry is None else carry
-    data = docs.select(*row_key(row_id, text), F.struct(*names).alias("_row"),
+    data = docs.select(*row_key(row_id, text), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"),
                        F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_bytes"))
     spans = repeated_spans(docs, row_id, text, length)
     joined = data.join(spans, ["_ka", "_kb"], "left").select("_row", "_bytes", "spans")
     row = joined.schema["_row"].dataType.simpleString()
-    out = joined.mapInPandas(_cut, f"_row {row}, n_bytes long, n_removed long, removed array<struct<begin:int,end:int>>, kept binary")
+    out = joined.mapInArrow(_cut(as_text), f"_row {row}, n_bytes long, n_removed long, removed array<struct<begin:int,end:int>>, "
+                            f"kept {'string' if as_text else 'binary'}")
     return out.select("_row.*", "n_bytes", "n_removed", "removed", "kept")
