@@ -1,7 +1,8 @@
 """Burrows-Wheeler transforms of string collections, and their merge by interleave refinement.
 
-A collection is a list of byte strings. Every string is closed by a terminator that is below all bytes, so no comparison
-runs on into the next string. All orders are by the first `depth` symbols; suffixes that agree on them are one class.
+A collection is a list of byte strings. Every string is closed by a terminator that is below all bytes. All orders are by
+the first `depth` symbols; suffixes that agree on them are one class. A suffix that ends earlier is never in one class
+with a longer one; how equal short ones are arranged does not matter.
 
 `transform` orders the suffixes of one shard. `merge` takes several transformed shards and never sorts their suffixes
 by content: it starts from the shards laid end to end (the interleave of depth 0) and refines which shard each place of
