@@ -13,9 +13,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kerbline.llm.work import drawn
+
 WINDOW = 128
 SIDE_BY_SIDE = 2048  # windows
 LETTER = regex.compile(r"\p{L}")
@@ -203,8 +205,7 @@ def sample_bytes(docs: DataFrame, learn: Column, row_id: str, text: str, lang: s
     some = (docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
             .select(F.substring(text, at.cast("int") + 1, F.lit(chars)).alias("piece"), F.col(lang).alias("label"),
                     F.xxhash64(F.lit(11), row_id).alias("drawn")))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("drawn", "piece"))
-    rows = some.withColumn("rank", rank).where(F.col("rank") <= per_label).orderBy("label", "rank").collect()
+    rows = drawn(some, "label", ["drawn", "piece"], per_label).orderBy("label", "drawn", "piece").collect()
     return [(r["piece"].encode(), r["label"]) for r in rows]
 
 

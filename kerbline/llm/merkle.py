@@ -85,7 +85,7 @@ def _size(print_: str) -> int:
 
 
 def likeness(one: str, two: str) -> float:
-    """Twice the characters below common nodes over all characters, from the fingerprints alone; 1 for equal roots."""
+    """Twice the characters below common nodes over all characters, from the fingerprints alone; 1 for equal roots only."""
     if one.partition(";")[0] == two.partition(";")[0]:
         return 1.0
     total = _size(one) + _size(two)
@@ -94,7 +94,7 @@ def likeness(one: str, two: str) -> float:
     a, b = differing(one, two)
     left, right = sum(map(_leaves, a), Counter()), sum(map(_leaves, b), Counter())
     apart = _characters(left - right) + _characters(right - left)
-    return (total - apart) / total
+    return min((total - apart) / total, 1 - 1 / (total + 1))
 
 
 def edited(text: str, following: str) -> str:

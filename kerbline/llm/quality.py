@@ -16,10 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kerbline.llm.work import drawn
+
 THRESHOLD = 0.7
 TEXT_BYTES = 2 << 20
 # byte classes whose shares are features: signs that prose rarely has, capitals, column bars, digits, bytes beyond ASCII
@@ -143,8 +145,8 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, row_id: str = "do
     """
     known = (labels.where(allowed & F.col(quality).isin(0, 1)).groupBy(F.col(row_id).alias("_id"))
              .agg(F.min(quality).alias("_low"), F.max(quality).alias("_high")).where("_low = _high and _id is not null"))
-    rank = F.row_number().over(Window.partitionBy("_low").orderBy(F.xxhash64(F.lit(5), "_id"), "_id"))
-    chosen = known.withColumn("_rank", rank).where(F.col("_rank") <= per_class).select("_id", F.col("_low").alias("_label"))
+    known = known.select("_id", F.col("_low").alias("_label"), F.xxhash64(F.lit(5), "_id").alias("_drawn"))
+    chosen = drawn(known, "_label", ["_drawn", "_id"], per_class).select("_id", "_label")
     # at most two times per_class ids: a broadcast of a proven size
     rows = (docs.select(F.col(row_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
             .select("_id", "_label", features("_text").alias("_f")).dropDuplicates(["_id"]).orderBy("_id").collect())

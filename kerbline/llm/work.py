@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kerbline.session import shared_dir
@@ -33,6 +33,22 @@ def documents(spark: SparkSession, folder: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def drawn(rows: DataFrame, label: str, order: list[str], most: int) -> DataFrame:
+    """At most `most` rows of each label, the first in `order`, whose first column must be a uniform 64-bit hash.
+
+    Labels are few: one count of each reaches the driver. Large labels are thinned by their hash to some four times `most`
+    rows before they meet, so no task sees more than that of a label.
+    """
+    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
+    share = F.lit(None)
+    for value, n in counts.items():
+        if n > 4 * most:
+            share = F.when(F.col(label) == F.lit(value), F.lit((4 * most + 100) / n)).otherwise(share)
+    uniform = F.shiftrightunsigned(F.col(order[0]), 11) / float(1 << 53)
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(*order))
+    return rows.where(F.coalesce(uniform < share, F.lit(True))).withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by randomised contraction: (node long, root long), one row per node that has an edge.
 
