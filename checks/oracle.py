@@ -81,6 +81,8 @@ oracle("park_count_in_polygon", "vehicle_type park_events",
        inside=f"SELECT p.park_event_id, p.bike_id, p.vehicle_type_id FROM park_events p, edges e WHERE "
               f"{parked(PARKED_AT)} GROUP BY ALL HAVING ({CROSSINGS}) AND {TOUCHES} = 0")
 
+ORACLE["park_count_in_polygon_many_corners"] = ORACLE["park_count_in_polygon_repeated_corner"] = ORACLE["park_count_in_polygon"]
+
 _EVENT = "p.system_id, p.bike_id, p.start_time, p.end_time, v.form_factor, p.lat AS latitude, p.lon AS longitude"
 _TYPED = "LEFT JOIN vehicle_type v ON v.vehicle_type_id = p.vehicle_type_id"
 
@@ -133,6 +135,12 @@ oracle("park_events_by_date_index", "park_events",
        f"SELECT park_event_id, system_id, bike_id, start_time, end_time FROM park_events WHERE {parked(PARKED_AT)} "
        f"AND park_event_id IN (SELECT park_event_id FROM touched WHERE on_date = date '2001-06-15')",
        touched=_TOUCHED)
+ORACLE["park_events_through_day_index"] = ORACLE["park_events_by_date_index"]
+_EVENT_HITS = {"points": "SELECT park_event_id AS pid, lon, lat FROM park_events", "hits": hits("points")}
+oracle("zones_of_events_shuffled", "park_events zones zone_edges",
+       f"SELECT zone_id, count(*) AS number_of_events FROM hits WHERE zone_id IN ({CHOSEN}) GROUP BY zone_id", **_EVENT_HITS)
+oracle("events_in_zones_shuffled", "park_events zones zone_edges",
+       f"SELECT DISTINCT pid AS park_event_id FROM hits WHERE zone_id IN ({CHOSEN})", **_EVENT_HITS)
 oracle("public_zone_occupancy", "park_events zones zone_edges",
        "SELECT z.zone_id, z.name, case when z.zone_id % 3 <> 0 then z.zone_id * 10 end AS capacity, c.system_id, "
        "c.number_of_vehicles FROM zones z LEFT JOIN counts c ON c.zone_id = z.zone_id "
@@ -171,6 +179,8 @@ oracle("trips_everywhere", "vehicle_type trips",
 oracle("trips_in_zones", "vehicle_type trips zones zone_edges",
        f"SELECT {_TRIP} FROM numbered p {_TYPED} WHERE {_TRIP_FILTER} AND ({_hit('start')} OR {_hit('end')})",
        **_TRIP_STEPS)
+oracle("trips_in_zones_shuffled", "trips zones zone_edges",
+       f"SELECT trip_id FROM numbered p WHERE {_hit('start')} OR {_hit('end')}", **_TRIP_STEPS)
 for _name, _which in (("trip_origins", "start"), ("trip_destinations", "end")):
     oracle(_name, "vehicle_type trips zones zone_edges",
            f"SELECT p.system_id, p.{_which}_time AS event_time, v.form_factor, round_even({_METRES} / 100e0, 0) * 100e0 "
@@ -387,6 +397,14 @@ oracle("municipality_at", "zones zone_edges bike_detection",
        points="SELECT sample_id AS pid, lon, lat FROM bike_detection",
        hits=hits("points", zones="areas", border_counts=True))
 
+oracle("municipality_of_repeated_points", "zones zone_edges bike_detection",
+       "SELECT form, p.pid AS point, f.zone_id FROM repeated p JOIN (SELECT pid, min(zone_id) AS zone_id FROM hits GROUP BY pid) f "
+       "ON f.pid = p.pid CROSS JOIN (VALUES ('broadcast'), ('shuffled')) AS forms(form)",
+       areas="SELECT * FROM zones WHERE zone_type = 'municipality'",
+       repeated="SELECT sample_id % 500 AS pid, 4.0e0 + (sample_id % 500) / 200.0e0 AS lon, 50.0e0 + (sample_id % 500) / 250.0e0 AS lat FROM bike_detection",
+       points="SELECT DISTINCT * FROM repeated",
+       hits=hits("points", zones="areas", border_counts=True))
+
 _SHARE = "((p.lon - e.x1) * (e.x2 - e.x1) + (p.lat - e.y1) * (e.y2 - e.y1)) / (pow(e.x2 - e.x1, 2) + pow(e.y2 - e.y1, 2))"
 _AT = f"least(greatest({_SHARE}, 0e0), 1e0)"
 _NEAR = (f"min(pow(p.lon - (e.x1 + {_AT} * (e.x2 - e.x1)), 2) + pow(p.lat - (e.y1 + {_AT} * (e.y2 - e.y1)), 2)) "
@@ -545,6 +563,8 @@ oracle("acl_filtered_trips", _ACCESS + " trips zone_edges",
        ops=f"SELECT system_id FROM my_operators WHERE user_id = '{q.EXPORT_USER}'",
        zs=f"SELECT zone_id FROM my_zones WHERE user_id = '{q.EXPORT_USER}'")
 
+ORACLE["raw_export_of_user"] = ORACLE["acl_filtered_trips"]
+
 # --- sinks ------------------------------------------------------------------------------------------------------
 
 _QUARTER = "timestamp '1998-01-01' AND {0} <= timestamp '1998-03-31'"
@@ -559,8 +579,9 @@ oracle("raw_export_park_events", "park_events zones zone_edges",
        f"AND h.zone_id IN ({CHOSEN}))",
        points="SELECT park_event_id AS pid, * FROM park_events WHERE start_time >= " + _QUARTER.format("start_time"),
        hits=hits("points"))
-_ACTIVE = ("SELECT DISTINCT sha1(concat('user_', cast(user_id as string), ':active-users')) AS user_hash, "
-           "cast(null as string) AS role, cast(ts as date) AS active_on FROM events")
+_ACTIVE = ("SELECT sha1(concat('user_', cast(user_id as string), ':active-users')) AS user_hash, "
+           "min(case event_id % 4 when 0 then 'municipality' when 1 then 'operator' when 2 then 'admin' end) AS role, "
+           "cast(ts as date) AS active_on FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0 GROUP BY 1, 3")
 ORACLE["active_users_daily"] = ORACLE["stream_active_users"] = _ACTIVE
 oracle("audit_rows", "requests",
        "SELECT user_id AS username, timestamp '2024-01-30 12:00:00' AS timestamp_accessed, "

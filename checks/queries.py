@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kerbline.filters import Filter
 from kerbline.functions import geometry as geo
-from kerbline.model import TRIPS_ENDED, VEHICLES_AVAILABLE
+from kerbline.model import SCHEMAS, TRIPS_ENDED, VEHICLES_AVAILABLE
+from kerbline.operators.spatial import build_grid, containing_polygons, either_in_any_polygon, first_polygon, in_any_polygon
 from kerbline.plans import access, detections, exports, feeds, park, rentals, report, series, statistics, trips, zones
 from kerbline.session import apply_runtime_conf, shared_dir
 from kerbline.sources import dimensions, sinks, tables
@@ -17,6 +19,10 @@ from kerbline.sources.fixtures import INDEX_HORIZON, RAW_SCHEMAS, Fixtures
 from kerbline.streaming import streams
 
 POLYGON = ('{"type": "Polygon", "coordinates": [[[4.1, 50.1], [5.9, 50.2], [5.8, 52.3], [4.2, 52.2], [4.1, 50.1]]]}')
+_CORNERS = [[4.1, 50.1], [5.9, 50.2], [5.8, 52.3], [4.2, 52.2], [4.1, 50.1]]
+REPEATED_CORNER = json.dumps({"type": "Polygon", "coordinates": [[c for c in _CORNERS for _ in (0, 1)]]})
+MANY_CORNERS = json.dumps({"type": "Polygon", "coordinates": [[*(
+    [a[0] + (b[0] - a[0]) * i / 4, a[1] + (b[1] - a[1]) * i / 4] for a, b in zip(_CORNERS, _CORNERS[1:]) for i in range(4)), _CORNERS[0]]]})
 PARKED = {"timestamp": "2001-06-15T12:00:00Z"}
 CHOSEN_ZONES = {"zone_ids": "1,2,7,13,18,101,103"}
 PERIOD = {"start_time": "1998-01-01", "end_time": "1999-12-31"}
@@ -73,6 +79,17 @@ def park_count_in_polygon(t: Fixtures) -> DataFrame:
     return park.park_count(t.table("park_events"), t.table("vehicle_type"), _filter(PARKED, geojson=POLYGON))
 
 
+@query
+def park_count_in_polygon_many_corners(t: Fixtures) -> DataFrame:
+    """The same area with more corners than are compiled: it is joined as a zone."""
+    return park.park_count(t.table("park_events"), t.table("vehicle_type"), _filter(PARKED, geojson=MANY_CORNERS))
+
+
+@query
+def park_count_in_polygon_repeated_corner(t: Fixtures) -> DataFrame:
+    return park.park_count(t.table("park_events"), t.table("vehicle_type"), _filter(PARKED, geojson=REPEATED_CORNER))
+
+
 @query
 def park_events_at(t: Fixtures) -> DataFrame:
     f = _filter(PARKED, CHOSEN_ZONES, operators="op_1,op_3,op_4", form_factors="moped,car,unknown")
@@ -124,6 +141,51 @@ def park_events_by_date_index(t: Fixtures) -> DataFrame:
         "park_event_id", "system_id", "bike_id", "start_time", "end_time")
 
 
+@query
+def park_events_through_day_index(t: Fixtures) -> DataFrame:
+    """From a stored table by day, reading the days that the stored index names."""
+    path, index = shared_dir(t.spark, "events-by-day"), shared_dir(t.spark, "day-index")
+    events = t.table("park_events")
+    sinks.export_by_date(events, path)
+    park.build_day_index(events, INDEX_UNTIL).write.parquet(index)
+    stored = t.spark.read.parquet(path)
+    return park.park_events_through_days(stored, t.spark.read.parquet(index), _filter(PARKED)).select(
+        "park_event_id", "system_id", "bike_id", "start_time", "end_time")
+
+
+# The joins as they run when the cells outgrow a broadcast.
+def _shuffled(t: Fixtures):
+    return build_grid(t.table("zones").where(_filter(CHOSEN_ZONES).by_zone()), broadcast_items=0)
+
+
+@query
+def zones_of_events_shuffled(t: Fixtures) -> DataFrame:
+    found = containing_polygons(t.table("park_events"), _shuffled(t))
+    return found.groupBy("zone_id").agg(F.count("*").alias("number_of_events"))
+
+
+@query
+def events_in_zones_shuffled(t: Fixtures) -> DataFrame:
+    return in_any_polygon(t.table("park_events"), _shuffled(t)).select("park_event_id")
+
+
+@query
+def trips_in_zones_shuffled(t: Fixtures) -> DataFrame:
+    rows = t.table("trips").where(_filter(PERIOD).contained_in_period())
+    return either_in_any_polygon(rows, _shuffled(t), trips.START, trips.END).select("trip_id")
+
+
+@query
+def municipality_of_repeated_points(t: Fixtures) -> DataFrame:
+    """Points that share their key, in both forms."""
+    points = t.table("bike_detection").select((F.col("sample_id") % 500).alias("point"))
+    points = points.select("point", (4.0 + F.col("point") / 200.0).alias("lon"), (50.0 + F.col("point") / 250.0).alias("lat"))
+    areas = t.table("zones").where(F.col("zone_type") == "municipality")
+    forms = [first_polygon(points, build_grid(areas, broadcast_items=items), ["point"], rule=geo.intersects).select(
+        F.lit(form).alias("form"), "point", "zone_id") for form, items in (("broadcast", 2_000_000), ("shuffled", 0))]
+    return forms[0].unionByName(forms[1])
+
+
 @query
 def public_zone_occupancy(t: Fixtures) -> DataFrame:
     return park.zone_occupancy(t.table("park_events"), t.table("zones"), _public_zones(t)).select(
@@ -490,6 +552,18 @@ def acl_filtered_trips(t: Fixtures) -> DataFrame:
 
 # --- sinks ------------------------------------------------------------------------------------------------------
 
+@query
+def raw_export_of_user(t: Fixtures) -> DataFrame:
+    """Rights, log entry and both tables; a wider export went to the same folder before. The trips, read back."""
+    folder, audit = shared_dir(t.spark, "raw-export"), shared_dir(t.spark, "raw-audit")
+    sinks.export_by_date(t.table("trips").limit(1000), f"{folder}/trips")
+    paths = exports.raw_export(t.table("trips"), t.table("park_events"), _access(t), EXPORT_USER, _filter(PERIOD), folder, audit,
+                               "/raw_data", NOW)
+    if t.spark.read.parquet(audit).count() != 1:
+        raise AssertionError("one log entry expected")
+    return t.spark.read.schema(SCHEMAS["trips"]).parquet(paths["trips"]).drop("start_date")
+
+
 @query
 def raw_export_trips(t: Fixtures) -> DataFrame:
     """Written partitioned by day, then read back."""
@@ -497,7 +571,7 @@ def raw_export_trips(t: Fixtures) -> DataFrame:
     path = shared_dir(t.spark, "trips")
     scope = access.Scope(t.table("zones").where(f.by_zone()), access.operator_names(t.spark, f.operators))
     sinks.export_by_date(exports.visible_trips(t.table("trips"), scope, f), path)
-    return t.spark.read.parquet(path).drop("start_date")
+    return t.spark.read.schema(SCHEMAS["trips"]).parquet(path).drop("start_date")
 
 
 @query
@@ -507,12 +581,20 @@ def raw_export_park_events(t: Fixtures) -> DataFrame:
     path = shared_dir(t.spark, "park-events")
     scope = access.Scope(t.table("zones").where(f.by_zone()), access.operator_names(t.spark, f.operators))
     sinks.export_by_date(exports.visible_park_events(t.table("park_events"), scope, f), path)
-    return t.spark.read.parquet(path).drop("start_date")
+    return t.spark.read.schema(SCHEMAS["park_events"]).parquet(path).drop("start_date")
+
+
+def _visits_of(events: DataFrame) -> DataFrame:
+    """Some visits have no name, and a user comes in several roles."""
+    kind, user = F.col("event_id") % 4, F.concat(F.lit("user_"), F.col("user_id").cast("string"))
+    return events.select(
+        F.when(F.col("event_id") % 11 == 0, "").when(F.col("event_id") % 13 != 0, user).alias("user_id"),
+        F.when(kind == 0, "municipality").when(kind == 1, "operator").when(kind == 2, "admin").alias("role"),
+        F.col("ts").alias("visited_at"))
 
 
 def _visits(t: Fixtures) -> DataFrame:
-    return t.raw("events").select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("user_id"),
-                                  F.lit(None).cast("string").alias("role"), F.col("ts").alias("visited_at"))
+    return _visits_of(t.raw("events"))
 
 
 @query
@@ -521,7 +603,7 @@ def active_users_daily(t: Fixtures) -> DataFrame:
     path = shared_dir(t.spark, "active-users")
     rows = exports.active_users(_visits(t), SALT)
     sinks.append(rows.where(F.col("active_on") < F.lit("2024-01-10").cast("date")), path, "active_on")
-    sinks.append_if_absent(rows, path, ["user_hash", "active_on"], "active_on")
+    sinks.append_if_absent(rows, path, ["user_hash", "active_on"], "active_on", date(2023, 12, 1), date(2024, 12, 31))
     return t.spark.read.schema(rows.schema).parquet(path)
 
 
@@ -538,7 +620,13 @@ def audit_rows(t: Fixtures) -> DataFrame:
 # --- streams ----------------------------------------------------------------------------------------------------
 
 def _event_stream(t: Fixtures) -> DataFrame:
-    return streams.read_stream(t.spark, t.folder, RAW_SCHEMAS["events"], "events.parquet")
+    """The events in several files that are not in order of time, one file per batch."""
+    path = shared_dir(t.spark, "event-files")
+    for part in (3, 0, 4, 1, 2):
+        # days 1-6 of the month come in the fourth file, days 19-24 in the first one, and so on
+        some = t.raw("events").where(F.least(F.floor((F.dayofmonth("ts") - 1) / 6), F.lit(4)) == part)
+        some.coalesce(1).write.mode("append").parquet(path)
+    return streams.read_stream(t.spark, path, RAW_SCHEMAS["events"], files_per_trigger=1)
 
 
 @query
@@ -557,9 +645,7 @@ def stream_parked_buckets(t: Fixtures) -> DataFrame:
 
 @query
 def stream_active_users(t: Fixtures) -> DataFrame:
-    visits = _event_stream(t).select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("user_id"),
-                                     F.lit(None).cast("string").alias("role"), F.col("ts").alias("visited_at"))
-    return streams.run_append(streams.active_users(visits, SALT))
+    return streams.run_updates(streams.active_users(_visits_of(_event_stream(t)), SALT), ["user_hash", "active_on"])
 
 
 @query

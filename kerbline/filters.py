@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
-from dataclasses import asdict, dataclass, replace
+from dataclasses import asdict, dataclass
 from datetime import date, datetime, timezone
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -58,10 +58,6 @@ class Filter:
             geojson=(shape if isinstance(shape, str) else json.dumps(shape)) if shape else None,
         )
 
-    def with_grants(self, zone_ids: tuple[int, ...], operators: tuple[str, ...]) -> Filter:
-        """Add what the user was granted to what was asked for."""
-        return replace(self, zone_ids=self.zone_ids + zone_ids, operators=self.operators + operators)
-
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True, default=lambda v: v.isoformat())
 

@@ -104,7 +104,9 @@ def parse_polygon(geojson: dict | str) -> list[list[tuple[float, float]]]:
     elif kind != "Polygon":
         raise ValueError(f"expected a Polygon or MultiPolygon, got {kind!r}")
     rings = [[(float(p[0]), float(p[1])) for p in ring] for ring in coordinates]
-    return [ring if ring[0] == ring[-1] else [*ring, ring[0]] for ring in rings]
+    closed = [ring if ring[0] == ring[-1] else [*ring, ring[0]] for ring in rings]
+    # A corner given twice in a row makes an edge without length; it bounds nothing.
+    return [[p for i, p in enumerate(ring) if i == 0 or p != ring[i - 1]] for ring in closed]
 
 
 def _balanced(operator, terms: Sequence[Column]) -> Column:
@@ -124,12 +126,11 @@ def within_polygon(lon: Column, lat: Column, rings: list[list[tuple[float, float
     for ring in rings:
         for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
             if y1 != y2:
-                meets = lon < (lat - F.lit(y1)) * F.lit(x2 - x1) / F.lit(y2 - y1) + F.lit(x1)
+                meets = lon < F.lit(x2 - x1) * (lat - F.lit(y1)) / F.lit(y2 - y1) + F.lit(x1)
                 crossed.append(((F.lit(y1) > lat) != (F.lit(y2) > lat)) & meets)
-            # On the line through both corners, and between them along the longer axis.
-            axis, low, high = (lon, x1, x2) if abs(x2 - x1) >= abs(y2 - y1) else (lat, y1, y2)
-            touched.append(((lat - F.lit(y1)) * F.lit(x2 - x1) == (lon - F.lit(x1)) * F.lit(y2 - y1))
-                           & axis.between(min(low, high), max(low, high)))
+            # On the line through both corners, and between them along both axes.
+            touched.append((F.lit(x2 - x1) * (lat - F.lit(y1)) == F.lit(y2 - y1) * (lon - F.lit(x1)))
+                           & lat.between(min(y1, y2), max(y1, y2)) & lon.between(min(x1, x2), max(x1, x2)))
     if not crossed:
         return F.lit(False)
     return box & _balanced(lambda a, b: a != b, crossed) & ~_balanced(lambda a, b: a | b, touched)

@@ -136,13 +136,17 @@ def either_in_any_polygon(rows: DataFrame, grid: Grid, first: tuple[str, str], s
 
 def first_polygon(points: DataFrame, grid: Grid, keys: list[str], lon: str = "lon", lat: str = "lat",
                   rule=geo.within) -> DataFrame:
-    """Every point that lies in a polygon, once, with the lowest polygon key. `keys` identify a point.
+    """Every row whose point lies in a polygon, once, with the lowest polygon key. `keys` identify a point.
 
-    While the cells fit a broadcast, all polygons of a cell are one row and no shuffle of the points is needed.
+    Rows that share their keys (and so their point) stay apart: there are as many afterwards as before. While the
+    cells fit a broadcast, all polygons of a cell are one row and no shuffle of the points is needed.
     """
     if not grid.broadcast:
-        found = containing_polygons(points, grid, lon, lat, rule)
-        return found.groupBy(*keys).agg(F.min(grid.key).alias(grid.key))
+        # Rows of one point meet the same polygons, so the lowest one is met by all of them.
+        found = containing_polygons(points, grid, lon, lat, rule).groupBy(*keys, grid.key).agg(F.count("*").alias("_n"))
+        lowest = found.groupBy(*keys).agg(F.min(F.struct(grid.key, "_n")).alias("_lowest"))
+        return (lowest.select(*keys, f"_lowest.{grid.key}", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_lowest._n"))))
+                .select(*keys, grid.key))
     # The measured total of the cells bounds every one of these lists.
     lists = grid.cells.groupBy("_cell_x", "_cell_y").agg(F.collect_list(F.struct(
         F.col(grid.key).alias("key"), "_covered", "_edges")).alias("_polygons"))

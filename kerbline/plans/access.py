@@ -187,8 +187,13 @@ def _items_of(tables: AccessTables, user_id: str, organisation_id: int, owned: s
     return own.select(F.explode(owned).alias(item)).unionByName(granted.select(F.explode(owned).alias(item))).distinct()
 
 
-def scope_of(tables: AccessTables, user_id: str, f: Filter) -> Scope:
-    """The filter with the user's grants added; for an administrator the filter alone."""
+def scope_of(tables: AccessTables, user_id: str, f: Filter, decided: bool = False) -> Scope:
+    """What the filter leaves of the user's grants; for an administrator the filter alone.
+
+    Without a filter on zones (operators) a user sees all that was granted. What was asked for but not granted is
+    left out. A user without any grant is refused. With `decided` the request has passed `decide_export`, by which the
+    grants are added to what was asked for.
+    """
     account = tables.users.where(F.col("user_id") == user_id).join(
         tables.organisations, "organisation_id").select("organisation_id", "type_of_organisation").first()
     if account is None:
@@ -202,12 +207,15 @@ def scope_of(tables: AccessTables, user_id: str, f: Filter) -> Scope:
     known = tables.municipality_zones().select("municipality")
     municipalities = _items_of(*mine, "data_owner_of_municipalities", "municipality").join(
         known, "municipality", "left_semi")
-    if not municipalities.isEmpty():
-        granted = tables.zones.join(municipalities, "municipality", "left_semi").select(*tables.zones.columns)
-        zones = granted.unionByName(zones).dropDuplicates(["zone_id"]) if f.zone_ids else granted
     granted_operators = _items_of(*mine, "data_owner_of_operators", "system_id")
-    if not granted_operators.isEmpty():
-        operators = granted_operators.unionByName(operators).distinct() if f.operators else granted_operators
+    by_zone, by_operator = not municipalities.isEmpty(), not granted_operators.isEmpty()
+    if not by_zone and not by_operator:
+        raise PermissionError(NO_GRANTS)
+    if by_zone:
+        granted = tables.zones.join(municipalities, "municipality", "left_semi").select(*tables.zones.columns)
+        zones = granted if decided else keep(granted, f.by_zone())
+    if by_operator:
+        operators = granted_operators if decided else keep(granted_operators, f.by_operator())
     return Scope(zones, operators)
 
 
@@ -219,13 +227,14 @@ def operator_names(spark: SparkSession, names: tuple[str, ...]) -> DataFrame:
 # --- what a user is shown -----------------------------------------------------------------------------------
 
 def default_municipalities(with_data: DataFrame, zones: DataFrame) -> DataFrame:
-    """Municipalities shown when a user is not limited to some."""
+    """Municipalities shown when a user is not limited to some, by name."""
     areas = zones.where(F.col("zone_type") == MUNICIPALITY).select("municipality", "zone_id")
-    return lookup_join(with_data, areas, "municipality").select(F.col("municipality").alias("gm_code"), "name", "zone_id")
+    return lookup_join(with_data, areas, "municipality").select(
+        F.col("municipality").alias("gm_code"), "name", "zone_id").orderBy("name", "gm_code")
 
 
 def capitalised(name: Column) -> Column:
-    return F.concat(F.upper(F.substring(name, 1, 1)), F.lower(F.expr("substring(system_id, 2)")))
+    return F.concat(F.upper(F.substring(name, 1, 1)), F.lower(F.substring(name, F.lit(2), F.length(name))))
 
 
 def user_summary(tables: AccessTables, with_data: DataFrame, all_operators: DataFrame) -> DataFrame:

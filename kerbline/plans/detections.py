@@ -29,7 +29,9 @@ def positions_in_box(positions: DataFrame, west: float, south: float, east: floa
 
 
 def _inside_municipality(points: DataFrame, areas: DataFrame, gm_code: str) -> DataFrame:
-    area = areas.where((F.col("gm_code") == gm_code) & F.col("rings").isNotNull()).limit(1)
+    # One area, and the same each time it is evaluated: of several the least one.
+    area = (areas.where((F.col("gm_code") == gm_code) & F.col("rings").isNotNull())
+            .groupBy("gm_code").agg(F.min("rings").alias("rings")))
     return in_any_polygon(points, build_grid(area, "gm_code"))
 
 
@@ -44,9 +46,9 @@ def latest_positions(detections: DataFrame, areas: DataFrame, gm_code: str) -> D
 
 
 def movements(detections: DataFrame, threshold: float = MOVED_METRES) -> DataFrame:
-    """Detections further than the threshold from the previous one of the same vehicle."""
+    """Detections further than the threshold from the previous one of the same vehicle. Without an id there is no vehicle."""
     columns = ["sample_id", "bike_id", "last_time_imported", "lon", "lat"]
-    compared = with_previous(detections.select(*columns), "bike_id", ["last_time_imported", "sample_id"],
+    compared = with_previous(detections.where(F.col("bike_id").isNotNull()).select(*columns), "bike_id", ["last_time_imported", "sample_id"],
                              ["last_time_imported", "lon", "lat"],
                              F.date_trunc(TIMELINE_SLICE, "last_time_imported"))
     metres = sphere_metres(F.col("previous_lon"), F.col("previous_lat"), F.col("lon"), F.col("lat"))

@@ -48,7 +48,7 @@ def raw_export(trips: DataFrame, events: DataFrame, tables: AccessTables, user_i
     refused = decide_export(request, tables).where(~F.col("allowed")).first()
     if refused is not None:
         raise PermissionError(refused["reason"])
-    scope = scope_of(tables, user_id, f)
+    scope = scope_of(tables, user_id, f, decided=True)
     entry = spark.createDataFrame([(user_id, raw_api_call, f.to_json())], "user_id string, raw_api_call string, filter string")
     append(audit_rows(entry, now), audit)
     paths = {"trips": f"{folder}/trips", "park_events": f"{folder}/park_events"}
@@ -65,22 +65,20 @@ def audit_rows(requests: DataFrame, at: datetime) -> DataFrame:
         F.to_json(F.struct(*keys)).alias("filter_active"))
 
 
-def active_users(visits: DataFrame, salt: str) -> DataFrame:
-    """(user_hash, role, active_on): one row per user and day of visits `user_id, role, visited_at`.
+def named_visits(visits: DataFrame, salt: str) -> DataFrame:
+    """(user_hash, role, active_on) of visits `user_id, role, visited_at`; visits without a name are left out.
 
     The name is stored as a salted hash only.
     """
-    hashed = visits.where(F.col("user_id").isNotNull() & (F.col("user_id") != "")).select(
+    return visits.where(F.col("user_id").isNotNull() & (F.col("user_id") != "")).select(
         F.sha1(F.concat("user_id", F.lit(salt))).alias("user_hash"), "role",
         F.col("visited_at").cast("date").alias("active_on"))
-    return hashed.groupBy("user_hash", "active_on").agg(F.min("role").alias("role")).select(
-        "user_hash", "role", "active_on")
 
 
-def not_yet_active(rows: DataFrame, target: DataFrame) -> DataFrame:
-    """Rows whose user and day are not in the target yet."""
-    return rows.join(target.select("user_hash", "active_on"), ["user_hash", "active_on"], "left_anti").select(
-        *rows.columns)
+def active_users(visits: DataFrame, salt: str) -> DataFrame:
+    """One row per user and day; the least role where a day has several. Serves batches and streams alike."""
+    return named_visits(visits, salt).groupBy("user_hash", "active_on").agg(F.min("role").alias("role")).select(
+        "user_hash", "role", "active_on")
 
 
 def role_of(filter_municipality: str = "filter_municipality", filter_operator: str = "filter_operator",

@@ -23,8 +23,11 @@ def active_feeds(feeds: DataFrame, now: datetime) -> DataFrame:
 
 
 def feed_pages(feeds: DataFrame, now: datetime, page_ids: int = PAGE_IDS) -> DataFrame:
-    """The active feeds as JSON arrays ordered by id, one per page of ids."""
+    """The active feeds as JSON arrays ordered by id, one per page of ids; without active feeds one page `[]`."""
     rows = active_feeds(feeds, now)
     page = F.floor(F.col("feed_id") / F.lit(page_ids)).alias("page")
     feeds_of_page = F.sort_array(F.collect_list(F.struct(*rows.columns)))
-    return rows.groupBy(page).agg(F.to_json(feeds_of_page).alias("feeds")).orderBy("page")
+    pages = rows.groupBy(page).agg(F.to_json(feeds_of_page).alias("feeds"))
+    empty = feeds.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("page"), F.lit("[]").alias("feeds"))
+    none = empty.where(rows.agg(F.count("*")).scalar() == 0)
+    return pages.unionByName(none).orderBy("page")

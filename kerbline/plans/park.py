@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kerbline.filters import Filter, keep, parked_now, prune_days
+from kerbline.filters import START_DATE, Filter, keep, parked_now, prune_days
 from kerbline.functions.calendar import moment
 from kerbline.functions.geometry import geojson_from_rings, parse_polygon, rings_from_geojson, within_polygon
 from kerbline.operators.lookup import lookup_join
@@ -118,19 +118,43 @@ def zone_occupancy(events: DataFrame, zones: DataFrame, public_zones: DataFrame)
 
 # --- the index of events by date --------------------------------------------------------------------------------
 
+def _touched_days(events: DataFrame, horizon: datetime, *columns: str) -> DataFrame:
+    """The events once per date they touch. An open event counts up to the horizon; one that starts after it, or ends
+    before it starts, touches no date."""
+    until = F.coalesce("end_time", moment(horizon))
+    first, last = F.col("start_time").cast("date"), until.cast("date")
+    days = F.when(first <= last, F.sequence(first, last, F.expr("interval 1 day")))
+    return events.where(F.col("start_time") <= until).select(*columns, F.explode(days).alias("on_date"))
+
+
 def build_date_index(events: DataFrame, horizon: datetime) -> DataFrame:
-    """Ids of the events that touch a date. An open event counts up to the horizon.
+    """Ids of the events that touch a date, and on which days those events start.
 
     One array holds ids of one run of consecutive ids only, however many events a date has.
     """
-    until = F.coalesce("end_time", moment(horizon))
-    days = F.sequence(F.col("start_time").cast("date"), until.cast("date"), F.expr("interval 1 day"))
-    touched = events.select("park_event_id", F.explode(days).alias("on_date"))
     run = F.shiftright("park_event_id", INDEX_RUN_BITS).alias("chunk")
-    return (touched.groupBy("on_date", run)
+    return (_touched_days(events, horizon, "park_event_id").groupBy("on_date", run)
             .agg(F.sort_array(F.collect_list("park_event_id")).alias("park_event_ids")))
 
 
+def build_day_index(events: DataFrame, horizon: datetime) -> DataFrame:
+    """(on_date, start_date): the days on which events start that touch a date. A few rows a day, whatever the data."""
+    started = F.col("start_time").cast("date").alias("start_date")
+    return _touched_days(events.select("start_time", "end_time", started), horizon, "start_date").distinct().select("on_date", "start_date")
+
+
+def park_events_through_days(events: DataFrame, days: DataFrame, f: Filter) -> DataFrame:
+    """Events parked at the timestamp, from a table stored by `start_date`: only the days that the index names are read.
+
+    The join is on the partition column, so days without an event that touches the date are pruned when the query runs.
+    """
+    at = F.lit(f.instant().date().isoformat()).cast("date")
+    wanted = days.where(F.col("on_date") == at).select(START_DATE)
+    candidates = keep(_parked(events, f), f.by_operator())
+    # one row a day of history at most
+    return candidates.join(F.broadcast(wanted), START_DATE, "left_semi").select(*events.columns)
+
+
 def events_by_date_index(events: DataFrame, index: DataFrame, f: Filter) -> DataFrame:
     """Events parked at the timestamp, found through the index of its date."""
     day = F.lit(f.instant().date().isoformat()).cast("date")

@@ -24,7 +24,7 @@ def _densified(values: DataFrame, f: Filter, aggregation: str) -> DataFrame:
     unit = level(aggregation, PERIODS)
     start, end = f.period()
     return gap_fill(values, ["system_id"], "time_period", unit.floor(start), unit.floor(end), unit.interval(),
-                    {"value": F.lit(0).cast("bigint")})
+                    {"value": F.lit(0).cast("bigint")}).orderBy("time_period", "system_id")
 
 
 def available_vehicles(stats: DataFrame, zones: DataFrame, f: Filter, aggregation: str) -> DataFrame:

@@ -40,7 +40,8 @@ def municipalities(zones: DataFrame) -> DataFrame:
 def municipality_area(areas: DataFrame, gm_code: str) -> DataFrame:
     """The area of a municipality as GeoJSON text."""
     return (areas.where((F.col("gm_code") == gm_code) & F.col("rings").isNotNull())
-            .select("gm_code", geo.geojson_from_rings("rings").alias("geojson")).limit(1))
+            .groupBy("gm_code").agg(F.min("rings").alias("rings"))
+            .select("gm_code", geo.geojson_from_rings("rings").alias("geojson")))
 
 
 def municipality_at(points: DataFrame, zones: DataFrame, keys: list[str], lon: str = "lon",
@@ -88,16 +89,24 @@ def check_zone_requests(requests: DataFrame, zones: DataFrame, tolerance: float
 def number_rows(df: DataFrame, key: str, column: str, start: int, run_bits: int = 16) -> DataFrame:
     """Consecutive numbers in the order of a unique integer key.
 
-    Numbers are given within runs of the key first, so that no task sorts all rows; only the run totals meet.
+    Numbers are given within runs of the key, and runs within blocks of 2^16 runs, and blocks within blocks of those:
+    no task sorts all rows or all runs, however sparse the keys are.
     """
-    runs = df.withColumn("_run", F.shiftright(key, run_bits))
-    totals = runs.groupBy("_run").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = totals.select("_run", before.alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_run").orderBy(key))
-    return (runs.withColumn("_rank", rank).join(offsets, "_run")
-            .withColumn(column, (F.lit(start) + F.col("_before") + F.col("_rank")).cast("bigint"))
-            .drop("_run", "_before", "_rank"))
+    levels = [F.shiftright(key, min(63, run_bits + 16 * i)) for i in range(4)]
+    runs = df.select("*", *(level.alias(f"_run{i}") for i, level in enumerate(levels)))
+    rank = F.row_number().over(Window.partitionBy("_run0").orderBy(key))
+    numbered = runs.withColumn("_rank", rank)
+    totals = runs.groupBy(*(f"_run{i}" for i in range(4))).agg(F.count("*").alias("_n"))
+    before = F.lit(0)
+    for i in range(4):
+        inside = [f"_run{i + 1}"] if i < 3 else []
+        window = Window.partitionBy(*inside, F.lit(0)).orderBy(f"_run{i}").rowsBetween(Window.unboundedPreceding, -1)
+        counted = totals.groupBy(*(f"_run{j}" for j in range(i, 4))).agg(F.sum("_n").alias("_n"))
+        offsets = counted.select(f"_run{i}", F.coalesce(F.sum("_n").over(window), F.lit(0)).alias(f"_before{i}"))
+        numbered = numbered.join(offsets, f"_run{i}")
+        before = before + F.col(f"_before{i}")
+    number = (F.lit(start) + before + F.col("_rank")).cast("bigint")
+    return numbered.select(*df.columns, number.alias(column))
 
 
 def create_zones(zones: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:

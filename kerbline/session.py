@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -41,15 +42,20 @@ def apply_runtime_conf(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="kerbline-")
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder for results that a later job reads back.
 
-    The cluster names the shared parent in `spark.checkpoint.dir`. Only a local session may do without it.
+    The cluster names the shared parent in `spark.checkpoint.dir`. Only a local session may do without it; then one
+    folder of this process serves, and the session's settings stay as they are.
     """
     parent = spark.conf.get("spark.checkpoint.dir", None)
     if parent is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        parent = tempfile.mkdtemp(prefix="kerbline-")
-        spark.conf.set("spark.checkpoint.dir", parent)
+        parent = _local_dir()
     return f"{parent.rstrip('/')}/{purpose}-{uuid.uuid4()}"

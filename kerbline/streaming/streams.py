@@ -6,12 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from kerbline.plans import exports
 from kerbline.session import shared_dir
 
-# Fixed: events that come later than this after the newest one are dropped.
-LATENESS = "1 day"
-
-
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType | str, files: str = "*.parquet",
                 files_per_trigger: int = 1000) -> DataFrame:
     """A folder of Parquet files as a stream; `files` selects by name."""
@@ -19,34 +16,36 @@ def read_stream(spark: SparkSession, folder: str, schema: T.StructType | str, fi
             .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
 
 
-def with_event_time(stream: DataFrame, time: str, lateness: str = LATENESS) -> DataFrame:
-    """Watermarks need an instant with time zone."""
-    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
+def with_event_time(stream: DataFrame, time: str, lateness: str | None) -> DataFrame:
+    """The time as an instant; with a lateness, a watermark that lets old buckets go.
 
+    Without one nothing is ever dropped, and the state keeps every bucket: right for a run to the end of the data. With
+    one, rows later than that after the newest one seen are dropped; `split_late` tells and keeps which ones.
+    """
+    timed = stream.withColumn(time, F.col(time).cast("timestamp"))
+    return timed if lateness is None else timed.withWatermark(time, lateness)
 
-def rental_buckets(stream: DataFrame, width: str = "15 minutes") -> DataFrame:
+
+def rental_buckets(stream: DataFrame, width: str = "15 minutes", lateness: str | None = None) -> DataFrame:
     """Rentals started and ended per bucket, operator and modality."""
-    totals = with_event_time(stream, "time").groupBy(F.window("time", width), "system_id", "modality").agg(
+    totals = with_event_time(stream, "time", lateness).groupBy(F.window("time", width), "system_id", "modality").agg(
         F.sum("number_of_trips_started").alias("number_of_trips_started"),
         F.sum("number_of_trips_ended").alias("number_of_trips_ended"))
     return totals.select(F.col("window.start").alias("bucket"), "system_id", "modality",
                          "number_of_trips_started", "number_of_trips_ended")
 
 
-def parked_buckets(stream: DataFrame, width: str = "15 minutes") -> DataFrame:
+def parked_buckets(stream: DataFrame, width: str = "15 minutes", lateness: str | None = None) -> DataFrame:
     """Least, most and mean number of parked vehicles per bucket, operator and modality."""
     parked = F.col("number_of_vehicles_parked")
-    found = with_event_time(stream, "time").groupBy(F.window("time", width), "system_id", "modality").agg(
+    found = with_event_time(stream, "time", lateness).groupBy(F.window("time", width), "system_id", "modality").agg(
         F.min(parked).alias("min"), F.max(parked).alias("max"), F.avg(parked).alias("avg"))
     return found.select(F.col("window.start").alias("bucket"), "system_id", "modality", "min", "max", "avg")
 
 
 def active_users(stream: DataFrame, salt: str) -> DataFrame:
-    """One row per user and day of visits `user_id, role, visited_at`."""
-    hashed = with_event_time(stream, "visited_at", "2 days").select(
-        F.sha1(F.concat("user_id", F.lit(salt))).alias("user_hash"), "role",
-        F.col("visited_at").cast("date").alias("active_on"), "visited_at")
-    return hashed.dropDuplicatesWithinWatermark(["user_hash", "active_on"]).select("user_hash", "role", "active_on")
+    """One row per user and day of visits `user_id, role, visited_at`, as in the batch form: for update mode."""
+    return exports.active_users(stream, salt)
 
 
 def latest_positions(stream: DataFrame) -> DataFrame:
@@ -58,31 +57,52 @@ def latest_positions(stream: DataFrame) -> DataFrame:
 
 # --- running to the end of what is there ------------------------------------------------------------------------
 
-def run_updates(result: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _run_batches(stream: DataFrame, mode: str, folder: str, write) -> None:
+    query = (stream.writeStream.outputMode(mode).foreachBatch(write)
+             .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
+def run_updates(result: DataFrame, keys: Sequence[str], folder: str | None = None) -> DataFrame:
     """Run a query in update mode over the data at hand; the last version of every row.
 
     Each batch goes to a folder of its own that a repeated batch overwrites, so results survive a restart.
     """
     spark = result.sparkSession
-    folder = shared_dir(spark, "stream")
+    folder = folder or shared_dir(spark, "stream")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
 
-    query = (result.writeStream.outputMode("update").foreachBatch(write)
-             .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
-    query.awaitTermination()
-    written = spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
+    _run_batches(result, "update", folder, write)
+    schema = T.StructType([*result.schema.fields, T.StructField("batch", T.IntegerType())])
+    written = spark.read.schema(schema).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
     values = [c for c in result.columns if c not in keys]
     newest = F.max_by(F.struct(*values), "batch").alias("_values")
     return written.groupBy(*keys).agg(newest).select(*keys, *(F.col(f"_values.{c}").alias(c) for c in values))
 
 
-def run_append(result: DataFrame) -> DataFrame:
-    """Run a query in append mode over the data at hand; all rows it gave."""
-    spark = result.sparkSession
-    folder = shared_dir(spark, "stream")
-    query = (result.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows")
-             .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
-    query.awaitTermination()
-    return spark.read.schema(result.schema).parquet(f"{folder}/rows")
+def split_late(stream: DataFrame, time: str, lateness: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Run over the data at hand and part it: (rows in time, rows later than `lateness` after the newest one before).
+
+    A row counts as late by the newest time of the batches before its own, as a watermark sees it. Both parts are
+    stored below `folder`, one folder for each batch that a repeated batch overwrites, together with the newest time so
+    far; the count of the second part is what a watermark would have lost.
+    """
+    spark = stream.sparkSession
+    instant = F.col(time).cast("timestamp")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        seen = None
+        if batch_id > 0:
+            marks = spark.read.schema("newest timestamp").parquet(*(f"{folder}/marks/{i}" for i in range(batch_id)))
+            seen = marks.agg(F.max("newest") - F.expr(f"interval {lateness}")).first()[0]
+        late = F.lit(False) if seen is None else F.coalesce(instant < F.lit(seen), F.lit(False))
+        marked = batch.withColumn("late", late)
+        marked.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+        batch.agg(F.max(instant).alias("newest")).write.mode("overwrite").parquet(f"{folder}/marks/{batch_id}")
+
+    _run_batches(stream, "append", folder, write)
+    schema = T.StructType([*stream.schema.fields, T.StructField("late", T.BooleanType())])
+    rows = spark.read.schema(schema).option("basePath", f"{folder}/rows").option("recursiveFileLookup", True).parquet(f"{folder}/rows")
+    return rows.where(~F.col("late")).drop("late"), rows.where("late").drop("late")

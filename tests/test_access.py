@@ -69,14 +69,16 @@ def _seen(tables, user, **f):
     return ids, names
 
 
-def test_scope_adds_grants_to_the_filter(tables):
+def test_scope_is_the_filter_within_the_grants(tables):
     assert _seen(tables, "root") == (None, None)
     assert _seen(tables, "root", zone_ids=(3,), operators=("op_x",)) == ([3], ["op_x"])
     assert _seen(tables, "city") == ([1, 2], None)
-    assert _seen(tables, "city", zone_ids=(2, 3)) == ([1, 2, 3], None)
-    assert _seen(tables, "both", operators=("op_a", "op_b")) == ([1, 2], ["op_a", "op_b"])
-    with pytest.raises(PermissionError):
-        access.scope_of(tables, "nobody", Filter())
+    assert _seen(tables, "city", zone_ids=(2, 3)) == ([2], None)
+    assert _seen(tables, "both", operators=("op_a", "op_b")) == ([1, 2], ["op_a"])
+    assert access.scope_of(tables, "city", Filter(zone_ids=(2,)), decided=True).zones.count() == 2
+    for user in ("nobody", "guest"):
+        with pytest.raises(PermissionError):
+            access.scope_of(tables, user, Filter())
 
 
 def test_visible_trips_follow_the_scope(spark, tables):

@@ -5,6 +5,8 @@ import pytest
 
 from kerbline.filters import Filter
 from kerbline.plans import park
+from kerbline.session import shared_dir
+from kerbline.sources import sinks
 from tests.shapes import park_events, square, vehicle_types, zones
 
 AT = datetime(2024, 3, 20, 12)
@@ -91,3 +93,19 @@ def test_date_index_finds_the_same_events(spark):
     assert {r[0] for r in park.events_by_date_index(events, index, f).select("park_event_id").collect()} == direct
     for row in index.collect():
         assert all(i >> park.INDEX_RUN_BITS == row["chunk"] for i in row["park_event_ids"])
+
+
+def test_day_index_prunes_the_days_of_a_stored_table(spark):
+    rows = [(i, "a", "b", 0, 4.0, 52.0, AT - timedelta(days=i), AT - timedelta(days=i) + timedelta(hours=1) if i % 7 else None)
+            for i in range(1, 40)]
+    rows += [(100, "a", "b", 0, 4.0, 52.0, AT + timedelta(days=90), None),  # open, after the horizon
+             (101, "a", "b", 0, 4.0, 52.0, AT, AT - timedelta(days=2))]  # ends before it starts
+    events, f = park_events(spark, *rows), Filter(timestamp=AT)
+    until = AT + timedelta(days=3)
+    assert park.build_date_index(events, until).where("exists(park_event_ids, x -> x >= 100)").count() == 0
+    days, path = park.build_day_index(events, until), shared_dir(spark, "by-day")
+    sinks.export_by_date(events, path)
+    found = park.park_events_through_days(spark.read.parquet(path), days, f)
+    assert {r["park_event_id"] for r in found.collect()} == {7, 14, 21, 28, 35}
+    scan = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "PartitionFilters" in line]
+    assert any("dynamicpruning" in line for line in scan)
