@@ -6,8 +6,8 @@ Polygons are tested by counting crossed edges in rows, gaps by joining a generat
 from __future__ import annotations
 
 from checks import queries as q
-from kerbline.sources.dimensions import OPERATORS
-from kerbline.sources.fixtures import DERIVATIONS, INDEX_HORIZON, VEHICLE_TYPES
+from kerbline.sources.dimensions import OPERATORS, PUBLIC_ZONES
+from kerbline.sources.fixtures import DERIVATIONS, INDEX_HORIZON, NOTCHED, VEHICLE_TYPES
 
 ORACLE: dict[str, str] = {}
 
@@ -141,6 +141,20 @@ oracle("zones_of_events_shuffled", "park_events zones zone_edges",
        f"SELECT zone_id, count(*) AS number_of_events FROM hits WHERE zone_id IN ({CHOSEN}) GROUP BY zone_id", **_EVENT_HITS)
 oracle("events_in_zones_shuffled", "park_events zones zone_edges",
        f"SELECT DISTINCT pid AS park_event_id FROM hits WHERE zone_id IN ({CHOSEN})", **_EVENT_HITS)
+_LISTED = ", ".join(f"({i}, {z}, '{name}', {'NULL' if cap is None else cap})" for i, (z, name, cap) in enumerate(PUBLIC_ZONES, 1))
+oracle("public_zone_occupancy_listed", "park_events zones zone_edges",
+       "SELECT cast(l.id as bigint) AS zone_id, l.name, cast(l.capacity as bigint) AS capacity, c.system_id, c.number_of_vehicles "
+       f"FROM (VALUES {_LISTED}) AS l(n, id, name, capacity) LEFT JOIN counts c ON c.zone_id = l.n",
+       points="SELECT park_event_id AS pid, lon, lat, system_id FROM park_events WHERE end_time IS NULL", hits=hits("points"),
+       counts="SELECT h.zone_id, p.system_id, count(*) AS number_of_vehicles FROM hits h JOIN points p "
+              "ON p.pid = h.pid GROUP BY h.zone_id, p.system_id")
+ORACLE["park_events_loaded"] = ORACLE["park_events_everywhere"]
+_NOTCHED_EDGES = " UNION ALL ".join(
+    f"SELECT zone_id, cx + hw * {a}e0 AS x1, cy + hh * {b}e0 AS y1, cx + hw * {c}e0 AS x2, cy + hh * {d}e0 AS y2 FROM zones "
+    "WHERE zone_type <> 'municipality'" for ring in NOTCHED for (a, b), (c, d) in zip(ring, ring[1:]))
+oracle("events_in_notched_zones", "park_events zones",
+       "SELECT zone_id, count(*) AS number_of_events FROM hits GROUP BY zone_id", notched_edges=_NOTCHED_EDGES,
+       points="SELECT park_event_id AS pid, lon, lat FROM park_events", hits=hits("points", edges="notched_edges"))
 oracle("public_zone_occupancy", "park_events zones zone_edges",
        "SELECT z.zone_id, z.name, case when z.zone_id % 3 <> 0 then z.zone_id * 10 end AS capacity, c.system_id, "
        "c.number_of_vehicles FROM zones z LEFT JOIN counts c ON c.zone_id = z.zone_id "

@@ -15,7 +15,7 @@ from kerbline.operators.spatial import build_grid, containing_polygons, either_i
 from kerbline.plans import access, detections, exports, feeds, park, rentals, report, series, statistics, trips, zones
 from kerbline.session import apply_runtime_conf, shared_dir
 from kerbline.sources import dimensions, sinks, tables
-from kerbline.sources.fixtures import INDEX_HORIZON, RAW_SCHEMAS, Fixtures
+from kerbline.sources.fixtures import INDEX_HORIZON, RAW_SCHEMAS, Fixtures, notched
 from kerbline.streaming import streams
 
 POLYGON = ('{"type": "Polygon", "coordinates": [[[4.1, 50.1], [5.9, 50.2], [5.8, 52.3], [4.2, 52.2], [4.1, 50.1]]]}')
@@ -193,6 +193,34 @@ def public_zone_occupancy(t: Fixtures) -> DataFrame:
         "zone_id", "name", "capacity", "o.system_id", "o.number_of_vehicles")
 
 
+@query
+def public_zone_occupancy_listed(t: Fixtures) -> DataFrame:
+    """The fixed list of public zones; the first zones of the table stand for them."""
+    ids = F.array(*(F.lit(row[0]).cast("bigint") for row in dimensions.PUBLIC_ZONES))
+    areas = t.table("zones").where(F.col("zone_id") <= len(dimensions.PUBLIC_ZONES)).withColumn(
+        "zone_id", F.element_at(ids, F.col("zone_id").cast("int")))
+    return park.zone_occupancy(t.table("park_events"), areas, dimensions.public_zones(t.spark)).select(
+        "zone_id", "name", "capacity", F.explode_outer("operators").alias("o")).select(
+        "zone_id", "name", "capacity", "o.system_id", "o.number_of_vehicles")
+
+
+@query
+def park_events_loaded(t: Fixtures) -> DataFrame:
+    """From stored files with the schema of the model."""
+    path = shared_dir(t.spark, "park-events")
+    t.table("park_events").write.parquet(path)
+    found = park.park_events_at(tables.load(t.spark, "park_events", path), t.table("vehicle_type"), t.table("zones"), _filter(PARKED))
+    return _flat(found, "location")
+
+
+@query
+def events_in_notched_zones(t: Fixtures) -> DataFrame:
+    """Concave zones with a hole and a second part, next to each other."""
+    areas = notched(t.table("zones").where(F.col("zone_type") != "municipality"))
+    found = containing_polygons(t.table("park_events"), build_grid(areas))
+    return found.groupBy("zone_id").agg(F.count("*").alias("number_of_events"))
+
+
 def _public_zones(t: Fixtures) -> DataFrame:
     zone = t.table("zones").where(F.col("zone_type") != "municipality")
     return zone.select("zone_id", "name", F.when(F.col("zone_id") % 3 != 0, F.col("zone_id") * 10).alias("capacity"))

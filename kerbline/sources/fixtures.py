@@ -236,6 +236,26 @@ def _diamond(df: DataFrame) -> DataFrame:
     return df.withColumn("rings", F.when(F.col("cx").isNotNull(), ring)).drop("cx", "cy", "hw", "hh")
 
 
+# The corners of a second shape of the small zones, by half widths and heights from the centre: a box with a
+# notch from the east, a hole in its west, and a box of its own inside the notch. Boxes of neighbours share a border.
+NOTCHED = (
+    ((-1.0, -1.0), (1.0, -1.0), (0.0, 0.0), (1.0, 1.0), (-1.0, 1.0), (-1.0, -1.0)),
+    ((-0.75, -0.25), (-0.5, -0.25), (-0.5, 0.25), (-0.75, 0.25), (-0.75, -0.25)),
+    ((0.75, -0.125), (0.875, -0.125), (0.875, 0.125), (0.75, 0.125), (0.75, -0.125)),
+)
+
+
+def notched(zones: DataFrame, half_width: float = 0.25, half_height: float = 0.2) -> DataFrame:
+    """The small zones with the second shape around the centre of their diamond."""
+    diamond = F.element_at("rings", 1)
+    cx, cy = F.element_at(diamond, 2)["x"], F.element_at(diamond, 1)["y"]
+
+    def corner(x: float, y: float):
+        return F.struct((cx + F.lit(half_width * x)).alias("x"), (cy + F.lit(half_height * y)).alias("y"))
+
+    return zones.withColumn("rings", F.array(*(F.array(*(corner(*c) for c in ring)) for ring in NOTCHED)))
+
+
 class Fixtures:
     """Tables of the model over a folder of star-schema Parquet files."""
 
