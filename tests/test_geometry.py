@@ -91,3 +91,21 @@ def test_rounding_is_half_to_even(spark):
     rows = df.select(geo.whole_metres(F.col("m")), geo.hundreds_of_metres(F.col("m"))).collect()
     assert [r[0] for r in rows] == [0, 2, 2, 250, 350]
     assert [r[1] for r in rows][3:] == [200, 400]
+
+
+def test_compiled_and_joined_forms_agree_on_small_grids(spark):
+    """Repeated corners, level edges, and points level with corners or on edges."""
+    import random
+
+    rng = random.Random(9)
+    points = spark.createDataFrame([(float(x) / 2, float(y) / 2) for x in range(-1, 11) for y in range(-1, 11)], "lon double, lat double")
+    for _ in range(12):
+        corners = [(float(rng.randrange(5)), float(rng.randrange(5))) for _ in range(rng.randrange(3, 6))]
+        ring = [c for c in corners for _ in range(rng.randrange(1, 3))]
+        ring.append(ring[0])
+        shape = json.dumps({"type": "Polygon", "coordinates": [[list(c) for c in ring]]})
+        rings = geo.parse_polygon(shape)
+        compiled = points.where(geo.within_polygon(F.col("lon"), F.col("lat"), rings))
+        drawn = points.withColumn("rings", geo.rings_from_geojson(F.lit(shape))).withColumn("edges", geo.polygon_edges("rings"))
+        joined = drawn.where(F.expr(geo.within("edges", "lon", "lat"))).select("lon", "lat")
+        assert sorted(map(tuple, compiled.collect())) == sorted(map(tuple, joined.collect())), corners
