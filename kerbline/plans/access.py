@@ -243,13 +243,16 @@ def user_summary(tables: AccessTables, with_data: DataFrame, all_operators: Data
     The own list is shown only when the user has no list of the other kind. The number of municipalities and of
     operators bounds the lists.
     """
-    own_municipalities = effective_municipalities(tables).groupBy("user_id").agg(F.sort_array(F.collect_list(
-        F.struct(F.col("municipality").alias("gm_code"), "name"))).alias("own_municipalities"))
+    areas = tables.municipality_zones().groupBy("municipality").agg(F.min("zone_id").alias("zone_id"))
+    own_municipalities = lookup_join(effective_municipalities(tables), areas, "municipality").groupBy("user_id").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("municipality").alias("gm_code"), "name", "zone_id"))).alias("own_municipalities"))
     own_operators = effective_operators(tables).groupBy("user_id").agg(F.sort_array(F.collect_list(
         F.struct("system_id", capitalised(F.col("system_id")).alias("name")))).alias("own_operators"))
     # The default lists are the same for all users: two scalar subqueries.
-    default_list = default_municipalities(with_data, tables.zones).agg(F.sort_array(F.collect_list(
-        F.struct("gm_code", "name")))).scalar()
+    by_name = default_municipalities(with_data, tables.zones).agg(F.sort_array(F.collect_list(
+        F.struct("name", "gm_code", "zone_id"))).alias("list"))
+    default_list = by_name.select(F.transform("list", lambda m: F.struct(
+        m["gm_code"].alias("gm_code"), m["name"].alias("name"), m["zone_id"].alias("zone_id")))).scalar()
     default_operators = all_operators.agg(F.sort_array(F.collect_list(F.struct("system_id", "name")))).scalar()
     shown = tables.known_users().join(own_municipalities, "user_id", "left").join(own_operators, "user_id", "left")
     only_municipalities = F.col("own_municipalities").isNotNull() & F.col("own_operators").isNull()

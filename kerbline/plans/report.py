@@ -21,9 +21,10 @@ def _facts(stats: DataFrame, zones: DataFrame, f: Filter) -> DataFrame:
 
 
 def report_triples(stats: DataFrame, zones: DataFrame, f: Filter) -> DataFrame:
-    """Mean, count and sum of every statistic per zone and operator."""
+    """Mean, count and sum of every statistic per zone and operator, by mean."""
     return (_facts(stats, zones, f).groupBy("zone_ref", "stat_description", "system_id")
-            .agg(F.avg("value").alias("avg"), F.count("value").alias("count"), F.sum("value").alias("sum")))
+            .agg(F.avg("value").alias("avg"), F.count("value").alias("count"), F.sum("value").alias("sum"))
+            .orderBy("avg", "zone_ref", "stat_description", "system_id"))
 
 
 def active_operators(stats: DataFrame, zones: DataFrame, f: Filter) -> DataFrame:

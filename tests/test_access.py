@@ -104,6 +104,11 @@ def test_summary_shows_own_lists_only_without_the_other_kind(spark, tables):
     assert rows["root"]["is_admin"] and rows["firm"]["is_contact_person_municipality"]
     roles = {r["user_id"]: r["role"] for r in access.user_summary(tables, with_data, dimensions.operators(spark)).select(
         "user_id", exports.role_of().alias("role")).collect()}
+    assert [(m["gm_code"], m["name"], m["zone_id"] is not None) for m in rows["guest"]["municipalities"]] == [
+        ("GM1", "One", True), ("GM2", "Two", True)]
+    swapped = spark.createDataFrame([("GM1", "Z"), ("GM2", "A")], SCHEMAS["municipalities_with_data"])
+    guest = {r["user_id"]: r for r in access.user_summary(tables, swapped, dimensions.operators(spark)).collect()}["guest"]
+    assert [m["name"] for m in guest["municipalities"]] == ["A", "Z"]
     assert roles == {"root": "admin", "city": "municipality", "friend": "municipality", "firm": "operator",
                      "both": "operator", "guest": None}
 
