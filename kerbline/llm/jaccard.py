@@ -34,9 +34,10 @@ from kerbline.llm.shingles import mix, shingle_sets
 from kerbline.llm.work import WORD, components, row_key, stored
 
 BLOCK = 512  # classes
-BATCH_TOKENS = 1_500_000  # whose counts a map task sends at a time
-BUCKET_TOKENS = 2_000_000  # that one counting task is planned for
+BATCH_TOKENS = 500_000  # whose counts a map task sends at a time
+BUCKET_TOKENS = 500_000  # that one counting task is planned for
 ORDERS = 3
+ROWS = 256  # texts that a map task takes out of a batch at a time
 SPREAD = 32  # tokens in more sets of a block than this are counted by matrix products, others by lists
 
 
@@ -98,6 +99,12 @@ def _batch(schema: pa.Schema, rows: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _counted(owner: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ascending distinct tokens, their counts, some owner of each, and for each entry the place of its token."""
     to = np.argsort(tokens, kind="stable")
@@ -131,11 +138,11 @@ def _prefix_counts(buckets: int, width: int, percent: int):
             block += 1
             held.clear()
 
-        for batch in batches:
+        for batch in _slices(batches):
             texts = [t.encode() for t in batch.column("_text").to_pylist()]
             for ka, kb, s in zip(batch.column("_ka").to_pylist(), batch.column("_kb").to_pylist(), shingle_sets(texts, width)):
                 n = len(s)
-                prefix = s[: min(n, n - least_overlap(n, percent) + max(1, n // 10))]
+                prefix = s[: min(n, n - least_overlap(n, percent) + max(1, n // 10))].copy()
                 held.append((ka, kb, n, _name(s), prefix))
                 waiting += len(prefix)
                 if waiting > BATCH_TOKENS:
@@ -151,7 +158,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
     """Runs of rows with one key, from batches in order of the key."""
     now, rows = None, []
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in (r for at in range(0, batch.num_rows, 64) for r in batch.slice(at, 64).to_pylist()):
             if row[key] != now and rows:
                 yield now, rows
                 rows = []
@@ -162,19 +169,30 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
 
 
 def _answer_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For every document of every block, how many of its tokens occur in other blocks (and not twice in its own)."""
-    schema = pa.schema([("block", pa.int64()), ("idx", pa.int32()), ("more", pa.int32())])
+    """Back to each block, packed: how many tokens of its documents occur in other blocks (and not twice in their own)."""
+    schema = pa.schema([("block", pa.int64()), ("payload", pa.binary())])
     for _, rows in _grouped(batches, "bucket"):
         parts = [unpack(r["payload"], "<u8", "<u4") for r in rows]
-        block = np.repeat(np.array([r["block"] for r in rows]), [len(p[0]) for p in parts])
-        who = np.concatenate([p[1] for p in parts])
-        _, counts, _, place = _counted(block, np.concatenate([p[0] for p in parts]))
-        answered = (counts[place] > 1) & (who != 0xFFFFFFFF)
-        block, who = block[answered], who[answered]
-        to = np.lexsort((who, block))
-        block, who = block[to], who[to]
-        begin = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (who[1:] != who[:-1]))) if len(block) else np.zeros(0, dtype=np.int64)
-        yield _batch(schema, len(begin), block=block[begin], idx=who[begin].astype(np.int32), more=np.diff(np.append(begin, len(block))))
+        _, counts, _, place = _counted(np.zeros(sum(len(p[0]) for p in parts), dtype=np.int8), np.concatenate([p[0] for p in parts]))
+        again = counts[place] > 1
+        out, at = [], 0
+        for r, p in zip(rows, parts):
+            who = p[1][again[at : at + len(p[1])]]
+            at += len(p[1])
+            who, n = np.unique(who[who != 0xFFFFFFFF], return_counts=True)
+            if len(who):
+                out.append((r["block"], pack(who, n.astype(np.uint32))))
+        yield _batch(schema, len(out), block=[o[0] for o in out], payload=[o[1] for o in out])
+
+
+def _sum_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The answers of all buckets to a block, added up by document."""
+    schema = pa.schema([("block", pa.int64()), ("idx", pa.int32()), ("more", pa.int32())])
+    for block, rows in _grouped(batches, "block"):
+        parts = [unpack(r["payload"], "<u4", "<u4") for r in rows]
+        total = np.bincount(np.concatenate([p[0] for p in parts]), weights=np.concatenate([p[1] for p in parts]))
+        some = np.flatnonzero(total)
+        yield _batch(schema, len(some), block=block, idx=some.astype(np.int32), more=total[some].astype(np.int32))
 
 
 SECOND = "kind string, block long, c long, n int, bucket int, payload binary"
@@ -198,7 +216,7 @@ def _class_counts(buckets: int, width: int):
             block += 1
             held.clear()
 
-        for batch in batches:
+        for batch in _slices(batches):
             texts = [t.encode() for t in batch.column("_text").to_pylist()]
             for c, s in zip(batch.column("c").to_pylist(), shingle_sets(texts, width)):
                 held.append((c, s))
@@ -377,7 +395,8 @@ def linked_classes(docs: DataFrame, row_id: str, text: str, width: int, percent:
     first = stored(data.mapInArrow(_prefix_counts(buckets, width, percent), FIRST), "prefixes", ["kind"])
     rows = first.where("kind = 'doc'").select("block", "idx", "_ka", "_kb", "n", "c", "have")
     answers = (first.where("kind = 'ask'").select("bucket", "block", "payload").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-               .mapInArrow(_answer_documents, "block long, idx int, more int").groupBy("block", "idx").agg(F.sum("more").alias("more")))
+               .mapInArrow(_answer_documents, "block long, payload binary").repartition("block").sortWithinPartitions("block")
+               .mapInArrow(_sum_answers, "block long, idx int, more int"))
     need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100.0) / 10))
     survivors = (rows.where("n > 0").join(answers, ["block", "idx"], "left")
                  .where(F.col("have") + F.coalesce("more", F.lit(0)) >= need).groupBy("c").agg(F.min(F.struct("_ka", "_kb")).alias("k")))
@@ -389,9 +408,10 @@ def linked_classes(docs: DataFrame, row_id: str, text: str, width: int, percent:
     third = stored(sets.unionByName(frequencies).repartition("block").sortWithinPartitions("block")
                    .mapInArrow(_prefixes(percent, orders), THIRD), "orders", ["kind"])
     classes = third.where("kind = 'class'").select("c", "n", "tokens").dropDuplicates(["c"])
-    posts = third.where("kind = 'post'").select("token", "c").distinct()
-    # a star around the smallest class of each token
-    stars = posts.join(posts.groupBy("token").agg(F.min("c").alias("center"), F.count("*").alias("of")).where("of > 1"), "token")
+    posts = third.where("kind = 'post'").select("token", "c")
+    # a star around the smallest class of each token; written, so that Spark can split a token that many classes share
+    centers = stored(posts.groupBy("token").agg(F.min("c").alias("center"), F.max("c").alias("_last")).where("center < _last").drop("_last"), "centers")
+    stars = posts.join(centers, "token")
     clusters = stored(components(stars.select("c", "center"), "c", "center"), "clusters")
     sizes = clusters.groupBy("root").agg(F.count("*").alias("of"))
     members = stored(clusters.join(sizes, "root").select(
@@ -448,7 +468,7 @@ def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     known = (base.join(sets, ["_ka", "_kb"]).join(roots.select(F.col("node").alias("c"), "root"), "c", "left")
              .select("_row", "_id", "n", "c", F.when(F.col("n") > 0, F.coalesce("root", "c")).alias("root")))
     known = stored(known, "rows")
-    least = known.where("n > 0").groupBy("root").agg(F.min("_id").alias("least"))
+    least = stored(known.where("n > 0").groupBy("root").agg(F.min("_id").alias("least")), "least")
     out = known.join(least, "root", "left")
     return out.select("_row.*", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).alias("class_id"),
                       F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("_id")).alias("component_id"))

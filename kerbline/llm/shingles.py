@@ -14,7 +14,7 @@ BYTE = _RNG.integers(1, 1 << 63, size=256, dtype=np.uint64)
 BYTE[65:91] = BYTE[97:123]
 ROOT = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
