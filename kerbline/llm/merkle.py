@@ -7,7 +7,7 @@ sections, so equal roots mean equal texts. A fingerprint is the tree as text:
 
     root;section:paragraph,paragraph;section:paragraph…      with a paragraph as  hash=leaf.leaf.leaf
 
-where a leaf is eight hex digits and its length in characters. Two fingerprints are compared from the top: equal roots
+where a leaf is six hex digits and its length in characters. Two fingerprints are compared from the top: equal roots
 are equal texts, equal sections and paragraphs count whole, and only where branches differ are leaves looked at.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from kerbline.llm.work import stored
 
-PIECE = 64
+PIECE = 128
 LEAF = regex.compile(r"[^.!?|]{1,%d}[.!?|]*|[.!?|]{1,%d}" % (PIECE, PIECE))
 SECTION_RATE = 8
 
@@ -41,7 +41,7 @@ def fingerprint(text: str) -> str:
     lines = text.split("\n") if text else []
     for line in lines:
         pieces = LEAF.findall(line)
-        leaves = [f"{xxhash.xxh3_64_intdigest(p) & 0xFFFFFFFF:08x}{len(p):x}" for p in pieces]
+        leaves = [f"{xxhash.xxh3_64_intdigest(p) & 0xFFFFFF:06x}{len(p):x}" for p in pieces]
         inner = _digest(line)
         paragraphs.append(f"{inner[:16]}=" + ".".join(leaves))
         whole.append(inner)
@@ -63,7 +63,7 @@ def _leaves(paragraph: str) -> Counter:
 
 
 def _characters(leaves: Counter) -> int:
-    return sum(int(leaf[8:], 16) * n for leaf, n in leaves.items())
+    return sum(int(leaf[6:], 16) * n for leaf, n in leaves.items())
 
 
 def _unmatched(one: list[str], two: list[str]) -> tuple[list[str], list[str]]:
@@ -80,7 +80,7 @@ def differing(one: str, two: str) -> tuple[list[str], list[str]]:
 
 
 def _size(print_: str) -> int:
-    return sum(int(leaf[8:], 16) for s in print_.split(";")[1:] for p in s.partition(":")[2].split(",")
+    return sum(int(leaf[6:], 16) for s in print_.split(";")[1:] for p in s.partition(":")[2].split(",")
                for leaf in p.partition("=")[2].split(".") if leaf)
 
 
