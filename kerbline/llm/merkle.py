@@ -133,7 +133,10 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if held is None:
                 out.append({"kind": "first", "part": part, "row_id": row_id, "text": text})
             else:
-                out.append({"kind": "row", "part": part, **_row(*held, text, own)})
+                row = _row(*held, text, own)
+                # both fingerprints in one column: what they share is stored once by the compression
+                row["fingerprint"] += "\n" + row.pop("edited_fingerprint")
+                out.append({"kind": "row", "part": part, **row})
             held = (row_id, text, own)
             if len(out) >= 1000:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
@@ -171,4 +174,7 @@ def compare_with_next(docs: DataFrame, row_id: str = "doc_id", text: str = "text
     borders = (walked.where("kind = 'last'").select("part", "row_id", "text").join(follow, "part")
                .join(walked.where("kind = 'first'").select(F.col("part").alias("next"), F.col("text").alias("following")), "next")
                .select("row_id", "text", "following").mapInArrow(_at_borders, result))
-    return walked.where("kind = 'row'").select(*FIELDS).unionByName(borders)
+    both = F.col("fingerprint")
+    rows = walked.where("kind = 'row'").withColumns({
+        "fingerprint": F.substring_index(both, "\n", 1), "edited_fingerprint": F.substring_index(both, "\n", -1)})
+    return rows.select(*FIELDS).unionByName(borders)
