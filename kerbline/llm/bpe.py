@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIDE_BY_SIDE = 64  # bytes of the longest piece that is merged together with others
-CACHED_PIECES = 400_000  # per worker; a full cache starts over
+CACHED_PIECES = 250_000  # per worker; a full cache starts over
 CACHED_PIECE_CHARS = 64
-TEXT_BYTES = 4 << 20  # of text that is encoded at a time
+TEXT_BYTES = 2 << 20  # of text that is encoded at a time
 NONE = np.int64(1) << np.int64(60)
 
 
@@ -69,8 +69,9 @@ def encode_together(v: Vocabulary, pieces: list[bytes]) -> list[np.ndarray]:
     while width <= SIDE_BY_SIDE:
         low = width // 2 if width > 2 else 0
         rows = np.flatnonzero((lengths > low) & (lengths <= width))
-        for at in range(0, len(rows), 20_000):
-            some = rows[at : at + 20_000]
+        step = 400_000 // width
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
             _encode_width(v, pieces, some, lengths[some], width, out)
         width *= 2
     return out

@@ -110,7 +110,7 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, np.n
     return order, classes, source
 
 
-def repeated_starts(strings: list[bytes], weights: np.ndarray, depth: int, shard_bytes: int = 1 << 20) -> list[np.ndarray]:
+def repeated_starts(strings: list[bytes], weights: np.ndarray, depth: int, shard_bytes: int = 1 << 19) -> list[np.ndarray]:
     """For each string, a flag per start of a `depth`-byte substring: does it also start anywhere else?
 
     A string of weight two or more stands for that many equal strings, so it repeats by itself.

@@ -66,9 +66,22 @@ def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _by_bucket(tokens: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+def _short(tokens: np.ndarray) -> bytes:
+    """48-bit tokens in six bytes each, packed."""
+    return np.ascontiguousarray(tokens.view(np.uint8).reshape(len(tokens), 8)[:, :6].T).tobytes()
+
+
+def _short_with(data: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """48-bit tokens and the array packed behind them."""
+    n = len(data) // (6 + np.dtype(kind).itemsize)
+    tokens = np.zeros((n, 8), dtype=np.uint8)
+    tokens[:, :6] = np.frombuffer(data, dtype=np.uint8, count=6 * n).reshape(6, n).T
+    return tokens.view("<u8")[:, 0], unpack(data[6 * n :], kind)[0]
+
+
+def _by_bucket(tokens: np.ndarray, buckets: int, bits: int = 64) -> Iterator[tuple[int, slice]]:
     """Slices of ascending tokens by bucket; a bucket is a range of tokens."""
-    width = (1 << 64) // buckets + 1
+    width = (1 << bits) // buckets + 1
     edges = np.searchsorted(tokens, np.array([i * width for i in range(1, buckets)], dtype=np.uint64))
     edges = [0, *edges.tolist(), len(tokens)]
     for b in range(buckets):
@@ -126,14 +139,15 @@ def _prefix_counts(buckets: int, width: int, percent: int):
         def release():
             nonlocal block
             owner = np.repeat(np.arange(len(held)), [len(h[4]) for h in held])
-            tokens = np.concatenate([h[4] for h in held])
+            # 48 bits do here: tokens that fall together only let a document stay that could have left
+            tokens = np.concatenate([h[4] for h in held]) >> np.uint64(16)
             distinct, counts, some, place = _counted(owner, tokens)
             have = np.bincount(owner, weights=counts[place] > 1, minlength=len(held)).astype(np.int64)
             yield _batch(FIRST_ARROW, len(held), kind="doc", block=block, idx=np.arange(len(held)), _ka=[h[0] for h in held],
                          _kb=[h[1] for h in held], n=[h[2] for h in held], c=[h[3] for h in held], have=have)
             # a token that this block repeats needs no answer: its owner is left open
             who = np.where(counts > 1, 0xFFFFFFFF, some).astype(np.uint32)
-            asks = [(b, pack(distinct[s], who[s])) for b, s in _by_bucket(distinct, buckets)]
+            asks = [(b, _short(distinct[s]) + pack(who[s])) for b, s in _by_bucket(distinct, buckets, 48)]
             yield _batch(FIRST_ARROW, len(asks), kind="ask", block=block, bucket=[a[0] for a in asks], payload=[a[1] for a in asks])
             block += 1
             held.clear()
@@ -172,7 +186,7 @@ def _answer_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     """Back to each block, packed: how many tokens of its documents occur in other blocks (and not twice in their own)."""
     schema = pa.schema([("block", pa.int64()), ("payload", pa.binary())])
     for _, rows in _grouped(batches, "bucket"):
-        parts = [unpack(r["payload"], "<u8", "<u4") for r in rows]
+        parts = [_short_with(r["payload"], "<u4") for r in rows]
         _, counts, _, place = _counted(np.zeros(sum(len(p[0]) for p in parts), dtype=np.int8), np.concatenate([p[0] for p in parts]))
         again = counts[place] > 1
         out, at = [], 0

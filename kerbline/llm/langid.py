@@ -20,6 +20,7 @@ from kerbline.llm.work import drawn
 
 WINDOW = 128
 SIDE_BY_SIDE = 2048  # windows
+ROWS = 1024  # texts that are looked at together
 LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
 
@@ -219,7 +220,7 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text", carry: lis
     data = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             texts = batch.column("_text").to_pylist()
             known = [net is not None and t is not None and LETTER.search(t) is not None for t in texts]
             lang, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)

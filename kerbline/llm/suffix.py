@@ -33,8 +33,8 @@ from kerbline.llm.work import row_key, stored
 
 GRAM = 16
 RATE = 64  # one anchor in so many places
-HELD_BYTES = 24 << 20  # contexts a map task combines before it passes them on
-BATCH_BYTES = 4 << 20  # contexts that are ordered together; a single anchor's contexts stay together
+HELD_BYTES = 16 << 20  # contexts a map task combines before it passes them on
+BATCH_BYTES = 2 << 20  # contexts that are ordered together; a single anchor's contexts stay together
 CONTEXT_PARTITION = 2 << 20  # bytes of contexts for which one reduce partition is planned
 UNHINTED = np.uint64(1) << np.uint64(63)
 
@@ -251,7 +251,8 @@ def repeated_spans(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     data = docs.select(*row_key(row_id, text), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_bytes"))
     long_rows = data.where(F.length("_bytes") >= length)
     anchors = stored(long_rows.mapInPandas(_find_anchors(length), "_ka long, _kb long, place int, anchor long"), "anchors")
-    counts = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that the join has a plain exchange on either side and Spark can split an anchor that many places share
+    counts = stored(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "counts")
     known = (anchors.join(counts, "anchor").groupBy("_ka", "_kb")
              .agg(F.collect_set(F.struct("place", F.least("n", F.lit(2_000_000_000)).cast("int").alias("n"))).alias("anchors")))
     found = stored(long_rows.join(known, ["_ka", "_kb"]).mapInPandas(
