@@ -2,8 +2,9 @@
 
 The probability that document a is preferred to document b is the logistic function of w·(f(a) - f(b)). Preference pairs
 put a labelled document of quality 1 before one of quality 0; w minimises the logistic loss over feature differences. A
-document's strength is w·f. The threshold is a quantile of the strengths of the labelled sample: the share of quality 0
-in the labels. Strengths are mapped to 0..1 so that the threshold falls on THRESHOLD.
+document's strength is w·f. The weights come from a sample that is bounded in each class; the threshold does not: it is a
+quantile of the strengths of all labelled documents, at the share of quality 0 among them. Strengths are mapped to 0..1 so
+that the threshold falls on THRESHOLD.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import math
 import operator
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbline.llm.work import drawn
+from kerbline.llm.work import drawn, nth, stored
 
 THRESHOLD = 0.7
 TEXT_BYTES = 2 << 20
@@ -129,17 +130,21 @@ def fit(good: np.ndarray, bad: np.ndarray, pairs: int = 40_000, rounds: int = 40
     return Ranking(w.tolist(), float(strength[at - 1] + strength[at]) / 2, float(max(1e-6, strength.std())))
 
 
+def strength(model: Ranking, feature: Column) -> Column:
+    """w·f; native arithmetic on the feature array."""
+    return sum((F.lit(w) * F.element_at(feature, i + 1) for i, w in enumerate(model.weights)), F.lit(0.0))
+
+
 def score(model: Ranking, feature: Column) -> Column:
-    """0..1, THRESHOLD at the model's cut; native arithmetic on the feature array."""
-    strength = sum((F.lit(w) * F.element_at(feature, i + 1) for i, w in enumerate(model.weights)), F.lit(0.0))
+    """0..1, THRESHOLD at the model's cut."""
     steep = 4.0 / model.scale
     shift = math.log(THRESHOLD / (1 - THRESHOLD))
-    return (1 / (1 + F.exp(-(F.greatest(F.lit(-50.0), F.least(F.lit(50.0), (strength - model.cut) * steep + shift)))))).cast("double")
+    return (1 / (1 + F.exp(-(F.greatest(F.lit(-50.0), F.least(F.lit(50.0), (strength(model, feature) - model.cut) * steep + shift)))))).cast("double")
 
 
 def learn(docs: DataFrame, labels: DataFrame, allowed: Column, row_id: str = "doc_id", text: str = "text", quality: str = "quality",
           per_class: int = 4_000, seed: int = 3) -> Ranking:
-    """Fit on at most `per_class` labelled documents of each class, chosen by a hash of the id.
+    """Fit on at most `per_class` labelled documents of each class, chosen by a hash of the id; set the cut by all of them.
 
     Labels that are null, or differ for one id, are not used; `allowed` says which ids may be learned from.
     """
@@ -151,7 +156,19 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, row_id: str = "do
     rows = (docs.select(F.col(row_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
             .select("_id", "_label", features("_text").alias("_f")).dropDuplicates(["_id"]).orderBy("_id").collect())
     table = lambda label: np.array([r["_f"] for r in rows if r["_label"] == label]).reshape(-1, len(NAMES))
-    return fit(table(1), table(0), seed=seed)
+    good, bad = table(1), table(0)
+    model = fit(good, bad, seed=seed)
+    return set_cut(docs, known, model, row_id, text) if len(good) and len(bad) else model
+
+
+def set_cut(docs: DataFrame, known: DataFrame, model: Ranking, row_id: str = "doc_id", text: str = "text") -> Ranking:
+    """`model` with cut and scale from all documents that `known` (_id, _label) labels, whatever sample the weights came from."""
+    # strengths first: ids and numbers meet, texts do not travel
+    every = stored(docs.select(F.col(row_id).alias("_id"), strength(model, features(F.col(text))).alias("_s"))
+                   .join(known.select("_id", "_label"), "_id").select("_label", "_s"), "strengths")
+    n, bad, scale = every.agg(F.count("*"), F.count_if(F.col("_label") == 0), F.stddev_pop("_s")).first()
+    at = min(n - 1, max(1, bad))
+    return replace(model, cut=(nth(every, "_s", at) + nth(every, "_s", at + 1)) / 2, scale=max(1e-6, scale))
 
 
 def ranked(docs: DataFrame, model: Ranking, text: str = "text") -> DataFrame:

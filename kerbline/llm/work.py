@@ -47,6 +47,29 @@ def drawn(rows: DataFrame, label: str, order: list[str], most: int) -> DataFrame
     return rows.where(F.coalesce(uniform < share, F.lit(True))).withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
 
 
+def nth(rows: DataFrame, column: str, rank: int, few: int = 4_096) -> float:
+    """The exact value of a rank (from 1) in the ascending order of a column of finite doubles.
+
+    Values are counted by cells between the least and the largest; the cell with the rank is divided again until it holds
+    few values or one. The driver sees counts of cells and at most `few` values.
+    """
+    value = F.col(column)
+    low, high, n = rows.agg(F.min(value), F.max(value), F.count(value)).first()
+    below = 0
+    while low < high and n > few:
+        cell = F.least(F.lit(few - 1), F.floor((value - low) / (high - low) * few))
+        cells = (rows.where(value.between(low, high)).groupBy(cell.alias("cell"))
+                 .agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("n")).orderBy("cell").collect())
+        for c in cells:
+            if rank <= below + c["n"]:
+                break
+            below += c["n"]
+        low, high, n = c["low"], c["high"], c["n"]
+    if low == high:
+        return low
+    return sorted(r[0] for r in rows.where(value.between(low, high)).select(value).collect())[rank - below - 1]
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by randomised contraction: (node long, root long), one row per node that has an edge.
 

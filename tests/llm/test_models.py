@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbline.llm import langid, quality, queries
+from kerbline.llm.work import nth
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -45,6 +46,32 @@ def test_quality_without_labels_of_both_kinds(spark, make_docs):
     assert quality.ranked(make_docs([]), model).collect() == []
 
 
+def test_the_cut_comes_from_all_labels(spark, make_docs):
+    """Six good to one bad, overlapping: a sample of 30 each must not move the cut to the middle."""
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for i in range(700):
+        bad = i % 7 == 0
+        noise = np.clip(rng.normal(0.6 if bad else 0.35, 0.15), 0, 1)
+        rows.append((i, " ".join("***" if rng.random() < noise else f"word{rng.integers(400)}" for _ in range(40))))
+        labels.append((i, 0 if bad else 1))
+    docs, table = make_docs(rows), spark.createDataFrame(labels, "doc_id long, quality int")
+    shares = []
+    for per_class in (30, 4_000):
+        model = quality.learn(docs, table, F.col("doc_id") >= 0, per_class=per_class)
+        shares.append(np.mean([r["_score"] < 0.7 for r in quality.ranked(docs, model).collect()]))
+    assert shares == pytest.approx([1 / 7, 1 / 7], abs=0.002)
+
+
+def test_ranks_are_exact(spark):
+    rng = np.random.default_rng(6)
+    values = [0.0] * 300 + rng.normal(0, 1, 500).tolist() + [1e12, 1e-300, -3.5]
+    rows = spark.createDataFrame([(float(v),) for v in values], "s double").repartition(4)
+    for few in (8, 4_096):
+        for rank in (1, 2, 260, 500, len(values) - 1, len(values)):
+            assert nth(rows, "s", rank, few) == sorted(values)[rank - 1]
+
+
 def test_features_of_odd_texts():
     texts = ["", "a", "\n\n", "*** ***", "Aa " * 3000, "|", "é" * 1000, "one\ntwo!! TWO!!"]
     rows = np.concatenate(list(quality.feature_rows(texts)))
