@@ -50,7 +50,7 @@ def _sets(texts: list[bytes], width: int, up: np.ndarray, down: np.ndarray) -> l
     whole = np.zeros(len(word), dtype=np.uint64)
     for i in range(width):
         whole = whole * np.uint64(0xD6E8FEB86659FD93)
-        whole[: len(word) - i] += word[i:]
+        whole[: max(0, len(word) - i)] += word[i:]
     whole = mix(whole)
     out = []
     for a, b in zip(first.tolist(), last.tolist()):

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import types as T
 
 from kerbline.llm import epsilon, jaccard
+from kerbline.llm.shingles import shingle_sets
 from kerbline.llm.work import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -77,6 +78,12 @@ def near_copies(rng, base, n, edits):
     return out
 
 
+def test_shingles_of_single_short_texts():
+    for n in range(7):
+        [found] = shingle_sets([" ".join(f"w{i}" for i in range(n)).encode()])
+        assert len(found) == (0 if n == 0 else max(1, n - 4))
+
+
 @pytest.mark.parametrize("block", [jaccard.BLOCK, 7])
 def test_jaccard_against_brute_force(make_docs, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
