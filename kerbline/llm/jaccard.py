@@ -12,8 +12,11 @@ Two sets with similarity 0.8 or more share tokens in their prefixes under *any*
    of each token, so a token in any number of classes costs one edge for each).
 4. *Candidates and verification.* Clusters are cut into blocks of about BLOCK classes, and blocks meet in pairs. Inside a
    pair of blocks, candidates are the pairs of classes that share prefix tokens under every order; only they are verified,
-   with exact counts. Of the links found, a pair of blocks returns a spanning forest, never all pairs. Large clusters
-   first meet along the chain of their blocks; blocks that turn out to lie in one component do not meet again.
+   with exact counts. Of the links found, a pair of blocks returns a spanning forest and, where links are counted, each
+   class's number of linked rows, never all pairs.
+   To count links, a class goes to every block with a class that shares a prefix token, so each link is seen once. Where
+   only components are asked for, large clusters first meet along the chain of their blocks; blocks that turn out to lie
+   in one component do not meet again.
 
 Tokens travel as packed arrays by bucket: each task sends a token once with its count, so frequent tokens cost one entry a
 task. Nothing is capped: what does not fit one block meets in more pairs of blocks.
@@ -380,14 +383,21 @@ def forest(links: np.ndarray, names: list[int]) -> list[tuple[int, int]]:
 
 
 def _meet(percent: int, orders: int):
+    """Edges (a, b) of a forest; with b null, the rows that a class `a` links with here, by the weights w if there are any."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
         edges: list[tuple[int, int]] = []
+        counts: list[tuple[int, int]] = []
         for _, rows in _grouped(batches, "meeting"):
             rows = list({(r["c"], r["second"]): r for r in rows}.values())
             found = links_of([(r["n"], r["tokens"]) for r in rows], np.array([r["second"] for r in rows]), percent, orders)
             edges += forest(found, [r["c"] for r in rows])
+            if rows[0]["w"] is not None:
+                linked = found @ np.array([r["w"] for r in rows], dtype=np.int64)
+                counts += [(rows[i]["c"], int(linked[i])) for i in np.flatnonzero(linked).tolist()]
         yield _batch(schema, len(edges), a=[e[0] for e in edges], b=[e[1] for e in edges])
+        yield _batch(schema, len(counts), a=[c[0] for c in counts], links=[c[1] for c in counts])
 
     return run
 
@@ -397,11 +407,16 @@ def _meetings(members: DataFrame, classes: DataFrame, pairs: Column, percent: in
     go = members.select("c", F.explode(pairs).alias("p")).select("c", F.xxhash64("p.meeting").alias("meeting"), F.col("p.second").alias("second"))
     parts = max(members.sparkSession.sparkContext.defaultParallelism, -(-weight // 2_000))
     full = go.join(classes, "c").repartition(int(parts), "meeting").sortWithinPartitions("meeting")
-    return stored(full.select("meeting", "second", "c", "n", "tokens").mapInArrow(_meet(percent, orders), "a long, b long"), "links")
+    return stored(full.select("meeting", "second", "c", "n", "w", "tokens").mapInArrow(_meet(percent, orders), "a long, b long, links long"), "links")
+
 
+def linked_classes(docs: DataFrame, row_id: str, text: str, width: int, percent: int, orders: int,
+                   counted: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows: _ka, _kb, n, c for each document; roots: node, root for classes that link).
 
-def linked_classes(docs: DataFrame, row_id: str, text: str, width: int, percent: int, orders: int) -> tuple[DataFrame, DataFrame]:
-    """(rows: _ka, _kb, n, c for each document; roots: node, root for classes that link)."""
+    `counted`: roots also holds classes of several rows (root null if they link with no other), and n_links: how many other
+    rows each row of the class links with, those of its own class included.
+    """
     spark = docs.sparkSession
     data = docs.select(*row_key(row_id, text), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -433,10 +448,25 @@ def linked_classes(docs: DataFrame, row_id: str, text: str, width: int, percent:
         "block", F.pmod(F.xxhash64(F.lit(21), "c"), F.col("blocks")).cast("int")), "members")
     weight = members.count()
     # a member of block i meets its own block and, in larger clusters, the one before and the one after
-    meet = lambda i, j, second: F.struct(F.struct(F.col("root"), i.alias("i"), j.alias("j")).alias("meeting"), F.lit(second).alias("second"))
+    meet = lambda i, j, second: F.struct(F.struct(F.col("root"), i.alias("i"), j.alias("j")).alias("meeting"), (second if isinstance(second, Column) else F.lit(second)).alias("second"))
     b = F.col("block")
     chain = F.when(F.col("blocks") == 1, F.array(meet(b, b, False))).otherwise(F.array(
         meet(b, b, False), meet(b, b + 1, False), meet(b - 1, b, True)))
+    if counted:
+        several = stored(rows.where("n > 0").groupBy("c").agg(F.count("*").alias("w")).where("w > 1"), "several")
+        weighed = classes.join(several, "c", "left").withColumn("w", F.coalesce("w", F.lit(1).cast("long")))
+        # a class of a larger cluster meets each block that holds one of its prefix tokens; its partner there comes as well
+        held = stored(posts.join(members.where("blocks > 1"), "c").select("token", "c", "root", "block"), "held")
+        holders = stored(held.select("token", F.col("block").alias("other")).distinct(), "holders")
+        visits = held.join(holders, "token").select("c", "root", "block", "other").distinct()
+        travel = stored(visits.select("c", F.array(meet(F.least(b, "other"), F.greatest(b, "other"), b > F.col("other"))).alias("pairs")).unionByName(
+            members.where("blocks = 1").select("c", F.array(meet(b, b, False)).alias("pairs"))), "travel")
+        links = _meetings(travel, weighed, F.col("pairs"), percent, orders, travel.count())
+        numbers = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+        more = several.select(F.col("c").alias("node"), (F.col("w") - 1).alias("same"))
+        return rows, stored(components(links.where("b is not null")).join(numbers, "node", "full").join(more, "node", "full").select(
+            "node", "root", (F.coalesce("links", F.lit(0)) + F.coalesce("same", F.lit(0))).alias("n_links")), "roots")
+    classes = classes.withColumn("w", F.lit(None).cast("long"))
     links = _meetings(members, classes, chain, percent, orders, 3 * weight)
     large = members.where("blocks > 2")
     if large.isEmpty():
@@ -467,25 +497,25 @@ def linked_classes(docs: DataFrame, row_id: str, text: str, width: int, percent:
 
 def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80,
                     orders: int = ORDERS, carry: list[str] | None = None) -> DataFrame:
-    """The columns `carry` (default: the id) with n_shingles, class_id (rows with equal sets share it) and component_id.
+    """The columns `carry` (default: the id) with n_shingles, class_id (rows with equal sets share it), component_id and n_links.
 
     A set holds the distinct shingles of `width` words (A-Z lower-cased; words are runs of anything but ASCII white space);
     fewer words make one shingle. Sets link when 100 * intersection >= percent * union. component_id is the smallest id of
-    the rows that links reach. A text that is null or has no words has no shingles, no class and links with nothing.
+    the rows that links reach, n_links the number of other rows that a row links with. A text that is null or has no words has no shingles, no class and links with nothing.
     Equal rows are rows of one class. A null id takes part; component_id is null only where all reachable ids are. An
     empty table gives no rows. Other columns are not looked at.
     """
     names = [row_id] if carry is None else carry
-    rows, roots = linked_classes(docs, row_id, text, width, percent, orders)
+    rows, roots = linked_classes(docs, row_id, text, width, percent, orders, counted=True)
     sets = rows.select("_ka", "_kb", "n", "c").dropDuplicates(["_ka", "_kb"])
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(row_id).alias("_id"), *row_key(row_id, text))
-    known = (base.join(sets, ["_ka", "_kb"]).join(roots.select(F.col("node").alias("c"), "root"), "c", "left")
-             .select("_row", "_id", "n", "c", F.when(F.col("n") > 0, F.coalesce("root", "c")).alias("root")))
+    known = (base.join(sets, ["_ka", "_kb"]).join(roots.select(F.col("node").alias("c"), "root", "n_links"), "c", "left")
+             .select("_row", "_id", "n", "c", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n") > 0, F.coalesce("root", "c")).alias("root")))
     known = stored(known, "rows")
     least = stored(known.where("n > 0").groupBy("root").agg(F.min("_id").alias("least")), "least")
     out = known.join(least, "root", "left")
     return out.select("_row.*", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).alias("class_id"),
-                      F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("_id")).alias("component_id"))
+                      F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("_id")).alias("component_id"), "n_links")
 
 
 def representatives(docs: DataFrame, row_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80,

@@ -50,7 +50,7 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates(documents(spark, folder)).select("doc_id", "n_shingles", "component_id", "class_id")
+    return near_duplicates(documents(spark, folder)).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:

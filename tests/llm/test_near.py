@@ -98,6 +98,20 @@ def test_jaccard_against_brute_force(make_docs, monkeypatch, block):
     assert found_of(jaccard.near_duplicates(make_docs(given)).collect()) == wanted_of(given)
 
 
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 7])
+def test_jaccard_counts_every_link(make_docs, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(12)
+    draw = lambda n: " ".join(f"v{rng.randrange(10**5)}" for _ in range(n))
+    texts = near_copies(rng, draw(120), 60, 6) + near_copies(rng, draw(15), 20, 1) + [draw(40)] * 3 + ["a b", "A b", "x", "", None]
+    given = list(enumerate(texts)) + [(3, texts[3]), (None, texts[0])]
+    sets = sets_of(given)
+    wanted = [(-1 if i is None else i, sum(1 for b in range(len(sets)) if b != a and sets[a] and sets[b]
+               and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))) for a, (i, _) in enumerate(given)]
+    rows = jaccard.near_duplicates(make_docs(given)).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_links"]) for r in rows) == sorted(wanted)
+
+
 def test_jaccard_on_the_given_table_and_of_nothing(spark, make_docs):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     given = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
