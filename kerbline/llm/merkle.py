@@ -2,7 +2,8 @@
 
 A text is cut into lines (paragraphs); runs of paragraphs form sections, whose borders a paragraph's own hash decides (one
 in about eight), so an edit moves no border but those next to it. A paragraph's children are its sentences, and sentences
-without a stop for long are cut every PIECE characters. Every node's hash covers its children's; the root is over the
+without a stop for long are cut every PIECE characters. Leaves are finer at the beginning of a text, down to words, so that
+they are small beside a text of any length. Every node's hash covers its children's; the root is over the
 sections, so equal roots mean equal texts. A fingerprint is the tree as text:
 
     root;section:paragraph,paragraph;section:paragraph…      with a paragraph as  hash=leaf.leaf.leaf
@@ -28,6 +29,8 @@ from kerbline.llm.work import stored
 
 PIECE = 128
 LEAF = regex.compile(r"[^.!?|]{1,%d}[.!?|]*|[.!?|]{1,%d}" % (PIECE, PIECE))
+# (up to this character of the text, leaves): words first, then short pieces
+FINER = ((256, regex.compile(r"\S{1,8}\s*|\s+")), (1024, regex.compile(r"[^.!?|]{1,32}[.!?|]*|[.!?|]{1,32}")))
 SECTION_RATE = 8
 
 
@@ -35,12 +38,25 @@ def _digest(data: str) -> str:
     return hashlib.blake2b(data.encode(), digest_size=16).hexdigest()
 
 
+def _pieces(line: str, at: int) -> list[str]:
+    """Leaves of a line that begins at character `at` of its text."""
+    out, begin = [], 0
+    for upto, leaf in FINER:
+        end = min(len(line), upto - at)
+        if begin < end:
+            out += leaf.findall(line[begin:end])
+            begin = end
+    return out + LEAF.findall(line[begin:] if begin else line)
+
+
 def fingerprint(text: str) -> str:
     """The tree of a text; '' has a root and nothing below it."""
     sections, paragraphs, whole = [], [], []
     lines = text.split("\n") if text else []
+    at = 0
     for line in lines:
-        pieces = LEAF.findall(line)
+        pieces = _pieces(line, at)
+        at += len(line) + 1
         leaves = [f"{xxhash.xxh3_64_intdigest(p) & 0xFFFFFF:06x}{len(p):x}" for p in pieces]
         inner = _digest(line)
         paragraphs.append(f"{inner[:16]}=" + ".".join(leaves))
@@ -66,17 +82,28 @@ def _characters(leaves: Counter) -> int:
     return sum(int(leaf[6:], 16) * n for leaf, n in leaves.items())
 
 
-def _unmatched(one: list[str], two: list[str]) -> tuple[list[str], list[str]]:
-    a, b = Counter(one), Counter(two)
-    return list((a - b).elements()), list((b - a).elements())
+def _unmatched(one: list[str], two: list[str], stop: str) -> tuple[list[str], list[str]]:
+    """Nodes without a partner of the same hash, which ends at `stop`; equal nodes may have other leaves elsewhere in a text."""
+    left = []
+    for nodes, others in ((one, two), (two, one)):
+        there = Counter(n.partition(stop)[0] for n in others)
+        rest = []
+        for n in nodes:
+            name = n.partition(stop)[0]
+            if there[name]:
+                there[name] -= 1
+            else:
+                rest.append(n)
+        left.append(rest)
+    return left[0], left[1]
 
 
 def differing(one: str, two: str) -> tuple[list[str], list[str]]:
     """Paragraph nodes of each fingerprint that have no partner in the other: this is where the texts were edited."""
     if one.partition(";")[0] == two.partition(";")[0]:
         return [], []
-    a, b = _unmatched(one.split(";")[1:], two.split(";")[1:])
-    return _unmatched([p for s in a for p in s.partition(":")[2].split(",")], [p for s in b for p in s.partition(":")[2].split(",")])
+    a, b = _unmatched(one.split(";")[1:], two.split(";")[1:], ":")
+    return _unmatched([p for s in a for p in s.partition(":")[2].split(",")], [p for s in b for p in s.partition(":")[2].split(",")], "=")
 
 
 def _size(print_: str) -> int:
