@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import chat, langid, merkle, mixing, quality, sharding
+from kerbline.llm import chat, langid, merkle, mixing, mtree, quality, sharding, spelling, trie
 from kerbline.llm.bpe import encode_decode
 from kerbline.llm.epsilon import near_vectors
 from kerbline.llm.jaccard import near_duplicates
@@ -82,6 +82,18 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_mtree_search(spark: SparkSession, folder: str) -> DataFrame:
+    return mtree.top_k(documents(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op12_partenum_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(documents(spark, folder)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.nodes(trie.rebuilt(trie.sequences(documents(spark, folder, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_epsilon_grid_join": op2_epsilon_grid_join,
@@ -93,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_merkle_fingerprints": op8_merkle_fingerprints,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_language_id": op10_language_id,
+    "op11_mtree_search": op11_mtree_search,
+    "op12_partenum_variants": op12_partenum_variants,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE: dict[str, str] = {}
