@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from checks import queries as q
 from kerbline.sources.dimensions import OPERATORS, PUBLIC_ZONES
-from kerbline.sources.fixtures import DERIVATIONS, INDEX_HORIZON, NOTCHED, VEHICLE_TYPES
+from kerbline.sources.fixtures import DERIVATIONS, INDEX_HORIZON, LEFT_OUT, NOTCHED, SNAPPED, VEHICLE_TYPES
 
 ORACLE: dict[str, str] = {}
 
@@ -124,6 +124,10 @@ _histogram("park_age_histogram", ALL_IDS, "")
 _histogram("park_age_histogram_filtered", CHOSEN,
            " AND p.system_id IN ('op_0', 'op_2') AND (v.form_factor = 'bicycle' OR v.form_factor IS NULL)")
 
+for _form in ("park_events_historic", "park_count_historic", "park_age_histogram_historic"):
+    ORACLE[_form] = ORACLE[{"park_events_historic": "park_events_at", "park_count_historic": "park_count_in_polygon",
+                            "park_age_histogram_historic": "park_age_histogram"}[_form]]
+
 _TOUCHED = ("SELECT park_event_id, cast(unnest(generate_series(cast(cast(start_time as date) as timestamp), "
             f"cast(cast(coalesce(end_time, timestamp '{INDEX_HORIZON} 00:00:00') as date) as timestamp), "
             "interval 1 day)) as date) AS on_date FROM park_events")
@@ -135,12 +139,19 @@ oracle("park_events_by_date_index", "park_events",
        f"SELECT park_event_id, system_id, bike_id, start_time, end_time FROM park_events WHERE {parked(PARKED_AT)} "
        f"AND park_event_id IN (SELECT park_event_id FROM touched WHERE on_date = date '2001-06-15')",
        touched=_TOUCHED)
+ORACLE["park_events_by_id_lists"] = ORACLE["park_events_by_date_index"]
 ORACLE["park_events_through_day_index"] = ORACLE["park_events_by_date_index"]
 _EVENT_HITS = {"points": "SELECT park_event_id AS pid, lon, lat FROM park_events", "hits": hits("points")}
 oracle("zones_of_events_shuffled", "park_events zones zone_edges",
-       f"SELECT zone_id, count(*) AS number_of_events FROM hits WHERE zone_id IN ({CHOSEN}) GROUP BY zone_id", **_EVENT_HITS)
+       "SELECT zone_id, count(*) AS number_of_events FROM hits GROUP BY zone_id", **_EVENT_HITS)
 oracle("events_in_zones_shuffled", "park_events zones zone_edges",
-       f"SELECT DISTINCT pid AS park_event_id FROM hits WHERE zone_id IN ({CHOSEN})", **_EVENT_HITS)
+       "SELECT DISTINCT pid AS park_event_id FROM hits", **_EVENT_HITS)
+# Points a little to all four sides must be covered, each by some box.
+oracle("events_in_joined_boxes", "park_events zones",
+       "SELECT pid AS park_event_id FROM points p CROSS JOIN (VALUES (-1e-7, -1e-7), (-1e-7, 1e-7), (1e-7, -1e-7), (1e-7, 1e-7)) AS d(dx, dy) "
+       "WHERE EXISTS (SELECT 1 FROM boxes b WHERE abs(p.lon + d.dx - b.cx) < 0.25e0 AND abs(p.lat + d.dy - b.cy) < 0.25e0) GROUP BY pid HAVING count(*) = 4",
+       boxes=f"SELECT cx, cy FROM zones WHERE zone_type <> 'municipality' AND zone_id NOT IN {LEFT_OUT}",
+       points=f"SELECT park_event_id AS pid, {SNAPPED['lon']} AS lon, {SNAPPED['lat']} AS lat FROM park_events")
 _LISTED = ", ".join(f"({i}, {z}, '{name}', {'NULL' if cap is None else cap})" for i, (z, name, cap) in enumerate(PUBLIC_ZONES, 1))
 oracle("public_zone_occupancy_listed", "park_events zones zone_edges",
        "SELECT cast(l.id as bigint) AS zone_id, l.name, cast(l.capacity as bigint) AS capacity, c.system_id, c.number_of_vehicles "
@@ -194,7 +205,7 @@ oracle("trips_in_zones", "vehicle_type trips zones zone_edges",
        f"SELECT {_TRIP} FROM numbered p {_TYPED} WHERE {_TRIP_FILTER} AND ({_hit('start')} OR {_hit('end')})",
        **_TRIP_STEPS)
 oracle("trips_in_zones_shuffled", "trips zones zone_edges",
-       f"SELECT trip_id FROM numbered p WHERE {_hit('start')} OR {_hit('end')}", **_TRIP_STEPS)
+       "SELECT trip_id FROM numbered p WHERE pid IN (SELECT pid FROM start_hits) OR pid IN (SELECT pid FROM end_hits)", **_TRIP_STEPS)
 for _name, _which in (("trip_origins", "start"), ("trip_destinations", "end")):
     oracle(_name, "vehicle_type trips zones zone_edges",
            f"SELECT p.system_id, p.{_which}_time AS event_time, v.form_factor, round_even({_METRES} / 100e0, 0) * 100e0 "
@@ -415,8 +426,8 @@ oracle("municipality_of_repeated_points", "zones zone_edges bike_detection",
        "SELECT form, p.pid AS point, f.zone_id FROM repeated p JOIN (SELECT pid, min(zone_id) AS zone_id FROM hits GROUP BY pid) f "
        "ON f.pid = p.pid CROSS JOIN (VALUES ('broadcast'), ('shuffled')) AS forms(form)",
        areas="SELECT * FROM zones WHERE zone_type = 'municipality'",
-       repeated="SELECT sample_id % 500 AS pid, 4.0e0 + (sample_id % 500) / 200.0e0 AS lon, 50.0e0 + (sample_id % 500) / 250.0e0 AS lat FROM bike_detection",
-       points="SELECT DISTINCT * FROM repeated",
+       repeated="SELECT sample_id AS pid FROM bike_detection UNION ALL SELECT sample_id FROM bike_detection",
+       points="SELECT sample_id AS pid, lon, lat FROM bike_detection",
        hits=hits("points", zones="areas", border_counts=True))
 
 _SHARE = "((p.lon - e.x1) * (e.x2 - e.x1) + (p.lat - e.y1) * (e.y2 - e.y1)) / (pow(e.x2 - e.x1, 2) + pow(e.y2 - e.y1, 2))"
@@ -577,7 +588,17 @@ oracle("acl_filtered_trips", _ACCESS + " trips zone_edges",
        ops=f"SELECT system_id FROM my_operators WHERE user_id = '{q.EXPORT_USER}'",
        zs=f"SELECT zone_id FROM my_zones WHERE user_id = '{q.EXPORT_USER}'")
 
-ORACLE["raw_export_of_user"] = ORACLE["acl_filtered_trips"]
+_MAY = ("(NOT EXISTS (SELECT 1 FROM ops) OR system_id IN (SELECT system_id FROM ops)) AND (NOT EXISTS (SELECT 1 FROM zs) OR ")
+oracle("raw_export_of_user", _ACCESS + " trips park_events zone_edges",
+       "SELECT 'trip' AS kind, trip_id AS id, system_id, bike_id, vehicle_type_id, start_lon, start_lat, end_lon, end_lat, start_time, end_time "
+       f"FROM numbered p WHERE {_MAY}pid IN (SELECT pid FROM start_hits WHERE zone_id IN (SELECT zone_id FROM zs)) "
+       "OR pid IN (SELECT pid FROM end_hits WHERE zone_id IN (SELECT zone_id FROM zs))) UNION ALL "
+       "SELECT 'park_event', pid, system_id, bike_id, vehicle_type_id, lon, lat, cast(null as double), cast(null as double), start_time, end_time "
+       f"FROM event_points WHERE {_MAY}pid IN (SELECT pid FROM event_hits WHERE zone_id IN (SELECT zone_id FROM zs)))",
+       **_GRANTS, **_TRIP_STEPS,
+       event_points=f"SELECT park_event_id AS pid, * FROM park_events WHERE start_time {_EDGE}", event_hits=hits("event_points"),
+       ops=f"SELECT system_id FROM my_operators WHERE user_id = '{q.EXPORT_USER}'",
+       zs=f"SELECT zone_id FROM my_zones WHERE user_id = '{q.EXPORT_USER}'")
 
 # --- sinks ------------------------------------------------------------------------------------------------------
 
@@ -596,7 +617,7 @@ oracle("raw_export_park_events", "park_events zones zone_edges",
 _ACTIVE = ("SELECT sha1(concat('user_', cast(user_id as string), ':active-users')) AS user_hash, "
            "min(case event_id % 4 when 0 then 'municipality' when 1 then 'operator' when 2 then 'admin' end) AS role, "
            "cast(ts as date) AS active_on FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0 GROUP BY 1, 3")
-ORACLE["active_users_daily"] = ORACLE["stream_active_users"] = _ACTIVE
+ORACLE["active_users_daily"] = ORACLE["stream_active_users"] = ORACLE["stream_active_users_bounded"] = _ACTIVE
 oracle("audit_rows", "requests",
        "SELECT user_id AS username, timestamp '2024-01-30 12:00:00' AS timestamp_accessed, "
        "concat('/raw_data?request=', cast(request_id as string)) AS raw_api_call, "
@@ -608,6 +629,8 @@ oracle("stream_rental_buckets", "stats_number_of_trips",
        "SELECT time_bucket(interval '15 minutes', time) AS bucket, system_id, modality, "
        "cast(sum(number_of_trips_started) as bigint) AS number_of_trips_started, "
        "cast(sum(number_of_trips_ended) as bigint) AS number_of_trips_ended FROM stats_number_of_trips GROUP BY ALL")
+ORACLE["stream_rental_buckets_in_time"] = ORACLE["stream_rental_buckets"]
+ORACLE["stream_rental_series"] = ORACLE["rental_series_15m"]
 oracle("stream_parked_buckets", "stats_number_of_vehicles_parked",
        "SELECT cast(date_trunc('hour', time) as timestamp) AS bucket, system_id, modality, "
        "min(number_of_vehicles_parked) AS min, max(number_of_vehicles_parked) AS max, "

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from datetime import date, datetime
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from kerbline.filters import Filter
 from kerbline.functions import geometry as geo
 from kerbline.model import SCHEMAS, TRIPS_ENDED, VEHICLES_AVAILABLE
+from kerbline.operators.intervals import load_intervals, store_intervals
 from kerbline.operators.spatial import build_grid, containing_polygons, either_in_any_polygon, first_polygon, in_any_polygon
 from kerbline.plans import access, detections, exports, feeds, park, rentals, report, series, statistics, trips, zones
 from kerbline.session import apply_runtime_conf, shared_dir
 from kerbline.sources import dimensions, sinks, tables
-from kerbline.sources.fixtures import INDEX_HORIZON, RAW_SCHEMAS, Fixtures, notched
+from kerbline.sources.fixtures import INDEX_HORIZON, LEFT_OUT, RAW_SCHEMAS, SNAPPED, Fixtures, boxed, notched
 from kerbline.streaming import streams
 
 POLYGON = ('{"type": "Polygon", "coordinates": [[[4.1, 50.1], [5.9, 50.2], [5.8, 52.3], [4.2, 52.2], [4.1, 50.1]]]}')
@@ -135,9 +136,18 @@ def park_event_date_index(t: Fixtures) -> DataFrame:
 
 @query
 def park_events_by_date_index(t: Fixtures) -> DataFrame:
+    """From the stored index of bitmaps."""
+    events, path = t.table("park_events"), shared_dir(t.spark, "bitmap-index")
+    park.build_bitmap_index(events, INDEX_UNTIL).write.parquet(path)
+    return park.events_by_bitmap_index(events, t.spark.read.parquet(path), _filter(PARKED)).select(
+        "park_event_id", "system_id", "bike_id", "start_time", "end_time")
+
+
+@query
+def park_events_by_id_lists(t: Fixtures) -> DataFrame:
+    """From the lists of ids by date."""
     events = t.table("park_events")
-    index = park.build_date_index(events, INDEX_UNTIL)
-    return park.events_by_date_index(events, index, _filter(PARKED)).select(
+    return park.events_by_date_index(events, park.build_date_index(events, INDEX_UNTIL), _filter(PARKED)).select(
         "park_event_id", "system_id", "bike_id", "start_time", "end_time")
 
 
@@ -153,9 +163,37 @@ def park_events_through_day_index(t: Fixtures) -> DataFrame:
         "park_event_id", "system_id", "bike_id", "start_time", "end_time")
 
 
+def _routed(t: Fixtures, f: Filter) -> DataFrame:
+    """The stored history for an instant long before NOW; the current table holds what is still parked only."""
+    path = shared_dir(t.spark, "park-history")
+    store_intervals(t.table("park_events"), path)
+    history = load_intervals(t.spark, path, SCHEMAS["park_events"])
+    return park.source_at(t.table("park_events").where(F.col("end_time").isNull()), history, f, NOW)
+
+
+@query
+def park_events_historic(t: Fixtures) -> DataFrame:
+    f = _filter(PARKED, CHOSEN_ZONES, operators="op_1,op_3,op_4", form_factors="moped,car,unknown")
+    return _flat(park.park_events_at(_routed(t, f), t.table("vehicle_type"), t.table("zones"), f), "location")
+
+
+@query
+def park_count_historic(t: Fixtures) -> DataFrame:
+    f = _filter(PARKED, geojson=POLYGON)
+    return park.park_count(_routed(t, f), t.table("vehicle_type"), f)
+
+
+@query
+def park_age_histogram_historic(t: Fixtures) -> DataFrame:
+    f = _filter(PARKED, ALL_ZONES)
+    stats = park.park_event_stats(_routed(t, f), t.table("vehicle_type"), t.table("zones"), f)
+    return stats.select("zone_id", "name", "municipality", "zone_type",
+                        *(F.col("stats")[i].alias(f"bucket_{i}") for i in range(5)))
+
+
 # The joins as they run when the cells outgrow a broadcast.
 def _shuffled(t: Fixtures):
-    return build_grid(t.table("zones").where(_filter(CHOSEN_ZONES).by_zone()), broadcast_items=0)
+    return build_grid(t.table("zones"), broadcast_items=0, hot_rows=500)
 
 
 @query
@@ -177,15 +215,23 @@ def trips_in_zones_shuffled(t: Fixtures) -> DataFrame:
 
 @query
 def municipality_of_repeated_points(t: Fixtures) -> DataFrame:
-    """Points that share their key, in both forms."""
-    points = t.table("bike_detection").select((F.col("sample_id") % 500).alias("point"))
-    points = points.select("point", (4.0 + F.col("point") / 200.0).alias("lon"), (50.0 + F.col("point") / 250.0).alias("lat"))
+    """Every detection twice under one key, in both forms."""
+    once = t.table("bike_detection").select(F.col("sample_id").alias("point"), "lon", "lat")
+    points = once.unionByName(once)
     areas = t.table("zones").where(F.col("zone_type") == "municipality")
     forms = [first_polygon(points, build_grid(areas, broadcast_items=items), ["point"], rule=geo.intersects).select(
         F.lit(form).alias("form"), "point", "zone_id") for form, items in (("broadcast", 2_000_000), ("shuffled", 0))]
     return forms[0].unionByName(forms[1])
 
 
+@query
+def events_in_joined_boxes(t: Fixtures) -> DataFrame:
+    """Chosen boxes share sides and corners; most events are moved onto those, where only the union of boxes holds them."""
+    areas = boxed(t.table("zones").where((F.col("zone_type") != "municipality") & ~F.col("zone_id").isin(*LEFT_OUT)))
+    events = t.table("park_events").select("park_event_id", *(F.expr(e).alias(n) for n, e in SNAPPED.items()))
+    return in_any_polygon(events, build_grid(areas, union=True)).select("park_event_id")
+
+
 @query
 def public_zone_occupancy(t: Fixtures) -> DataFrame:
     return park.zone_occupancy(t.table("park_events"), t.table("zones"), _public_zones(t)).select(
@@ -197,8 +243,8 @@ def public_zone_occupancy(t: Fixtures) -> DataFrame:
 def public_zone_occupancy_listed(t: Fixtures) -> DataFrame:
     """The fixed list of public zones; the first zones of the table stand for them."""
     ids = F.array(*(F.lit(row[0]).cast("bigint") for row in dimensions.PUBLIC_ZONES))
-    areas = t.table("zones").where(F.col("zone_id") <= len(dimensions.PUBLIC_ZONES)).withColumn(
-        "zone_id", F.element_at(ids, F.col("zone_id").cast("int")))
+    listed = F.col("zone_id") <= len(dimensions.PUBLIC_ZONES)
+    areas = t.table("zones").withColumn("zone_id", F.when(listed, F.element_at(ids, F.least("zone_id", F.size(ids)).cast("int"))).otherwise(F.col("zone_id")))
     return park.zone_occupancy(t.table("park_events"), areas, dimensions.public_zones(t.spark)).select(
         "zone_id", "name", "capacity", F.explode_outer("operators").alias("o")).select(
         "zone_id", "name", "capacity", "o.system_id", "o.number_of_vehicles")
@@ -582,14 +628,24 @@ def acl_filtered_trips(t: Fixtures) -> DataFrame:
 
 @query
 def raw_export_of_user(t: Fixtures) -> DataFrame:
-    """Rights, log entry and both tables; a wider export went to the same folder before. The trips, read back."""
+    """Rights, log entry and both tables; an export of everything went to the same folder before. Both, read back."""
     folder, audit = shared_dir(t.spark, "raw-export"), shared_dir(t.spark, "raw-audit")
-    sinks.export_by_date(t.table("trips").limit(1000), f"{folder}/trips")
+    sinks.export_by_date(t.table("trips"), f"{folder}/trips")
+    sinks.export_by_date(t.table("park_events"), f"{folder}/park_events")
     paths = exports.raw_export(t.table("trips"), t.table("park_events"), _access(t), EXPORT_USER, _filter(PERIOD), folder, audit,
                                "/raw_data", NOW)
     if t.spark.read.parquet(audit).count() != 1:
         raise AssertionError("one log entry expected")
-    return t.spark.read.schema(SCHEMAS["trips"]).parquet(paths["trips"]).drop("start_date")
+    read = {name: t.spark.read.schema(SCHEMAS[name]).parquet(paths[name]).drop("start_date") for name in ("trips", "park_events")}
+    return _both_exports(read["trips"], read["park_events"])
+
+
+def _both_exports(trip_rows: DataFrame, event_rows: DataFrame) -> DataFrame:
+    """One table: of a park event the place and id stand in the columns of a trip's start."""
+    events = event_rows.select(F.lit("park_event").alias("kind"), F.col("park_event_id").alias("id"), "system_id", "bike_id", "vehicle_type_id",
+                               F.col("lon").alias("start_lon"), F.col("lat").alias("start_lat"), F.lit(None).cast("double").alias("end_lon"),
+                               F.lit(None).cast("double").alias("end_lat"), "start_time", "end_time")
+    return trip_rows.select(F.lit("trip").alias("kind"), F.col("trip_id").alias("id"), *events.columns[2:]).unionByName(events)
 
 
 @query
@@ -631,7 +687,9 @@ def active_users_daily(t: Fixtures) -> DataFrame:
     path = shared_dir(t.spark, "active-users")
     rows = exports.active_users(_visits(t), SALT)
     sinks.append(rows.where(F.col("active_on") < F.lit("2024-01-10").cast("date")), path, "active_on")
-    sinks.append_if_absent(rows, path, ["user_hash", "active_on"], "active_on", date(2023, 12, 1), date(2024, 12, 31))
+    days = sinks.days_of(rows, "active_on")
+    if days:
+        sinks.append_if_absent(rows, path, ["user_hash", "active_on"], "active_on", *days)
     return t.spark.read.schema(rows.schema).parquet(path)
 
 
@@ -648,12 +706,12 @@ def audit_rows(t: Fixtures) -> DataFrame:
 # --- streams ----------------------------------------------------------------------------------------------------
 
 def _event_stream(t: Fixtures) -> DataFrame:
-    """The events in several files that are not in order of time, one file per batch."""
+    """The events in files that are not in order of time, a file a batch; Spark cuts each part into as many as it likes."""
     path = shared_dir(t.spark, "event-files")
     for part in (3, 0, 4, 1, 2):
         # days 1-6 of the month come in the fourth file, days 19-24 in the first one, and so on
         some = t.raw("events").where(F.least(F.floor((F.dayofmonth("ts") - 1) / 6), F.lit(4)) == part)
-        some.coalesce(1).write.mode("append").parquet(path)
+        some.write.mode("append").parquet(path)
     return streams.read_stream(t.spark, path, RAW_SCHEMAS["events"], files_per_trigger=1)
 
 
@@ -676,6 +734,43 @@ def stream_active_users(t: Fixtures) -> DataFrame:
     return streams.run_updates(streams.active_users(_visits_of(_event_stream(t)), SALT), ["user_hash", "active_on"])
 
 
+@query
+def stream_rental_buckets_in_time(t: Fixtures) -> DataFrame:
+    """With a lateness: what came in time from the stream, and what came later from the table beside it, per bucket."""
+    folder = shared_dir(t.spark, "late-rentals")
+    rows = t.select_from("stats_number_of_trips", _event_stream(t))
+    _, late = streams.split_late(rows, "time", "5 days", folder)
+    kept = (t.spark.readStream.schema(T.StructType([*rows.schema.fields, T.StructField("late", T.BooleanType())]))
+            .option("recursiveFileLookup", True).parquet(f"{folder}/rows").where(~F.col("late")).drop("late"))
+    keys, measures = ["bucket", "system_id", "modality"], ("number_of_trips_started", "number_of_trips_ended")
+    in_time = streams.run_updates(streams.rental_buckets(kept, lateness="5 days"), keys)
+    both = in_time.unionByName(streams.rental_buckets(late).select(in_time.columns)).groupBy("bucket", "system_id", "modality").agg(*(F.sum(m).alias(m) for m in measures))
+    return both.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
+@query
+def stream_rental_series(t: Fixtures) -> DataFrame:
+    """Gaps filled by timers: the same series as in a batch."""
+    f = _filter(SERIES_PERIOD, SERIES_ZONES)
+    path = shared_dir(t.spark, "rental-files")
+    rows = t.table("stats_number_of_trips").where(f.by_zone())
+    rows.write.parquet(path)
+    # once all rows are in, a row far ahead lets the watermark pass the period
+    ahead = t.spark.createDataFrame([(datetime(2030, 1, 1), 0, None, None, 0, 0)], SCHEMAS["stats_number_of_trips"])
+    ahead.write.mode("append").parquet(path)
+    stream = streams.read_stream(t.spark, path, SCHEMAS["stats_number_of_trips"], files_per_trigger=1)
+    out, _ = streams.run_appends(streams.filled_rental_buckets(stream, *f.period(), lateness="60 days"))
+    return out.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
+@query
+def stream_active_users_bounded(t: Fixtures) -> DataFrame:
+    """With a lateness of two days; visits that came later are added from the table beside it."""
+    users, late, _ = streams.run_active_users(_visits_of(_event_stream(t)), SALT, "2 days")
+    both = users.unionByName(exports.active_users(late, SALT))
+    return both.groupBy("user_hash", "active_on").agg(F.min("role").alias("role")).select("user_hash", "role", "active_on")
+
+
 @query
 def stream_latest_positions(t: Fixtures) -> DataFrame:
     rows = t.select_from("bike_detection", _event_stream(t))

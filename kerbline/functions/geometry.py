@@ -66,6 +66,13 @@ def on_border(edges: str, lon: str, lat: str) -> str:
         and {lon} between least(e.x1, e.x2) and greatest(e.x1, e.x2))"""
 
 
+def on_piece(edges: str, lon: str, lat: str) -> str:
+    """Does the point lie on an edge, but not at its ends? An edge without length is its one point."""
+    return f"""exists({edges}, e -> (e.x2 - e.x1) * ({lat} - e.y1) = (e.y2 - e.y1) * ({lon} - e.x1)
+        and (({lat} > least(e.y1, e.y2) and {lat} < greatest(e.y1, e.y2)) or ({lon} > least(e.x1, e.x2) and {lon} < greatest(e.x1, e.x2))
+            or (e.x1 = e.x2 and e.y1 = e.y2 and {lon} = e.x1 and {lat} = e.y1)))"""
+
+
 def meets_box(edges: str, x: str, y: str, half: str) -> str:
     """Does an edge come into the square around (x, y)? Rounding may only err towards yes."""
     return f"""exists({edges}, e -> least(e.x1, e.x2) <= {x} + {half} and greatest(e.x1, e.x2) >= {x} - {half}
@@ -74,23 +81,47 @@ def meets_box(edges: str, x: str, y: str, half: str) -> str:
             <= (abs(e.x2 - e.x1) + abs(e.y2 - e.y1)) * {half} * 1.000001d)"""
 
 
-def within(edges: str, lon: str, lat: str) -> str:
+# `odd` is the parity of crossed edges that are not in the array, for arrays that hold only the edges near the point.
+
+def within(edges: str, lon: str, lat: str, odd: str = "false") -> str:
     """Strictly inside: a border point does not count."""
-    return f"({parity(edges, lon, lat)} and not {on_border(edges, lon, lat)})"
+    return f"({odd} <> {parity(edges, lon, lat)} and not {on_border(edges, lon, lat)})"
 
 
-def intersects(edges: str, lon: str, lat: str) -> str:
+def intersects(edges: str, lon: str, lat: str, odd: str = "false") -> str:
     """Inside or on the border."""
-    return f"({parity(edges, lon, lat)} or {on_border(edges, lon, lat)})"
-
-
-def near_border(edges: str, lon: str, lat: str, degrees: float) -> str:
-    """Is the point no further than this many degrees from some edge?"""
-    along = f"(({lon} - e.x1) * (e.x2 - e.x1) + ({lat} - e.y1) * (e.y2 - e.y1))"
-    squared = "((e.x2 - e.x1) * (e.x2 - e.x1) + (e.y2 - e.y1) * (e.y2 - e.y1))"
-    share = f"least(greatest(case when {squared} > 0 then {along} / {squared} else 0e0 end, 0e0), 1e0)"
-    return f"""exists({edges}, e -> pow({lon} - (e.x1 + {share} * (e.x2 - e.x1)), 2)
-        + pow({lat} - (e.y1 + {share} * (e.y2 - e.y1)), 2) <= {float(degrees * degrees)!r}d)"""
+    return f"({odd} <> {parity(edges, lon, lat)} or {on_border(edges, lon, lat)})"
+
+
+def near_span(edges: str, degrees: float) -> str:
+    """Which part of the segment `x1 + t * dx, y1 + t * dy` is no further than this many degrees from each edge?
+
+    An array of (low, high) in t, one for each edge that comes so near. What is near an edge is convex, so its part of a
+    line is one span: the hull of the spans of both end discs and of the band between them.
+    """
+    r = f"{float(degrees)!r}d"
+    moved = f"""transform({edges}, e -> named_struct('px', x1 - e.x1, 'py', y1 - e.y1, 'qx', x1 - e.x2, 'qy', y1 - e.y2,
+        'ux', e.x2 - e.x1, 'uy', e.y2 - e.y1))"""
+    terms = f"""transform({moved}, v -> named_struct('a', dx * dx + dy * dy,
+        'b1', v.px * dx + v.py * dy, 'c1', v.px * v.px + v.py * v.py - {r} * {r}, 'b2', v.qx * dx + v.qy * dy, 'c2', v.qx * v.qx + v.qy * v.qy - {r} * {r},
+        's0', v.px * v.ux + v.py * v.uy, 's1', dx * v.ux + dy * v.uy, 'l', v.ux * v.ux + v.uy * v.uy,
+        'p0', v.ux * v.py - v.uy * v.px, 'p1', v.ux * dy - v.uy * dx))"""
+
+    def disc(i: int) -> str:
+        root = f"sqrt(v.b{i} * v.b{i} - v.a * v.c{i})"
+        return f"case when v.b{i} * v.b{i} >= v.a * v.c{i} then named_struct('low', (-v.b{i} - {root}) / v.a, 'high', (-v.b{i} + {root}) / v.a) end"
+
+    def bound(take: str, start: str, slope: str, low: str, high: str) -> str:
+        """The least or greatest t with low <= start + slope * t <= high; an empty span where no t has it."""
+        free, none = ("-1e300d", "1e300d") if take == "least" else ("1e300d", "-1e300d")
+        return (f"case when {slope} <> 0 then {take}(({low} - {start}) / {slope}, ({high} - {start}) / {slope}) "
+                f"when {start} between {low} and {high} then {free} else {none} end")
+
+    along, across = ("v.s0", "v.s1", "0d", "v.l"), ("v.p0", "v.p1", f"-{r} * sqrt(v.l)", f"{r} * sqrt(v.l)")
+    band = (f"named_struct('low', greatest({bound('least', *along)}, {bound('least', *across)}), "
+            f"'high', least({bound('greatest', *along)}, {bound('greatest', *across)}))")
+    spans = f"filter(array({disc(1)}, {disc(2)}, {band}), s -> s.low <= s.high)"
+    return f"""filter(transform({terms}, v -> named_struct('low', array_min({spans}.low), 'high', array_max({spans}.high))), s -> s.low is not null)"""
 
 
 # --- a polygon known when the plan is built ---------------------------------------------------------------------

@@ -17,7 +17,7 @@ TIMELINE_SLICE = "hour"
 
 def snapshot(detections: DataFrame) -> DataFrame:
     """Latest detection per vehicle; the higher sample id where two share the time."""
-    return latest(detections, "bike_id", ["last_time_imported", "sample_id"])
+    return latest(detections, "bike_id", "last_time_imported", "sample_id")
 
 
 def all_positions(positions: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def visible_trips(trips: DataFrame, scope: Scope, f: Filter) -> DataFrame:
     """Trips of the period within the scope, all columns."""
     found = _by_operator(prune_days(trips, *f.period()).where(f.contained_in_period()), scope)
     if scope.zones is not None:
-        found = either_in_any_polygon(found, build_grid(scope.zones), START, END)
+        found = either_in_any_polygon(found, build_grid(scope.zones, union=True), START, END)
     return found.select(*trips.columns)
 
 
@@ -31,7 +31,7 @@ def visible_park_events(events: DataFrame, scope: Scope, f: Filter) -> DataFrame
     """Park events that start in the period within the scope, all columns."""
     found = _by_operator(prune_days(events, *f.period()).where(f.in_period("start_time")), scope)
     if scope.zones is not None:
-        found = in_any_polygon(found, build_grid(scope.zones))
+        found = in_any_polygon(found, build_grid(scope.zones, union=True))
     return found.select(*events.columns)
 
 

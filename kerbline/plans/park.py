@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kerbline.filters import START_DATE, Filter, keep, parked_now, prune_days
 from kerbline.functions.calendar import moment
 from kerbline.functions.geometry import geojson_from_rings, parse_polygon, rings_from_geojson, within_polygon
+from kerbline.operators.intervals import LENGTH, may_hold
 from kerbline.operators.lookup import lookup_join
 from kerbline.operators.spatial import build_grid, containing_polygons, in_any_polygon
 
@@ -17,6 +18,9 @@ from kerbline.operators.spatial import build_grid, containing_polygons, in_any_p
 # the generated method gets too large for the JVM to optimise.
 COMPILED_CORNERS = 12
 
+# Instants further back than this are looked up in the stored history instead of the current table.
+RECENT = timedelta(hours=36)
+
 AGE_LIMITS_DAYS = (2, 4, 7, 14)
 NO_EVENTS = [0] * (len(AGE_LIMITS_DAYS) + 1)
 
@@ -29,9 +33,20 @@ def location(lon: str = "lon", lat: str = "lat", name: str = "location") -> Colu
 
 
 def _parked(events: DataFrame, f: Filter) -> DataFrame:
+    """Parked at the instant; of tables stored by day or by interval only what can hold it is read."""
+    if LENGTH in events.columns:
+        events = events.where(may_hold(f.instant()))
     return keep(prune_days(events, last=f.instant()), f.parked_at_instant())
 
 
+def source_at(current: DataFrame, history: DataFrame, f: Filter, now: datetime) -> DataFrame:
+    """The table that answers for the filter's instant: the history (`load_intervals`) for what is older than RECENT.
+
+    Each of the plans below takes either table and gives the same rows for it.
+    """
+    return history if f.instant() < now - RECENT else current
+
+
 def _with_form_factor(events: DataFrame, vehicle_types: DataFrame, f: Filter) -> DataFrame:
     """The filter comes after the outer join, because it may ask for vehicles without a form factor."""
     return keep(lookup_join(events, vehicle_types, "vehicle_type_id", "left"), f.by_form_factor())
@@ -40,7 +55,7 @@ def _with_form_factor(events: DataFrame, vehicle_types: DataFrame, f: Filter) ->
 def _in_zones(events: DataFrame, zones: DataFrame, f: Filter) -> DataFrame:
     if not f.zone_ids:
         return events
-    return in_any_polygon(events, build_grid(keep(zones, f.by_zone())))
+    return in_any_polygon(events, build_grid(keep(zones, f.by_zone()), union=True))
 
 
 def park_events_at(events: DataFrame, vehicle_types: DataFrame, zones: DataFrame, f: Filter) -> DataFrame:
@@ -137,6 +152,48 @@ def build_date_index(events: DataFrame, horizon: datetime) -> DataFrame:
             .agg(F.sort_array(F.collect_list("park_event_id")).alias("park_event_ids")))
 
 
+# An event is in at most two blocks of days a level, so levels for all days there can be are enough.
+INDEX_LEVELS = range(22)
+
+
+def build_bitmap_index(events: DataFrame, horizon: datetime) -> DataFrame:
+    """(level, block, bucket, ids): bitmaps of the events that touch every day of a block of 2^level days.
+
+    The days of an event are the union of a few blocks, at most two a level, so building writes a row or two for a short
+    event and some twenty for one of a thousand days. A bitmap holds the ids of one bucket of 32 768 and has a fixed size;
+    tasks merge bitmaps before they shuffle them. Events touch dates as in `build_date_index`.
+    """
+    until = F.coalesce("end_time", moment(horizon))
+    touched = events.where(F.col("start_time") <= until).select(
+        "park_event_id", F.unix_date(F.col("start_time").cast("date")).alias("first"), (F.unix_date(until.cast("date")) + 1).alias("end"))
+    blocks = F.expr(f"""aggregate(sequence(0, {INDEX_LEVELS[-1]}),
+        named_struct('a', first, 'b', end, 'blocks', cast(array() as array<struct<level: int, block: int>>)),
+        (s, k) -> case when s.a >= s.b then s else named_struct('a', shiftright(s.a + (s.a & 1), 1), 'b', shiftright(s.b - (s.b & 1), 1),
+            'blocks', concat(s.blocks, case when s.a & 1 = 1 then array(named_struct('level', k, 'block', s.a)) else array() end,
+                case when s.b & 1 = 1 then array(named_struct('level', k, 'block', s.b - 1)) else array() end)) end,
+        s -> s.blocks)""")
+    return (touched.select("park_event_id", F.inline(blocks))
+            .groupBy("level", "block", F.bitmap_bucket_number("park_event_id").alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("park_event_id")).alias("ids")))
+
+
+def events_by_bitmap_index(events: DataFrame, index: DataFrame, f: Filter, max_bitmaps: int = 4096) -> DataFrame:
+    """Events parked at the timestamp, found through the bitmaps of its date: one block a level, merged by bucket.
+
+    A bitmap is never unfolded: an event asks for its bit. Up to `max_bitmaps` of 4 KB are broadcast.
+    """
+    day = (f.instant().date() - date(1970, 1, 1)).days
+    on_date = F.lit(False)
+    for level in INDEX_LEVELS:
+        on_date |= (F.col("level") == level) & (F.col("block") == day >> level)
+    merged = index.where(on_date).groupBy("bucket").agg(F.bitmap_or_agg("ids").alias("ids"))
+    candidates = keep(_parked(events, f), f.by_operator())
+    bit = """cast(conv(hex(substring(ids, cast(bitmap_bit_position(park_event_id) div 8 as int) + 1, 1)), 16, 10) as int)
+        & shiftleft(1, cast(bitmap_bit_position(park_event_id) % 8 as int)) <> 0"""
+    found = lookup_join(candidates.withColumn("bucket", F.bitmap_bucket_number("park_event_id")), merged, "bucket", max_rows=max_bitmaps)
+    return found.where(bit).select(*events.columns)
+
+
 def build_day_index(events: DataFrame, horizon: datetime) -> DataFrame:
     """(on_date, start_date): the days on which events start that touch a date. A few rows a day, whatever the data."""
     started = F.col("start_time").cast("date").alias("start_date")

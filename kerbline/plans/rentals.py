@@ -14,7 +14,7 @@ from kerbline.plans.trips import with_zone_counts
 def _located_in_zones(events: DataFrame, zones: DataFrame, f: Filter) -> DataFrame:
     if not f.zone_ids:
         return events
-    return in_any_polygon(events, build_grid(keep(zones, f.by_zone())))
+    return in_any_polygon(events, build_grid(keep(zones, f.by_zone()), union=True))
 
 
 def rental_starts(events: DataFrame, zones: DataFrame, f: Filter) -> DataFrame:

@@ -30,7 +30,7 @@ def trips(trips: DataFrame, vehicle_types: DataFrame, zones: DataFrame, f: Filte
     """Trips within the period that begin or end in one of the zones."""
     found = _in_period(trips, f)
     if f.zone_ids:
-        found = either_in_any_polygon(found, build_grid(keep(zones, f.by_zone())), START, END)
+        found = either_in_any_polygon(found, build_grid(keep(zones, f.by_zone()), union=True), START, END)
     return _typed(found, vehicle_types, f).select(
         "system_id", "bike_id", location(*START, name="start_location"), location(*END, name="end_location"),
         "start_time", "end_time", "trip_id", "form_factor", whole_metres(_metres()).alias("distance_in_meters"))
@@ -40,7 +40,7 @@ def _trip_ends(trips: DataFrame, vehicle_types: DataFrame, zones: DataFrame, f:
                time: str) -> DataFrame:
     found = _in_period(trips, f)
     if f.zone_ids:
-        found = in_any_polygon(found, build_grid(keep(zones, f.by_zone())), *end)
+        found = in_any_polygon(found, build_grid(keep(zones, f.by_zone()), union=True), *end)
     return _typed(found, vehicle_types, f).select(
         "system_id", location(*end), F.col(time).alias("event_time"), "form_factor",
         hundreds_of_metres(_metres()).alias("distance_in_meters"))

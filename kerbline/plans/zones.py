@@ -7,15 +7,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 from kerbline.filters import Filter, keep
 from kerbline.functions import geometry as geo
 from kerbline.operators.lookup import lookup_join
-from kerbline.operators.spatial import build_grid, first_polygon
+from kerbline.operators.spatial import build_grid, containing_polygons, first_polygon
 
 ZONE_COLUMNS = ("zone_id", "name", "owner", "municipality", "zone_type")
 CUSTOM, MUNICIPALITY = "custom", "municipality"
 
 # A drawn zone may stick out of its municipality by this many degrees.
 BORDER_TOLERANCE = 0.02
-# Distance in degrees between the points of a border that are tested.
-BORDER_STEP = 0.001
 
 
 def zone_list(zones: DataFrame, geographies: DataFrame, f: Filter, include_custom: bool = True) -> DataFrame:
@@ -54,36 +52,74 @@ def municipality_at(points: DataFrame, zones: DataFrame, keys: list[str], lon: s
 
 # --- changes ------------------------------------------------------------------------------------------------
 
-def border_points(requests: DataFrame, step: float = BORDER_STEP) -> DataFrame:
-    """Points along the border of every drawn zone, no further apart than the step."""
-    edges = requests.select("request_id", "municipality", F.explode(geo.polygon_edges("rings")).alias("e"))
-    dx, dy = F.col("e.x2") - F.col("e.x1"), F.col("e.y2") - F.col("e.y1")
-    pieces = F.greatest(F.ceil(F.sqrt(dx * dx + dy * dy) / F.lit(step)), F.lit(1))
-    stepped = edges.withColumn("pieces", pieces).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    share = F.col("i") / F.col("pieces")
-    return stepped.select("request_id", "municipality", (F.col("e.x1") + dx * share).alias("lon"),
-                          (F.col("e.y1") + dy * share).alias("lat"))
+def _border_pieces(requests: DataFrame, levels: DataFrame) -> DataFrame:
+    """The borders of drawn zones, cut where they leave a cell of their municipality's level.
+
+    A piece is `x1 + t * dx, y1 + t * dy` for t from `t0` to `t1`, within the cell `_x, _y`.
+    """
+    edges = lookup_join(requests.select("request_id", "municipality", F.explode(geo.polygon_edges("rings")).alias("e")), levels, "municipality", "left")
+    lines = edges.where("e.x1 <> e.x2 or e.y1 <> e.y2").selectExpr(
+        "request_id", "municipality as _wanted", "pow(2d, coalesce(_level, 0)) as n", "e.x1", "e.y1", "e.x2 - e.x1 as dx", "e.y2 - e.y1 as dy")
+
+    def crossings(at: str, by: str) -> str:
+        low, high = f"floor(least({at}, {at} + {by}) * n)", f"floor(greatest({at}, {at} + {by}) * n)"
+        return f"case when {by} <> 0 and {high} > {low} then transform(sequence({low} + 1, {high}), k -> (k / n - {at}) / {by}) else array() end"
+
+    stops = f"array_sort(array_distinct(filter(concat(array(0d, 1d), {crossings('x1', 'dx')}, {crossings('y1', 'dy')}), t -> t between 0 and 1)))"
+    cut = lines.withColumn("_stops", F.expr(stops)).withColumn(
+        "_piece", F.expr("explode(zip_with(slice(_stops, 1, size(_stops) - 1), slice(_stops, 2, size(_stops) - 1), (a, b) -> named_struct('t0', a, 't1', b)))"))
+    return cut.selectExpr("request_id", "_wanted", "x1", "y1", "dx", "dy", "_piece.t0", "_piece.t1",
+                          "cast(floor((x1 + (_piece.t0 + _piece.t1) / 2 * dx) * n) as int) as _x",
+                          "cast(floor((y1 + (_piece.t0 + _piece.t1) / 2 * dy) * n) as int) as _y")
 
 
-def check_zone_requests(requests: DataFrame, zones: DataFrame, tolerance: float = BORDER_TOLERANCE,
-                        step: float = BORDER_STEP) -> DataFrame:
+def _uncovered_holes(requests: DataFrame, areas: DataFrame, tolerance: float) -> DataFrame:
+    """(request_id) of drawn zones around a place that their municipality lacks: further than the tolerance from its border.
+
+    A border that stays inside can still go around a hole. Places are tried a quarter of the tolerance apart, within holes only.
+    """
+    step = f"{tolerance / 4!r}d"
+    holes = areas.where("size(rings) > 1").withColumn("_all", geo.polygon_edges("rings")).selectExpr("municipality", "_all", "explode(rings) as ring")
+    def steps(axis: str) -> str:
+        return f"explode(sequence(cast(floor(array_min(ring.{axis}) / {step}) as bigint), cast(floor(array_max(ring.{axis}) / {step}) as bigint)))"
+
+    columns = holes.selectExpr("municipality", "_all", "ring", f"{steps('x')} as i").selectExpr("*", f"{steps('y')} as j")
+    inside = columns.selectExpr("municipality", "_all", f"i * {step} as lon", f"j * {step} as lat", "array(ring) as _own").withColumn("_ring", geo.polygon_edges("_own"))
+    # inside this ring, outside the area, and away from every edge
+    along = "((lon - e.x1) * (e.x2 - e.x1) + (lat - e.y1) * (e.y2 - e.y1))"
+    length = "((e.x2 - e.x1) * (e.x2 - e.x1) + (e.y2 - e.y1) * (e.y2 - e.y1))"
+    share = f"least(greatest(case when {length} > 0 then {along} / {length} else 0d end, 0d), 1d)"
+    away = f"forall(_all, e -> pow(lon - (e.x1 + {share} * (e.x2 - e.x1)), 2) + pow(lat - (e.y1 + {share} * (e.y2 - e.y1)), 2) > {tolerance * tolerance!r}d)"
+    lacking = inside.where(f"{geo.parity('_ring', 'lon', 'lat')} and not {geo.parity('_all', 'lon', 'lat')} and {away}").selectExpr("municipality as _of", "lon", "lat")
+    met = containing_polygons(lacking, build_grid(requests.select("request_id", "rings"), "request_id"))
+    return met.join(requests.select("request_id", F.col("municipality").alias("_of")), ["request_id", "_of"], "left_semi").select("request_id").distinct()
+
+
+def check_zone_requests(requests: DataFrame, zones: DataFrame, tolerance: float = BORDER_TOLERANCE) -> DataFrame:
     """`is_valid` per drawn zone: does it stay inside its municipality, give or take the tolerance?
 
-    Every point of its border must be inside the municipality or near one of its edges.
+    The border is taken apart by the cells of the municipality. In a cell every edge of the municipality accounts for the
+    part of a piece that is near it; what is left of the piece crosses no edge, so one point tells whether it is inside.
     """
     # A municipality has one area; the lowest zone id where the data holds several.
     areas = (zones.where(F.col("zone_type") == MUNICIPALITY)
              .groupBy("municipality").agg(F.min_by("rings", "zone_id").alias("rings")))
-    grid = build_grid(areas, "municipality", margin=tolerance)
-    points = border_points(requests, step).withColumnRenamed("municipality", "_wanted")
-
-    def inside_or_near(edges: str, lon: str, lat: str) -> str:
-        return f"({geo.parity(edges, lon, lat)} or {geo.near_border(edges, lon, lat, tolerance)})"
-
-    same_area = F.expr(f"_wanted = municipality and {grid.match('lon', 'lat', inside_or_near)}")
-    good = grid.left(points).join(grid.right(), same_area, "left").select(
-        "request_id", F.col("municipality").isNotNull().alias("good"))
-    return good.groupBy("request_id").agg(F.bool_and("good").alias("is_valid"))
+    # whole areas have one level each, so that a piece meets one cell
+    grid = build_grid(areas, "municipality", margin=tolerance, cell_edges=2**31 - 1)
+    pieces = _border_pieces(requests, grid.cells.groupBy("municipality").agg(F.first("_level").alias("_level")))
+    met = pieces.join(grid.per_polygon(grid.cells), F.expr("_wanted = municipality and _x = _cell_x and _y = _cell_y"), "left")
+    spans = f"array_sort({geo.near_span('_edges', tolerance)})"
+    walked = f"""aggregate(_spans, named_struct('at', t0, 'gaps', cast(array() as array<struct<a: double, b: double>>)),
+        (w, s) -> named_struct('at', greatest(w.at, s.high), 'gaps', case when s.low - w.at > 1e-12d and w.at < t1
+            then concat(w.gaps, array(named_struct('a', w.at, 'b', least(s.low, t1)))) else w.gaps end),
+        w -> case when t1 - w.at > 1e-12d then concat(w.gaps, array(named_struct('a', w.at, 'b', t1))) else w.gaps end)"""
+    lon, lat = "(x1 + (g.a + g.b) / 2 * dx)", "(y1 + (g.a + g.b) / 2 * dy)"
+    odd = f"(_odd <> (size(filter(_turns, turn -> turn > {lat})) % 2 = 1))"
+    good = f"municipality is not null and (_covered or forall({walked}, g -> {odd} <> {geo.parity('_edges', lon, lat)}))"
+    checked = met.withColumn("_spans", F.expr(spans)).select("request_id", F.expr(good).alias("good"))
+    border = checked.groupBy("request_id").agg(F.bool_and("good").alias("_border"))
+    around = _uncovered_holes(requests, areas, tolerance).withColumn("_around", F.lit(True))
+    return border.join(around, "request_id", "left").select("request_id", (F.col("_border") & F.col("_around").isNull()).alias("is_valid"))
 
 
 def number_rows(df: DataFrame, key: str, column: str, start: int, run_bits: int = 16) -> DataFrame:

@@ -256,6 +256,21 @@ def notched(zones: DataFrame, half_width: float = 0.25, half_height: float = 0.2
     return zones.withColumn("rings", F.array(*(F.array(*(corner(*c) for c in ring)) for ring in NOTCHED)))
 
 
+# Small zones that are left out where the others are joined, and where events are moved: onto the lines between boxes along
+# one axis, onto their crossings, or nowhere.
+LEFT_OUT = (1, 13, 19, 23)
+SNAPPED = {"lon": "case when park_event_id % 4 < 3 then floor(lon * 4 + 0.5e0) / 4e0 else lon end",
+           "lat": "case when park_event_id % 4 < 2 then floor(lat * 4 + 0.5e0) / 4e0 else lat end"}
+
+
+def boxed(zones: DataFrame, half: float = 0.25) -> DataFrame:
+    """The small zones as boxes that share all their sides."""
+    diamond = F.element_at("rings", 1)
+    cx, cy = F.element_at(diamond, 2)["x"], F.element_at(diamond, 1)["y"]
+    corners = ((-half, -half), (half, -half), (half, half), (-half, half), (-half, -half))
+    return zones.withColumn("rings", F.array(F.array(*(F.struct((cx + x).alias("x"), (cy + y).alias("y")) for x, y in corners))))
+
+
 class Fixtures:
     """Tables of the model over a folder of star-schema Parquet files."""
 

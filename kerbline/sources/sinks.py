@@ -17,20 +17,28 @@ def append(df: DataFrame, path: str, *days: str) -> None:
 
 
 def append_if_absent(rows: DataFrame, path: str, keys: list[str], day: str, first: date, last: date) -> int:
-    """Append the rows of the days first to last whose keys the table does not hold yet; returns how many.
+    """Append the rows whose keys the table does not hold yet; returns how many. All must be of the days first to last.
 
     The table must exist. It is stored by `day`, one of the keys, and only these days of it are read. The rows are
-    computed once; rows of other days are left out.
+    computed once. If some are of other days or have none, the write fails before anything is committed.
     """
     days = F.col(day).between(F.lit(first.isoformat()).cast("date"), F.lit(last.isoformat()).cast("date"))
     target = rows.sparkSession.read.schema(rows.schema).parquet(path).where(days).select(*keys)
     added = Observation("added")
-    fresh = (rows.where(days).join(target, keys, "left_anti").select(*rows.columns)
+    refused = F.raise_error(F.concat(F.lit(f"a row of another day than {first} to {last}: "), F.coalesce(F.col(day).cast("string"), F.lit("none"))))
+    checked = rows.withColumn(day, F.when(F.coalesce(days, F.lit(False)), F.col(day)).otherwise(refused.cast("date")))
+    fresh = (checked.join(target, keys, "left_anti").select(*rows.columns)
              .observe(added, F.count(F.lit(1)).alias("rows")))
     fresh.write.mode("append").partitionBy(day).parquet(path)
     return added.get["rows"]
 
 
+def days_of(rows: DataFrame, day: str) -> tuple[date, date] | None:
+    """The first and the last day of rows, None without any."""
+    first, last = rows.agg(F.min(day), F.max(day)).first()
+    return None if first is None else (first, last)
+
+
 def export_by_date(df: DataFrame, path: str, time: str = "start_time", date: str = "start_date",
                    fmt: str = "parquet") -> None:
     """Write partitioned by day; what the folder held before is gone. The rebalance merges small files and splits a day that is too large for one task."""

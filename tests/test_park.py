@@ -1,7 +1,9 @@
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from kerbline.filters import Filter
 from kerbline.plans import park
@@ -109,3 +111,44 @@ def test_day_index_prunes_the_days_of_a_stored_table(spark):
     assert {r["park_event_id"] for r in found.collect()} == {7, 14, 21, 28, 35}
     scan = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "PartitionFilters" in line]
     assert any("dynamicpruning" in line for line in scan)
+
+
+def test_bitmap_index_finds_the_same_events(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        start = AT - timedelta(minutes=rng.randrange(-20_000, 300_000))
+        rows.append((i * 997 % 100_000, "a", "b", 0, 4.0, 52.0, start, None if i % 7 == 0 else start + timedelta(minutes=int(2 ** rng.uniform(0, 18)))))
+    rows.append((100_001, "a", "b", 0, 4.0, 52.0, AT, AT - timedelta(days=2)))
+    events, until = park_events(spark, *rows), AT + timedelta(days=40)
+    path = shared_dir(spark, "bitmaps")
+    park.build_bitmap_index(events, until).write.partitionBy("level").parquet(path)
+    index = spark.read.parquet(path)
+    # a bitmap a bucket and block, however many days an event touches
+    assert index.where("bucket is null or octet_length(ids) <> 4096").count() == 0
+    lists = park.build_date_index(events, until)
+    for days in (0, -30, -100, 10, 39, 500):
+        f = Filter(timestamp=AT + timedelta(days=days))
+        found = sorted(r["park_event_id"] for r in park.events_by_bitmap_index(events, index, f).collect())
+        assert found == sorted(r["park_event_id"] for r in park.events_by_date_index(events, lists, f).collect())
+        assert found == sorted(r["park_event_id"] for r in park.events_by_bitmap_index(events, index, f, max_bitmaps=0).collect())
+    used = park.build_bitmap_index(events.limit(1), until).agg(F.bitmap_or_agg("ids")).count()
+    assert used == 1
+
+
+def test_blocks_of_an_event_are_its_days(spark):
+    """Every day that an event touches is in exactly one of its blocks, and there are few."""
+    rng = random.Random(8)
+    rows = [(i + 1, "a", "b", 0, 4.0, 52.0, AT + timedelta(days=rng.randrange(-30_000, 0)), None) for i in range(50)]
+    rows = [(*r[:7], r[6] + timedelta(days=rng.choice([0, 1, 5, 100, 9000]))) for r in rows]
+    blocks = {}
+    index = park.build_bitmap_index(park_events(spark, *rows), AT + timedelta(days=90_000))
+    for r in index.collect():
+        assert r["bucket"] == 1  # where ids from 1 to 32768 are
+        for i in range(50):
+            if r["ids"][i // 8] >> i % 8 & 1:
+                blocks.setdefault(i, []).append((r["level"], r["block"]))
+    for i, *_, start, end in ((r[0], r[6], r[7]) for r in rows):
+        days = [d for level, block in blocks[i] for d in range(block << level, (block + 1) << level)]
+        first, last = ((t.date() - datetime(1970, 1, 1).date()).days for t in (start, end))
+        assert sorted(days) == list(range(first, last + 1)) and len(blocks[i]) <= 2 * max(1, (last - first + 1).bit_length())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kerbline.filters import Filter
 from kerbline.model import SCHEMAS
 from kerbline.plans import exports, feeds, park, rentals
+from kerbline.plans.series import rental_series
 from kerbline.session import shared_dir
 from kerbline.sources import sinks, tables
 from kerbline.streaming import streams
@@ -29,6 +30,9 @@ def test_active_users_are_stored_once_per_day(spark):
     assert sinks.append_if_absent(rows, path, ["user_hash", "active_on"], "active_on", *january) == 0
     later = exports.active_users(_visits(spark, ("a", "admin", day), ("a", "admin", day + timedelta(days=1))), ":salt")
     assert sinks.append_if_absent(later, path, ["user_hash", "active_on"], "active_on", *january) == 1
+    with pytest.raises(Exception, match="another day"):
+        sinks.append_if_absent(later, path, ["user_hash", "active_on"], "active_on", date(2024, 1, 2), date(2024, 1, 31))
+    assert sinks.days_of(later, "active_on") == (date(2024, 1, 1), date(2024, 1, 2)) and sinks.days_of(later.where("false"), "active_on") is None
     stored = spark.read.parquet(path)
     assert stored.count() == 3
     import hashlib
@@ -146,6 +150,36 @@ def test_active_user_stream_gives_a_user_once_per_day(spark):
     assert sorted((r["active_on"], r["role"]) for r in found.collect()) == [(date(2024, 1, 1), "admin"), (date(2024, 1, 2), "admin")]
 
 
+def test_active_users_with_bounded_state(spark):
+    """Twelve days of visits, a file a day and one out of order: late visits are kept aside, state covers two days."""
+    path, t = shared_dir(spark, "many-visits"), datetime(2024, 1, 1, 8)
+    for day in [*range(8), 2, *range(8, 12)]:
+        rows = [(f"u{u}", ("admin", "operator", None)[(u + h) % 3], t + timedelta(days=day, hours=h)) for u in range(20) for h in (0, 5, 9)]
+        _visits(spark, *rows, ("", "admin", t + timedelta(days=day))).coalesce(1).write.mode("append").parquet(path)
+    stream = streams.read_stream(spark, path, "user_id string, role string, visited_at timestamp_ntz", files_per_trigger=1)
+    users, late, held = streams.run_active_users(stream, ":s", "2 days", files_per_trigger=1)
+    assert late.count() == 61 and users.count() == 240
+    whole = users.unionByName(exports.active_users(late, ":s")).groupBy("user_hash", "active_on").agg(F.min("role").alias("role"))
+    batch = exports.active_users(spark.read.parquet(path), ":s")
+    assert sorted(map(tuple, whole.select(batch.columns).collect())) == sorted(map(tuple, batch.collect()))
+    assert 0 < held <= 60 * 5  # of 780 rows
+
+
+def test_gap_filled_buckets_come_when_the_watermark_passes(spark):
+    path, t = shared_dir(spark, "gaps"), datetime(2024, 1, 1)
+    first, last = t + timedelta(minutes=7), t + timedelta(hours=9)
+    at = [[10, 50, 20], [200], [190, 500], [500, 539, 541], [20 * 60]]  # minutes, one list a file; the last one moves the watermark only
+    for n, file in enumerate(at):
+        rows = [(t + timedelta(minutes=m), 1, f"op_{m % 2}", "car", m, 1) for m in file]
+        spark.createDataFrame(rows, SCHEMAS["stats_number_of_trips"]).coalesce(1).write.mode("append").parquet(path)
+    out, held = streams.run_appends(streams.filled_rental_buckets(_stream(spark, path, "stats_number_of_trips"), first, last, "30 minutes"))
+    keys = ["system_id", "modality", "bucket"]
+    got = {(r["system_id"], r["bucket"]): (r["number_of_trips_started"], r["number_of_trips_ended"]) for r in out.collect()}
+    series = rental_series(spark.read.parquet(path), Filter(start_time=first, end_time=last, zone_ids=(1,)), "15m").collect()
+    assert got == {(r["system_id"], r["bucket"]): (r["number_of_trips_started"], r["number_of_trips_ended"]) for r in series}
+    assert len(got) == out.count() == 2 * 37 and held == 2 and keys == out.columns[:3]
+
+
 def test_files_out_of_order_lose_nothing_and_late_rows_are_kept_aside(spark):
     path, t = shared_dir(spark, "late"), datetime(2024, 1, 20)
     for days, n in ((0, 10), (0, 20), (-10, 30), (0, 5), (-10, 35)):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from kerbline.model import SCHEMAS
-from kerbline.operators.lookup import fits_broadcast, lookup_join, row_salt, spread_join
+from kerbline.operators.lookup import fits_broadcast, lookup_join, measured_salts, row_salt, spread_join
 from kerbline.operators.skew import latest, with_previous
 from kerbline.plans import detections
 from tests.shapes import square, zones
@@ -38,10 +38,23 @@ def test_latest_takes_the_higher_sample_on_a_tie(spark):
     at = datetime(2024, 1, 1)
     df = spark.createDataFrame([(1, "b", "a", 1.0, 1.0, at, False, False), (2, "b", "a", 2.0, 2.0, at, False, False),
                                 (3, "b", "a", 3.0, 3.0, at - timedelta(1), False, False)], SCHEMAS["bike_detection"])
-    (row,) = latest(df, "bike_id", ["last_time_imported", "sample_id"]).collect()
+    (row,) = latest(df, "bike_id", "last_time_imported", "sample_id").collect()
     assert row["sample_id"] == 2
 
 
+def test_latest_equals_a_ranking_in_both_forms(spark, skewed):
+    odd = spark.createDataFrame([(9001, None, "a", 4.0, 52.0, datetime(2024, 1, 1), True, None), (9002, None, "a", 4.0, 52.0, datetime(1960, 1, 1), True, None),
+                                 (9003, "untimed", "a", 4.0, 52.0, None, None, None), (9003, "untimed", "a", 4.0, 52.0, None, None, None)], skewed.schema)
+    rows = skewed.unionByName(odd)
+    window = Window.partitionBy("bike_id").orderBy(F.desc_nulls_last("last_time_imported"), F.desc("sample_id"))
+    ranked = rows.withColumn("r", F.row_number().over(window)).where("r = 1").drop("r")
+    expected = sorted(map(str, ranked.collect()))
+    small = latest(rows, "bike_id", "last_time_imported", "sample_id")
+    assert sorted(map(str, small.collect())) == expected and "SortAggregate" not in small._jdf.queryExecution().executedPlan().toString()
+    large = latest(rows, "bike_id", "last_time_imported", "sample_id", max_keys=5)
+    assert sorted(map(str, large.collect())) == expected
+
+
 def test_movements_compare_one_vehicle_only(spark):
     at = datetime(2024, 1, 1)
     rows = [(1, "a", "s", 4.0, 52.0, at, False, False), (2, "b", "s", 5.0, 52.0, at + timedelta(1), False, False),
@@ -67,7 +80,9 @@ def test_spread_join_equals_a_plain_join(spark, skewed, how):
     def rows(df):
         return sorted(map(str, df.select(sorted(df.columns)).collect()))
     plain = rows(skewed.join(other, "bike_id", how))
-    assert rows(spread_join(skewed, other, "bike_id", how, salts=5)) == plain
+    assert measured_salts(skewed, F.xxhash64("bike_id"), 100).by_code
+    assert rows(spread_join(skewed, other, "bike_id", how, hot_rows=100)) == plain
+    assert rows(spread_join(skewed, other, "bike_id", how)) == plain
     assert rows(lookup_join(skewed, other, "bike_id", how)) == plain
     assert rows(lookup_join(skewed, other, "bike_id", how, max_rows=1)) == plain
 
