@@ -27,13 +27,13 @@ def unescape(text: Column) -> Column:
 
 
 def _escape_role(role: Column) -> Column:
-    """Roles also keep their line to themselves."""
-    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    """Roles also keep their line to themselves: a backslash becomes \\b, a line end \\n."""
+    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\b")), F.lit("\n"), F.lit("\\n")))
 
 
 def _unescape_role(role: Column) -> Column:
-    marked = F.replace(unescape(role), F.lit("\\\\"), F.lit("\0"))
-    return F.replace(F.replace(marked, F.lit("\\n"), F.lit("\n")), F.lit("\0"), F.lit("\\"))
+    """Every backslash begins a pair, so pairs of the one kind can be replaced before those of the other."""
+    return F.replace(F.replace(unescape(role), F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\"))
 
 
 def examples(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

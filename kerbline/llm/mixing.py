@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.llm.work import WORD, stored
+from kerbline.llm.work import WORD, stored, with_ordinal
 
 BUCKET = 32  # rows that meet in one group on average
 
@@ -43,7 +43,8 @@ def targets(sizes: DataFrame, weights: list[int], share: float, limit: float) ->
     # the level if all before this one are full and the others share by weight
     level = (F.col("goal") - limit * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("w").over(after)
     t = t.withColumn("level", level).withColumn("open", F.col("level") * F.col("w") <= limit * F.col("source_size"))
-    t = t.withColumn("held", F.min(F.when(F.col("open"), F.struct(F.col("source_size") / F.col("w"), F.col("level").alias("level")))).over(all_rows)["level"])
+    t = t.withColumn("place", F.row_number().over(full_first))
+    t = t.withColumn("held", F.min(F.when(F.col("open"), F.struct("place", "level"))).over(all_rows)["level"])
     target = F.least(limit * F.col("source_size"), F.coalesce(F.col("held") * F.col("w"), limit * F.col("source_size")))
     return t.select(*sizes.columns, target.cast("double").alias("target"))
 
@@ -92,7 +93,10 @@ def _round_group(items: Column, level: int) -> Column:
 
 
 def round_fractions(rows: DataFrame, levels: int) -> DataFrame:
-    """(ka, kb, extra) for rows (source, draw, ka, kb, size > 0, 0 < p < 1, groups): 1 with probability p, else 0."""
+    """(ka, kb, extra) for rows (source, draw, ka, kb, size > 0, 0 < p < 1, groups): 1 with probability p, else 0.
+
+    `ka` draws, `kb` names the row.
+    """
     decided = []
     for level in range(levels):
         width = F.greatest(F.lit(1.0), F.col("groups") / float(BUCKET) ** level).cast("long")
@@ -113,15 +117,15 @@ def mixture(docs: DataFrame, row_id: str = "doc_id", text: str = "text", source:
 
     Sizes are words; a null text has none. Copies are whole and at most `limit`. Rows without words weigh nothing and are
     taken as often as the whole part of their source's rate. A null source is a source. Rows equal in id, text and source
-    are taken equally often. Empty tables give no rows. `carry` may hold any columns of `docs`, except ones called like
+    are rounded one by one, like any others. Empty tables give no rows. `carry` may hold any columns of `docs`, except ones called like
     those that are added.
     """
     names = [row_id] if carry is None else carry
     parts = [F.col(row_id), F.col(row_id).isNull(), F.col(text), F.col(text).isNull(), F.col(source), F.col(source).isNull()]
-    sized = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.xxhash64(*parts).alias("ka"),
-                               F.xxhash64(F.lit(7), *parts).alias("kb"), F.col(source).alias("source"), words(F.col(text)).alias("size")), "sizes")
-    units = sized.groupBy("ka", "kb", "source").agg(F.sum("size").alias("size"))
-    sources = units.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("units"))
+    sized = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.monotonically_increasing_id().alias("uid"),
+                               F.xxhash64(*parts).alias("ka"), F.xxhash64(F.lit(7), *parts).alias("kb"), F.col(source).alias("source"),
+                               words(F.col(text)).alias("size")), "sizes")
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("units"))
     goal = targets(sources, list(weights), share, limit)
     # one row a source; Spark broadcasts it while it is small
     rated = stored(goal.select(F.col("source").alias("s2"), "source_size", "target", (F.col("units") / BUCKET).alias("groups"), F.when(
@@ -131,10 +135,13 @@ def mixture(docs: DataFrame, row_id: str = "doc_id", text: str = "text", source:
     while BUCKET**levels < most:
         levels += 1
     fraction = F.col("rate") - F.floor("rate")
-    known = units.join(rated, F.col("source").eqNullSafe(F.col("s2"))).where((F.col("size") > 0) & (fraction > 0))
-    loose = known.select("source", F.shiftrightunsigned("ka", 1).alias("draw"), "ka", "kb", F.col("size").cast("double").alias("size"),
+    # copies of a row draw by their number among them
+    units = with_ordinal(sized.select("uid", "ka", "kb", "source", "size").where("size > 0"), ["ka", "kb"])
+    draws = F.when(F.col("_ord") == 0, F.col("ka")).otherwise(F.xxhash64("ka", "_ord"))
+    known = units.withColumn("ka", draws).join(rated, F.col("source").eqNullSafe(F.col("s2"))).where(fraction > 0)
+    loose = known.select("source", F.shiftrightunsigned("ka", 1).alias("draw"), "ka", F.col("uid").alias("kb"), F.col("size").cast("double").alias("size"),
                          fraction.alias("p"), "groups")
     extra = round_fractions(loose, levels)
-    out = sized.join(extra.select("ka", "kb", "extra"), ["ka", "kb"], "left").join(rated, F.col("source").eqNullSafe(F.col("s2")))
+    out = sized.join(extra.select(F.col("kb").alias("uid"), "extra"), "uid", "left").join(rated, F.col("source").eqNullSafe(F.col("s2")))
     copies = F.floor("rate").cast("int") + F.coalesce("extra", F.lit(0))
     return out.select("_row.*", "size", F.col("source_size").cast("long"), "target", copies.alias("copies"))

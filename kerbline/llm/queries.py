@@ -12,6 +12,7 @@ from kerbline.llm import chat, langid, merkle, mixing, mtree, quality, sharding,
 from kerbline.llm.bpe import encode_decode
 from kerbline.llm.epsilon import near_vectors
 from kerbline.llm.jaccard import near_duplicates
+from kerbline.llm.sql import ORACLE
 from kerbline.llm.suffix import remove_repeats
 from kerbline.llm.work import documents
 
@@ -19,7 +20,8 @@ from kerbline.llm.work import documents
 def op1_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = remove_repeats(documents(spark, folder), length=400)
     return out.select("doc_id", F.col("n_bytes").cast("long"), F.col("n_removed").cast("long"),
-                      F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+                      F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+                      F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op2_epsilon_grid_join(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,7 +52,7 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates(documents(spark, folder)).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
+    return near_duplicates(documents(spark, folder)).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -110,4 +112,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]

@@ -1,7 +1,7 @@
 """Sharding by histogram sort: exact byte counts below probed keys, refined until the splitters fit; then one exchange.
 
 The key of a row puts equal texts side by side: its upper 38 bits are a hash of the text, its lower 24 bits a hash of the
-row. A group of copies of any size can therefore be split, between its rows. In each round every splitter that has not
+row and of its number among equal rows. A group of copies of any size can therefore be split, between its rows. In each round every splitter that has not
 met the tolerance has an interval of keys that holds it; evenly spaced probes cut the intervals, one aggregate counts the
 bytes in each piece over all rows, and the piece around the wanted count becomes the next interval. A round brings a few
 thousand counts to the driver whatever the size of the data. A splitter is done when a border of its interval misses the
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.llm.work import stored
+from kerbline.llm.work import stored, with_ordinal
 
 KEY_BITS = 62
 PROBES = 4096  # in a round, over all intervals
@@ -24,9 +24,10 @@ MOST_PARTS = 4_096
 TOLERANCE = 1e-3  # of a shard's bytes
 
 
-def shard_key(row_id: Column, text: Column) -> Column:
-    group = F.shiftleft(F.shiftrightunsigned(F.xxhash64(text, text.isNull()), 64 - (KEY_BITS - 24)), 24)
-    return group.bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.lit(1), row_id, row_id.isNull(), text, text.isNull()), 40))
+def shard_key(group: Column, row: Column, ordinal: Column) -> Column:
+    """From the hashes of a row's text and of the whole row, and the row's number among equal ones."""
+    upper = F.shiftleft(F.shiftrightunsigned(group, 64 - (KEY_BITS - 24)), 24)
+    return upper.bitwiseOR(F.shiftrightunsigned(F.when(ordinal == 0, row).otherwise(F.xxhash64(row, ordinal)), 40))
 
 
 def place_among(key: Column, borders: list[int]) -> Column:
@@ -92,8 +93,11 @@ def into_shards(docs: DataFrame, shards: int = 24, row_id: str = "doc_id", text:
     """
     names = [row_id] if carry is None else carry
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), shard_key(F.col(row_id), F.col(text)).alias("key"),
-                              (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32")), "shard-rows")
+    t, i = F.col(text), F.col(row_id)
+    read = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.monotonically_increasing_id().alias("uid"),
+                              F.xxhash64(t, t.isNull()).alias("group"), F.xxhash64(F.lit(1), i, i.isNull(), t, t.isNull()).alias("row"),
+                              (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32")), "shard-texts")
+    rows = stored(with_ordinal(read, ["group", "row"]).select("_row", shard_key(F.col("group"), F.col("row"), F.col("_ord")).alias("key"), "size", "text_crc32"), "shard-rows")
     total, n = rows.agg(F.sum("size"), F.count("*")).first()
     total = total or 0
     per_shard = max(1, min(MOST_PARTS // shards, -(-n // (shards * PART_ROWS))))

@@ -2,7 +2,7 @@
 
 Only places that can repeat are ever ordered, in three jobs:
 
-1. *Anchors.* A 16-byte string is an anchor when its hash says so (one in 64). Anchors depend on their own bytes only, so
+1. *Anchors.* A 16-byte string is an anchor when its hash says so (one in 64 for strings of 400 bytes). Anchors depend on their own bytes only, so
    equal strings hold equal anchors. Occurrences are counted over the corpus; a 400-byte string with an anchor that
    occurs once cannot repeat. (Strings without any anchor use their own least hash instead, so none is overlooked.)
 2. *Contexts.* Each remaining start belongs to the rarest anchor inside its 400 bytes. Starts of one anchor that follow
@@ -32,13 +32,18 @@ from kerbline.llm.bwt import repeated_starts
 from kerbline.llm.work import row_key, stored
 
 GRAM = 16
-RATE = 64  # one anchor in so many places
+PER_REPEAT = 6  # anchors in the length of a repeat, on average, at least
 HELD_BYTES = 16 << 20  # contexts a map task combines before it passes them on
 BATCH_BYTES = 2 << 20  # contexts that are ordered together; a single anchor's contexts stay together
 CONTEXT_PARTITION = 2 << 20  # bytes of contexts for which one reduce partition is planned
 UNHINTED = np.uint64(1) << np.uint64(63)
 
 
+def anchor_rate(length: int) -> int:
+    """One place in so many is an anchor: a power of two that suits the length of repeats (64 for 400 bytes, 32 for 200)."""
+    return 1 << max(0, (length // PER_REPEAT).bit_length() - 1)
+
+
 def _hashes(data: bytes) -> np.ndarray:
     """A hash of the 16 bytes at every place (the last places run into padding)."""
     held = np.frombuffer(data + b"\0" * GRAM, dtype=np.uint8)
@@ -70,7 +75,7 @@ def doc_anchors(h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(h)
     span = length - GRAM + 1  # places whose 16 bytes lie within a window
     usable = h[: n - GRAM + 1]
-    places = np.flatnonzero((usable & np.uint64(RATE - 1)) == 0)
+    places = np.flatnonzero((usable & np.uint64(anchor_rate(length) - 1)) == 0)
     keys = usable[places] >> np.uint64(1)
     edges = np.concatenate([[-1], places, [n - GRAM + 1]])
     gaps = np.flatnonzero(np.diff(edges) > span)

@@ -31,6 +31,20 @@ def documents(spark: SparkSession, folder: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def with_ordinal(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that have a stored `uid` (of monotonically_increasing_id) with `_ord`, their number from 0 among rows equal in `keys`.
+
+    Numbers are given within what one task once wrote, which bounds a group of any size, and moved by the counts of the tasks
+    before. Which of equal rows gets which number depends on how rows were dealt; the numbers do not.
+    """
+    cut = rows.withColumn("_chunk", F.shiftrightunsigned("uid", 33))
+    counts = cut.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
+    moved = counts.select(*keys, "_chunk", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy("uid")) - 1
+    return cut.withColumn("_place", place).join(moved, [*keys, "_chunk"]).withColumn("_ord", F.col("_place") + F.col("_before")).select(*rows.columns, "_ord")
+
+
 def drawn(rows: DataFrame, label: str, order: list[str], most: int) -> DataFrame:
     """At most `most` rows of each label, the first in `order`, whose first column must be a uniform 64-bit hash.
 

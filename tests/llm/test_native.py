@@ -69,10 +69,6 @@ def test_mix_of_nulls_ties_empty_texts_and_repeated_rows(make_docs):
     docs = make_docs(given)
     rows = mixing.mixture(docs, carry=["doc_id", "text", "source"]).collect()
     assert len(rows) == len(given)
-    units = {}
-    for r in rows:
-        units.setdefault((r["doc_id"], r["text"], r["source"]), set()).add(r["copies"])
-    assert all(len(c) == 1 for c in units.values())
     sizes = {}
     for _, text, _, source in given:
         sizes[source] = sizes.get(source, 0) + count_words(text)
@@ -82,6 +78,26 @@ def test_mix_of_nulls_ties_empty_texts_and_repeated_rows(make_docs):
         assert abs(words - goal[source]) <= 12
 
 
+@pytest.mark.parametrize("sizes, expected", [((600, 200, 400), (900, 300, 600)), ((900, 300, 600, 900), None), ((500, 500, 500), None), ((10, 10, 1000), None)])
+def test_targets_of_sources_that_fill_up_together(make_docs, sizes, expected):
+    docs = [(100 * s + i, " ".join(["w"] * 10), None, "abcd"[s]) for s, n in enumerate(sizes) for i in range(n // 10)]
+    rows = mixing.mixture(make_docs(docs), carry=["doc_id", "source"]).collect()
+    goal = fill({"abcd"[s]: n for s, n in enumerate(sizes)}, (3, 1, 2), 1.5, 2.0)
+    got = {r["source"]: r["target"] for r in rows}
+    assert got == pytest.approx(goal) and (expected is None or tuple(got[s] for s in "abc") == expected)
+    assert sum(got.values()) == pytest.approx(1.5 * sum(sizes))
+
+
+def test_copies_of_a_row_are_rounded_one_by_one(make_docs):
+    copies = [(7, "same words " * 5, None, "a")] * 300
+    others = [(1000 + i, "x y", None, "b") for i in range(500)] + [(3000 + i, "z", None, "c") for i in range(50)]
+    for partitions in (1, 5):
+        rows = mixing.mixture(make_docs(copies + others, partitions), carry=["doc_id", "source"]).collect()
+        mine = [r for r in rows if r["source"] == "a"]
+        assert len(mine) == 300 and abs(sum(10 * r["copies"] for r in mine) - mine[0]["target"]) <= 10
+        assert len({r["copies"] for r in mine}) == 2
+
+
 def test_mix_of_nothing(make_docs):
     assert mixing.mixture(make_docs([])).collect() == []
     assert [r["copies"] for r in mixing.mixture(make_docs([(1, "", None, "a"), (2, None, None, "a")])).collect()] == [0, 0]
@@ -131,7 +147,15 @@ def test_a_hot_text_is_split_between_shards(make_docs):
 def test_shards_of_few_repeated_or_no_rows(make_docs):
     assert sharding.into_shards(make_docs([]), 24).collect() == []
     rows = sharding.into_shards(make_docs([(1, "a"), (1, "a"), (1, "a")]), 24).collect()
-    assert len({r["shard"] for r in rows}) == 1 and sorted(r["slot"] for r in rows) == [0, 1, 2]
+    assert len(rows) == 3
+    shards_are_right(rows, ["a"] * 3, 24)
+
+
+def test_equal_rows_are_split_between_shards(make_docs):
+    given = [(1, "copy" * 25)] * 300 + [(1000 + i, "text" * 25) for i in range(300)]
+    for partitions in (1, 4):
+        loads = shards_are_right(sharding.into_shards(make_docs(given, partitions), 24).collect(), [t for _, t in given], 24)
+        assert max(loads) - min(loads) <= 2 * 108
 
 
 def test_place_among_is_a_binary_search(spark):
@@ -152,6 +176,7 @@ def test_conversations_come_back_exactly(spark):
     talks[100] = [("user", "only")]
     talks[101] = [("assistant", "first"), ("user", "then"), ("odd\nrole\\n</s>", "x")]
     talks[102] = [(None, None), ("assistant", None)]
+    talks[103], talks[104] = [("a\0b", "x"), ("a\\b", "y"), ("a\\n\0", "z")], [("a\\b", "x"), ("a\0b", "y"), ("\\\n\\n\\\\b", "z")]
     rows = [(c, i, r, t, "extra") for c, turns in talks.items() for i, (r, t) in enumerate(turns)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string").repartition(3)
     out = chat.examples(df)
