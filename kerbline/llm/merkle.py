@@ -38,9 +38,9 @@ def _digest(data: str) -> str:
     return hashlib.blake2b(data.encode(), digest_size=16).hexdigest()
 
 
-def _pieces(line: str, at: int) -> list[str]:
-    """Leaves of a line that begins at character `at` of its text."""
-    out, begin = [], 0
+def _pieces(line: str, at: int, begin: int = 0) -> list[str]:
+    """Leaves, from character `begin` of it on, of a line that begins at character `at` of its text."""
+    out = []
     for upto, leaf in FINER:
         end = min(len(line), upto - at)
         if begin < end:
@@ -49,27 +49,52 @@ def _pieces(line: str, at: int) -> list[str]:
     return out + LEAF.findall(line[begin:] if begin else line)
 
 
-def fingerprint(text: str) -> str:
-    """The tree of a text; '' has a root and nothing below it."""
-    sections, paragraphs, whole = [], [], []
-    lines = text.split("\n") if text else []
-    at = 0
-    for line in lines:
-        pieces = _pieces(line, at)
+def tree(text: str, like: list[tuple[str, list[str]]] | None = None, same: int = 0) -> list[tuple[str, list[str]]]:
+    """The paragraphs of a text as (digest, leaves).
+
+    With the paragraphs `like` of another text that has the first `same` characters in common, what lies within those is
+    taken over: whole paragraphs, and leaves that end before them. A leaf is found from left to right and depends on nothing
+    behind the character that follows it.
+    """
+    out, at = [], 0
+    for n, line in enumerate(text.split("\n") if text else []):
+        known = like[n] if like is not None and n < len(like) and at < same else None
+        if known is not None and at + len(line) < same:
+            out.append(known)
+        else:
+            leaves, begin = [], 0
+            for leaf in known[1] if known is not None else ():
+                end = begin + int(leaf[6:], 16)
+                if at + end >= same:
+                    break
+                leaves.append(leaf)
+                begin = end
+            leaves += [f"{xxhash.xxh3_64_intdigest(p) & 0xFFFFFF:06x}{len(p):x}" for p in _pieces(line, at, begin)]
+            out.append((_digest(line), leaves))
         at += len(line) + 1
-        leaves = [f"{xxhash.xxh3_64_intdigest(p) & 0xFFFFFF:06x}{len(p):x}" for p in pieces]
-        inner = _digest(line)
-        paragraphs.append(f"{inner[:16]}=" + ".".join(leaves))
+    return out
+
+
+def written(paragraphs: list[tuple[str, list[str]]]) -> str:
+    """The fingerprint of a tree."""
+    sections, nodes, whole = [], [], []
+    for inner, leaves in paragraphs:
+        nodes.append(f"{inner[:16]}=" + ".".join(leaves))
         whole.append(inner)
         if int(inner[-4:], 16) % SECTION_RATE == 0:
-            sections.append((_digest("".join(whole)), paragraphs))
-            paragraphs, whole = [], []
-    if paragraphs:
-        sections.append((_digest("".join(whole)), paragraphs))
+            sections.append((_digest("".join(whole)), nodes))
+            nodes, whole = [], []
+    if nodes:
+        sections.append((_digest("".join(whole)), nodes))
     root = _digest("".join(s for s, _ in sections))
     return ";".join([root, *(f"{s[:16]}:" + ",".join(p) for s, p in sections)])
 
 
+def fingerprint(text: str) -> str:
+    """The tree of a text as text; '' has a root and nothing below it."""
+    return written(tree(text))
+
+
 def _leaves(paragraph: str) -> Counter:
     out: Counter = Counter()
     for leaf in paragraph.partition("=")[2].split("."):
@@ -130,9 +155,9 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _row(row_id, text: str, own: str, following: str, next_print: str) -> dict:
+def _row(row_id, text: str, paragraphs: list, own: str, following: str, next_print: str) -> dict:
     changed = edited(text, following)
-    changed_print = own if changed == text else fingerprint(changed)
+    changed_print = own if changed == text else written(tree(changed, paragraphs, len(text) - len(text) // 4))
     return {"row_id": row_id, "n_chars": len(text), "edited_sha256": hashlib.sha256(changed.encode()).hexdigest(), "fingerprint": own,
             "edited_fingerprint": changed_print, "near_edited": likeness(own, changed_print), "near_next": likeness(own, next_print)}
 
@@ -156,7 +181,8 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = _arrow(batch.schema.field("row_id").type)
         out = []
         for row_id, text in zip(batch.column("row_id").to_pylist(), batch.column("text").to_pylist()):
-            own = fingerprint(text)
+            paragraphs = tree(text)
+            own = written(paragraphs)
             if held is None:
                 out.append({"kind": "first", "part": part, "row_id": row_id, "text": text})
             else:
@@ -164,7 +190,7 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # both fingerprints in one column: what they share is stored once by the compression
                 row["fingerprint"] += "\n" + row.pop("edited_fingerprint")
                 out.append({"kind": "row", "part": part, **row})
-            held = (row_id, text, own)
+            held = (row_id, text, paragraphs, own)
             if len(out) >= 1000:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
                 out = []
@@ -177,7 +203,7 @@ def _at_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         schema = _arrow(batch.schema.field("row_id").type)
         columns = (batch.column(c).to_pylist() for c in ("row_id", "text", "following"))
-        rows = [_row(i, t, fingerprint(t), n, fingerprint(n)) for i, t, n in zip(*columns)]
+        rows = [_row(i, t, tree(t), fingerprint(t), n, fingerprint(n)) for i, t, n in zip(*columns)]
         yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([schema.field(c) for c in FIELDS]))
 
 

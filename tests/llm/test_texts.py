@@ -177,3 +177,16 @@ def test_the_rest_imports_without_this_subpackage():
     root = os.path.dirname(corpus_pipeline.__file__)
     done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
+
+
+def test_a_tree_taken_over_is_the_tree_itself():
+    rng = random.Random(11)
+    signs = ["a", "bc", " ", "  ", ".", "!?", "|", "\n", "\n\n", "é", "longerword", "x" * 40]
+    for k in range(300):
+        text = "".join(rng.choice(signs) for _ in range(rng.choice([0, 1, 5, 60, 600])))
+        other = "".join(rng.choice(signs) for _ in range(rng.choice([0, 3, 200])))
+        changed = merkle.edited(text, other)
+        assert merkle.written(merkle.tree(changed, merkle.tree(text), len(text) - len(text) // 4)) == merkle.fingerprint(changed)
+        same = rng.randrange(len(text) + 1)
+        longer = text[:same] + other
+        assert merkle.tree(longer, merkle.tree(text), same) == merkle.tree(longer)
