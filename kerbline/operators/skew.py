@@ -8,6 +8,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kerbline.operators.lookup import BROADCAST_ROWS, fits_broadcast
+from kerbline.session import shared_dir
 
 
 def with_previous(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], slice_of: Column,
@@ -38,20 +39,23 @@ def with_previous(df: DataFrame, key: str, order: Sequence[str], columns: Sequen
 _DIGITS, _UP = 19, 1 << 62
 
 
-def latest(df: DataFrame, key: str, time: str, number: str, max_keys: int = BROADCAST_ROWS) -> DataFrame:
+def latest(df: DataFrame, key: str, time: str, number: str, rows: DataFrame | None = None, max_keys: int = BROADCAST_ROWS) -> DataFrame:
     """The last row per key by time, the higher number where two share it; number and time tell rows of a key apart.
 
-    Both make one decimal, whose maximum is kept in a hash table, without a sort. The rows themselves are fetched by a second
-    look at the table, as long as the maxima fit a broadcast; beyond that, whole rows are compared in one pass, so that the
-    table is not shuffled. A null key is a key of its own; a null time comes first.
+    Both make one decimal, whose maximum is kept in a hash table, without a sort, and stored. The rows are then fetched from
+    `rows`, a table that holds those of `df` and is cheaper to read, as long as the maxima fit a broadcast; beyond that,
+    whole rows are compared in one pass, so that the table is not shuffled. A null key is a key of its own; a null time
+    comes first.
     """
     micros = F.coalesce(F.unix_micros(F.col(time).cast("timestamp")), F.lit(-_UP))
     order = (micros.cast("decimal(38,0)") * F.lit(Decimal(10**_DIGITS)) + F.coalesce(F.col(number), F.lit(-_UP)).cast("decimal(20,0)") + F.lit(_UP)).cast("decimal(38,0)")
-    keyed = df.withColumn("_order", order)
-    newest = keyed.groupBy(F.col(key).alias("_key")).agg(F.max("_order").alias("_newest"))
-    if fits_broadcast(df.select(key).distinct(), max_keys):
+    path = shared_dir(df.sparkSession, "newest")
+    newest = df.groupBy(F.col(key).alias("_key")).agg(F.max(order).alias("_newest"))
+    newest.write.parquet(path)
+    newest = df.sparkSession.read.schema(newest.schema).parquet(path)
+    if fits_broadcast(newest, max_keys):
         same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_order") == F.col("_newest"))
         # repeated rows are one
-        return keyed.join(F.broadcast(newest), same, "left_semi").select(*df.columns).distinct()
-    rows = F.max_by(F.struct(*df.columns), F.struct(time, number)).alias("_row")
-    return df.groupBy(F.col(key).alias("_key")).agg(rows).select("_row.*")
+        return (df if rows is None else rows).withColumn("_order", order).join(F.broadcast(newest), same, "left_semi").select(*df.columns).distinct()
+    whole = F.max_by(F.struct(*df.columns), F.struct(time, number)).alias("_row")
+    return df.groupBy(F.col(key).alias("_key")).agg(whole).select("_row.*")

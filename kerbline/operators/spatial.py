@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kerbline.functions import geometry as geo
 from kerbline.operators.lookup import HOT_ROWS, Salts, measured_salts
-from kerbline.operators.union_borders import corners, inner_borders
+from kerbline.operators.union_borders import inner_borders
 from kerbline.session import shared_dir
 
 # A power of two, so that cell borders are exact doubles and a point never falls between cell and border.
@@ -32,6 +32,8 @@ START_CELLS = (4096, 1024, 256, 64)
 STEP, COARSEST = 2, -4
 # Border cells with more edges are cut into 4^STEP cells, at most so many times.
 CELL_EDGES, CUTS = 64, 4
+# Up to so many edges in all, one task finds what of the borders is inside the union.
+ONE_TASK_EDGES = 20_000
 
 INNER_TYPE = "array<struct<x1: double, y1: double, x2: double, y2: double>>"
 
@@ -130,13 +132,12 @@ def _cut(cells: DataFrame, pad: float) -> DataFrame:
     east = f"""e.y1 <> e.y2 and greatest(e.y1, e.y2) > {low} and least(e.y1, e.y2) < {high}
         and e.x1 + ({middle} - e.y1) / (e.y2 - e.y1) * (e.x2 - e.x1) > {centre[0]}"""
     meets = geo.meets_box("array(e)", *centre, half)
-    return (cells.withColumn("_local", F.expr(f"filter(_edges, e -> {meets})"))
-            .withColumn("_ys", F.expr(f"concat(_turns, flatten(transform(filter(_edges, e -> {east} and not {meets}), e -> array(e.y1, e.y2))))"))
-            .withColumn("_odd", F.expr(f"_odd <> {_parity('_ys', f'v >= {high}')}"))
-            .withColumn("_ys", F.expr(f"filter(_ys, v -> v > {low} and v < {high})"))
-            .withColumn("_turns", F.expr(f"case when size(_ys) = 0 then _ys else {_UNPAIRED} end"))
-            .withColumn("_inner", F.expr(f"filter(_inner, e -> {meets})"))
-            .withColumn("_edges", F.col("_local")).drop("_local", "_ys").where("size(_edges) > 0 or _odd"))
+    keep = [c for c in cells.columns if c not in ("_edges", "_odd", "_turns", "_inner")]
+    parted = cells.selectExpr(
+        *keep, "_odd", f"filter(_inner, e -> {meets}) as _inner", f"filter(_edges, e -> {meets}) as _edges",
+        f"concat(_turns, flatten(transform(filter(_edges, e -> {east} and not {meets}), e -> array(e.y1, e.y2)))) as _ys")
+    counted = parted.selectExpr(*keep, "_edges", "_inner", f"_odd <> {_parity('_ys', f'v >= {high}')} as _odd", f"filter(_ys, v -> v > {low} and v < {high}) as _ys")
+    return counted.where("size(_edges) > 0 or _odd").selectExpr(*keep, "_edges", "_odd", f"case when size(_ys) = 0 then _ys else {_UNPAIRED} end as _turns", "_inner")
 
 
 def _cut_further(cells: DataFrame, pad: float, edges: int) -> DataFrame:
@@ -146,8 +147,9 @@ def _cut_further(cells: DataFrame, pad: float, edges: int) -> DataFrame:
             'l', _level + {STEP}, 'x', _cell_x * {side} + i % {side}, 'y', _cell_y * {side} + cast(floor(i / {side}) as int)))
         else array(named_struct('l', _level, 'x', _cell_x, 'y', _cell_y)) end"""
     opened = cells.withColumn("_part", F.explode(F.expr(parts)))
-    moved = opened.withColumn("_level", F.col("_part.l")).withColumn("_cell_x", F.col("_part.x")).withColumn("_cell_y", F.col("_part.y"))
-    return _cut(moved.drop("_part"), pad)
+    keep = [c for c in cells.columns if c not in ("_level", "_cell_x", "_cell_y", "_covered")]
+    moved = opened.selectExpr(*keep, "_part.l as _level", "_part.x as _cell_x", "_part.y as _cell_y")
+    return _cut(moved, pad).selectExpr("*", "size(_edges) = 0 as _covered")
 
 
 def build_grid(polygons: DataFrame, key: str = "zone_id", rings: str = "rings", per_degree: int = CELLS_PER_DEGREE, margin: float = 0.0,
@@ -180,30 +182,37 @@ def build_grid(polygons: DataFrame, key: str = "zone_id", rings: str = "rings",
         fits = " ".join(f"when {columns(s)} * {rows(s)} <= {most} then {s}" for s in starts[:-1])
         return f"case {fits} else {starts[-1]} end" if fits else str(starts[-1])
 
-    def items(level: str) -> str:
-        """Upper bound of the cells and of the edges that come into them."""
-        met = f"(floor(abs(e.{{0}}1 - e.{{0}}2) * {width(level)}) + 2 + ceil(2 * {pad!r}d * {width(level)}))"
-        return f"{columns(level)} * {rows(level)} + aggregate(_edges, 0L, (total, e) -> total + {met.format('x')} + {met.format('y')})"
-
-    measures = [m for i, most in enumerate(START_CELLS) for m in (
-        f"sum(_items{i}) as items{i}", f"array_sort(collect_set(_start{i})) as levels{i}")]
-    levelled = shapes
-    for i, most in enumerate(START_CELLS):
-        levelled = levelled.withColumn(f"_start{i}", F.expr(start(most))).withColumn(f"_items{i}", F.expr(items(f"_start{i}")))
-    found = levelled.selectExpr("min(_west)", "min(_south)", "max(_east)", "max(_north)", "max(size(_edges)) as edges", *measures).first()
+    # an edge comes into one cell, and one more for every line it crosses
+    walked = "aggregate(_edges, 0d, (total, e) -> total + abs(e.x1 - e.x2) + abs(e.y1 - e.y2))"
+
+    def measured(most: int):
+        """Box, number of edges, and with polygons starting at `most` cells: items and levels."""
+        sized = shapes.selectExpr("_west", "_south", "_east", "_north", "size(_edges) as _count", f"{walked} as _walked", f"{start(most)} as _start")
+        return sized.selectExpr(
+            "min(_west)", "min(_south)", "max(_east)", "max(_north)", "max(_count) as edges", "sum(_count) as all_edges", "count(*) as polygons",
+            f"sum({columns('_start')} * {rows('_start')} + (_walked + 4 * _count * {pad!r}d) * {width('_start')} + 3 * _count) as items",
+            "collect_set(_start) as levels").first()
+
+    chosen = START_CELLS[0]
+    found = first = measured(chosen)
+    for most in START_CELLS[1:]:
+        if (found["items"] or 0) <= broadcast_items or broadcast_items <= 0:
+            break
+        found, chosen = measured(most), most
+    if (found["items"] or 0) > broadcast_items:
+        found, chosen = first, START_CELLS[0]
     box = tuple(found)[:4]
     if box[0] is None:
         return Grid(_cells(shapes, key, pad, str(finest), None), key, None, True, (finest,), union, hot_rows)
-    fitting = [i for i in range(len(START_CELLS)) if found[f"items{i}"] <= broadcast_items]
-    chosen = fitting[0] if fitting else 0
+    fits = found["items"] <= broadcast_items
     inner = None
-    if union:
-        met = containing_polygons(corners(polygons, rings), build_grid(polygons, key, rings, per_degree), "x", "y", _touches)
-        inner = inner_borders(polygons, met, key, rings, per_degree)
-    cells = _cells(shapes, key, pad, start(START_CELLS[chosen]), inner)
-    levels = tuple(found[f"levels{chosen}"])
+    if union and found["polygons"] > 1:
+        # the few edges of a request need no shuffle among themselves
+        inner = inner_borders(polygons.coalesce(1) if found["all_edges"] <= ONE_TASK_EDGES else polygons, key, rings, per_degree)
+    cells = _cells(shapes, key, pad, start(chosen), inner)
+    levels = tuple(sorted(found["levels"]))
     if found["edges"] <= cell_edges:
-        return Grid(cells, key, box, bool(fitting), levels, union, hot_rows)
+        return Grid(cells, key, box, fits, levels, union, hot_rows)
     for _ in range(CUTS):
         cells = _cut_further(cells, pad, cell_edges)
     path = shared_dir(polygons.sparkSession, "cells")
@@ -213,26 +222,18 @@ def build_grid(polygons: DataFrame, key: str = "zone_id", rings: str = "rings",
     return Grid(cells, key, box, total <= broadcast_items, tuple(levels), union, hot_rows)
 
 
-def _touches(edges: str, lon: str, lat: str, odd: str) -> str:
-    return geo.on_border(edges, lon, lat)
-
-
 def _cells(shapes: DataFrame, key: str, pad: float, level: str, inner: DataFrame | None) -> DataFrame:
-    n = width("_level")
-    placed = shapes.withColumn("_level", F.expr(f"cast({level} as int)"))
-    if inner is None:
-        placed = placed.withColumn("_inner", F.expr(f"cast(array() as {INNER_TYPE})"))
-    else:
-        placed = placed.join(inner, key, "left").withColumn("_inner", F.coalesce("_inner", F.expr(f"cast(array() as {INNER_TYPE})")))
+    n, none = width("_level"), f"cast(array() as {INNER_TYPE})"
+    box = ["_west", "_south", "_east", "_north"]
+    placed = shapes.selectExpr("*", f"cast({level} as int) as _level")
+    placed = placed.selectExpr("*", f"{none} as _inner") if inner is None else placed.join(inner, key, "left").selectExpr(
+        key, "_edges", *box, "_level", f"coalesce(_inner, {none}) as _inner")
     # First the edges of a row of cells, then those that come into a cell.
-    by_row = placed.withColumn("_cell_y", F.expr(f"explode(sequence(floor(_south * {n}), floor(_north * {n})))")).withColumn(
-        "_edges", F.expr(f"""filter(_edges, e -> greatest(e.y1, e.y2) >= _cell_y / {n} - {pad!r}d
-            and least(e.y1, e.y2) <= (_cell_y + 1) / {n} + {pad!r}d)"""))
-    by_cell = by_row.withColumn("_cell_x", F.expr(f"explode(sequence(floor(_west * {n}), floor(_east * {n})))")).withColumn(
-        "_odd", F.lit(False)).withColumn("_turns", F.expr("cast(array() as array<double>)"))
-    cut = _cut(by_cell.withColumn("_cell_x", F.col("_cell_x").cast("int")).withColumn("_cell_y", F.col("_cell_y").cast("int")), pad)
-    return cut.selectExpr(key, "_level", "_cell_x", "_cell_y", "_edges", "_odd", "_turns", "_inner", "_west", "_south", "_east", "_north").withColumn(
-        "_covered", F.expr("size(_edges) = 0"))
+    by_row = placed.selectExpr("*", f"explode(sequence(cast(floor(_south * {n}) as int), cast(floor(_north * {n}) as int))) as _cell_y").selectExpr(
+        key, *box, "_level", "_inner", "_cell_y", f"explode(sequence(cast(floor(_west * {n}) as int), cast(floor(_east * {n}) as int))) as _cell_x",
+        f"""filter(_edges, e -> greatest(e.y1, e.y2) >= _cell_y / {n} - {pad!r}d
+            and least(e.y1, e.y2) <= (_cell_y + 1) / {n} + {pad!r}d) as _edges""", "false as _odd", "cast(array() as array<double>) as _turns")
+    return _cut(by_row, pad).selectExpr(key, "_level", "_cell_x", "_cell_y", "_edges", "_odd", "_turns", "_inner", *box, "size(_edges) = 0 as _covered")
 
 
 # --- joins ------------------------------------------------------------------------------------------------------

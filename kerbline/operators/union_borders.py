@@ -35,8 +35,8 @@ def _edges(polygons: DataFrame, key: str, rings: str) -> DataFrame:
     return one.where("_area <> 0 and (e.x1 <> e.x2 or e.y1 <> e.y2)").select(key, "e", F.expr(f"(_area > 0) <> {nested}").alias("_left"))
 
 
-def shared_pieces(polygons: DataFrame, key: str, rings: str, per_degree: int) -> DataFrame:
-    """(key, piece): where an edge of one polygon lies on an edge of another, with their insides on opposite sides."""
+def _placed(polygons: DataFrame, key: str, rings: str, per_degree: int) -> DataFrame:
+    """The edges by the cells of a grid that they come into, all walked one way along their line."""
     n = f"{float(per_degree)!r}d"
     turn = f"((atan2(e.y2 - e.y1, e.x2 - e.x1) + {2 * math.pi!r}d) % {math.pi!r}d)"
     walks_up = "(e.x2 > e.x1 or (e.x2 = e.x1 and e.y2 > e.y1))"
@@ -45,8 +45,12 @@ def shared_pieces(polygons: DataFrame, key: str, rings: str, per_degree: int) ->
     edges = _edges(polygons, key, rings).selectExpr(
         key, one_way, f"_left = {walks_up} as _left", f"cast(floor({turn} / {math.pi!r}d * {ANGLES}) as int) as _angle",
         f"""explode(sequence(cast(floor(least(e.x1, e.x2) * {n}) as int), cast(floor(greatest(e.x1, e.x2) * {n}) as int))) as _x""")
-    placed = edges.selectExpr("*", f"explode(sequence(cast(floor(least(e.y1, e.y2) * {n}) as int), cast(floor(greatest(e.y1, e.y2) * {n}) as int))) as _y").where(
+    return edges.selectExpr("*", f"explode(sequence(cast(floor(least(e.y1, e.y2) * {n}) as int), cast(floor(greatest(e.y1, e.y2) * {n}) as int))) as _y").where(
         geo.meets_box("array(e)", f"((_x + 0.5d) / {n})", f"((_y + 0.5d) / {n})", f"(0.5d / {n})"))
+
+
+def shared_pieces(placed: DataFrame, key: str) -> DataFrame:
+    """(key, piece): where an edge of one polygon lies on an edge of another, with their insides on opposite sides."""
     a = placed.selectExpr(f"{key} as _ka", "e as a", "_left as _la", "_x", "_y", f"explode(array({', '.join(f'pmod(_angle + {d}, {ANGLES})' for d in (-1, 0, 1))})) as _angle")
     b = placed.selectExpr(f"{key} as _kb", "e as b", "_left as _lb", "_x", "_y", "_angle")
     on_line = " and ".join(f"(a.x2 - a.x1) * (b.y{i} - a.y1) = (a.y2 - a.y1) * (b.x{i} - a.x1)" for i in (1, 2))
@@ -59,16 +63,15 @@ def shared_pieces(polygons: DataFrame, key: str, rings: str, per_degree: int) ->
     return pieces.selectExpr(key, "named_struct('x1', p.x, 'y1', p.y, 'x2', q.x, 'y2', q.y) as piece").distinct()
 
 
-def corners(polygons: DataFrame, rings: str) -> DataFrame:
-    return polygons.where(F.col(rings).isNotNull()).select(F.explode(F.flatten(rings)).alias("p")).select("p.x", "p.y").distinct()
-
-
-def closed_corners(met: DataFrame, polygons: DataFrame, key: str, rings: str) -> DataFrame:
-    """(key, piece): corners around which all directions are inside some polygon, as pieces without length.
-
-    `met` has (x, y, key) for every corner and polygon that it lies on the border of.
-    """
-    met = met.join(polygons.where(F.col(rings).isNotNull()).select(key, geo.polygon_edges(rings).alias("_all")), key)
+def closed_corners(placed: DataFrame, polygons: DataFrame, key: str, rings: str, per_degree: int) -> DataFrame:
+    """(key, piece): corners around which all directions are inside some polygon, as pieces without length."""
+    n = f"{float(per_degree)!r}d"
+    shapes = polygons.where(F.col(rings).isNotNull())
+    corners = shapes.select(F.explode(F.flatten(rings)).alias("p")).select("p.x", "p.y").distinct().selectExpr(
+        "x", "y", f"cast(floor(x * {n}) as int) as _x", f"cast(floor(y * {n}) as int) as _y")
+    touches = geo.on_border("array(e)", "x", "y")
+    met = placed.select(key, "e", "_x", "_y").join(corners, ["_x", "_y"]).where(touches).select("x", "y", key).distinct().join(
+        shapes.select(key, geo.polygon_edges(rings).alias("_all")), key)
     here = "(e.x2 - e.x1) * (y - e.y1) = (e.y2 - e.y1) * (x - e.x1) and y between least(e.y1, e.y2) and greatest(e.y1, e.y2) and x between least(e.x1, e.x2) and greatest(e.x1, e.x2)"
     away = lambda i: f"case when e.x{i} <> x or e.y{i} <> y then array(atan2(e.y{i} - y, e.x{i} - x)) else array() end"
     seen = met.withColumn("_here", F.expr(f"filter(_all, e -> {here})")).withColumn("_rest", F.expr(f"filter(_all, e -> not ({here}))"))
@@ -82,7 +85,8 @@ def closed_corners(met: DataFrame, polygons: DataFrame, key: str, rings: str) ->
     return closed.selectExpr(key, "named_struct('x1', x, 'y1', y, 'x2', x, 'y2', y) as piece")
 
 
-def inner_borders(polygons: DataFrame, met: DataFrame, key: str, rings: str, per_degree: int) -> DataFrame:
+def inner_borders(polygons: DataFrame, key: str, rings: str, per_degree: int) -> DataFrame:
     """(key, _inner): what of a polygon's border is inside the union of all polygons, as far as it is on a border of each."""
-    pieces = shared_pieces(polygons, key, rings, per_degree).unionByName(closed_corners(met, polygons, key, rings))
+    placed = _placed(polygons, key, rings, per_degree)
+    pieces = shared_pieces(placed, key).unionByName(closed_corners(placed, polygons, key, rings, per_degree))
     return pieces.groupBy(key).agg(F.collect_list("piece").alias("_inner"))

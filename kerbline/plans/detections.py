@@ -15,9 +15,9 @@ MOVED_METRES = 200.0
 TIMELINE_SLICE = "hour"
 
 
-def snapshot(detections: DataFrame) -> DataFrame:
-    """Latest detection per vehicle; the higher sample id where two share the time."""
-    return latest(detections, "bike_id", "last_time_imported", "sample_id")
+def snapshot(detections: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Latest detection per vehicle; the higher sample id where two share the time. `rows` may hold more than `detections`."""
+    return latest(detections, "bike_id", "last_time_imported", "sample_id", rows)
 
 
 def all_positions(positions: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def positions_in_municipality(positions: DataFrame, areas: DataFrame, gm_code: s
 def latest_positions(detections: DataFrame, areas: DataFrame, gm_code: str) -> DataFrame:
     """Latest detection per vehicle among those inside the municipality."""
     inside = _inside_municipality(detections, areas, gm_code)
-    return snapshot(inside).select("bike_id", "last_time_imported", "lat", "lon")
+    return snapshot(inside, detections).select("bike_id", "last_time_imported", "lat", "lon")
 
 
 def movements(detections: DataFrame, threshold: float = MOVED_METRES) -> DataFrame:

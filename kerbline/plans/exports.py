@@ -12,6 +12,7 @@ from kerbline.operators.lookup import lookup_join
 from kerbline.operators.spatial import build_grid, either_in_any_polygon, in_any_polygon
 from kerbline.plans.access import AccessTables, Scope, decide_export, scope_of
 from kerbline.plans.trips import END, START
+from kerbline.session import shared_dir
 from kerbline.sources.sinks import append, export_by_date
 
 
@@ -19,11 +20,19 @@ def _by_operator(facts: DataFrame, scope: Scope) -> DataFrame:
     return facts if scope.operators is None else lookup_join(facts, scope.operators, "system_id", "left_semi")
 
 
+def _area(zones: DataFrame) -> DataFrame:
+    """The zones of a scope, worked out once: covering them by cells looks at them several times."""
+    path = shared_dir(zones.sparkSession, "scope-zones")
+    shapes = zones.select("zone_id", "rings")
+    shapes.write.parquet(path)
+    return zones.sparkSession.read.schema(shapes.schema).parquet(path)
+
+
 def visible_trips(trips: DataFrame, scope: Scope, f: Filter) -> DataFrame:
     """Trips of the period within the scope, all columns."""
     found = _by_operator(prune_days(trips, *f.period()).where(f.contained_in_period()), scope)
     if scope.zones is not None:
-        found = either_in_any_polygon(found, build_grid(scope.zones, union=True), START, END)
+        found = either_in_any_polygon(found, build_grid(_area(scope.zones), union=True), START, END)
     return found.select(*trips.columns)
 
 
@@ -31,7 +40,7 @@ def visible_park_events(events: DataFrame, scope: Scope, f: Filter) -> DataFrame
     """Park events that start in the period within the scope, all columns."""
     found = _by_operator(prune_days(events, *f.period()).where(f.in_period("start_time")), scope)
     if scope.zones is not None:
-        found = in_any_polygon(found, build_grid(scope.zones, union=True))
+        found = in_any_polygon(found, build_grid(_area(scope.zones), union=True))
     return found.select(*events.columns)
 
 

@@ -8,6 +8,7 @@ from kerbline.filters import Filter, keep
 from kerbline.functions import geometry as geo
 from kerbline.operators.lookup import lookup_join
 from kerbline.operators.spatial import build_grid, containing_polygons, first_polygon
+from kerbline.session import shared_dir
 
 ZONE_COLUMNS = ("zone_id", "name", "owner", "municipality", "zone_type")
 CUSTOM, MUNICIPALITY = "custom", "municipality"
@@ -151,6 +152,9 @@ def create_zones(zones: DataFrame, requests: DataFrame) -> tuple[DataFrame, Data
     `requests` has `request_id, name, municipality, rings`. The caller appends the new zones to the table.
     """
     checked = requests.join(check_zone_requests(requests, zones), "request_id", "left")
+    path = shared_dir(zones.sparkSession, "checked-requests")  # numbering looks at the rows several times
+    checked.write.parquet(path)
+    checked = zones.sparkSession.read.schema(checked.schema).parquet(path)
     valid = F.coalesce("is_valid", F.lit(False))
     last = zones.agg(F.max("zone_id")).first()[0] or 0
     numbered = number_rows(checked.where(valid), "request_id", "zone_id", last)
