@@ -163,11 +163,22 @@ def park_events_through_day_index(t: Fixtures) -> DataFrame:
         "park_event_id", "system_id", "bike_id", "start_time", "end_time")
 
 
+_HISTORIES: dict[tuple[str, str], str] = {}
+
+
+def _history(t: Fixtures) -> str:
+    """The folder of the stored history, written once for an application and a folder of tables."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _HISTORIES:
+        path = shared_dir(t.spark, "park-history")
+        store_intervals(t.table("park_events"), path)
+        _HISTORIES[key] = path
+    return _HISTORIES[key]
+
+
 def _routed(t: Fixtures, f: Filter) -> DataFrame:
     """The stored history for an instant long before NOW; the current table holds what is still parked only."""
-    path = shared_dir(t.spark, "park-history")
-    store_intervals(t.table("park_events"), path)
-    history = load_intervals(t.spark, path, SCHEMAS["park_events"])
+    history = load_intervals(t.spark, _history(t), SCHEMAS["park_events"])
     return park.source_at(t.table("park_events").where(F.col("end_time").isNull()), history, f, NOW)
 
 
@@ -628,10 +639,11 @@ def acl_filtered_trips(t: Fixtures) -> DataFrame:
 
 @query
 def raw_export_of_user(t: Fixtures) -> DataFrame:
-    """Rights, log entry and both tables; an export of everything went to the same folder before. Both, read back."""
+    """Rights, log entry and both tables; an export of other days and all zones went to the same folder before. Both, read back."""
     folder, audit = shared_dir(t.spark, "raw-export"), shared_dir(t.spark, "raw-audit")
-    sinks.export_by_date(t.table("trips"), f"{folder}/trips")
-    sinks.export_by_date(t.table("park_events"), f"{folder}/park_events")
+    earlier = F.col("start_time").between(F.lit("1997-12-01").cast("timestamp_ntz"), F.lit("1998-01-31").cast("timestamp_ntz"))
+    for name in ("trips", "park_events"):
+        sinks.export_by_date(t.table(name).where(earlier), f"{folder}/{name}")
     paths = exports.raw_export(t.table("trips"), t.table("park_events"), _access(t), EXPORT_USER, _filter(PERIOD), folder, audit,
                                "/raw_data", NOW)
     if t.spark.read.parquet(audit).count() != 1:
