@@ -25,6 +25,9 @@ MUNICIPALITY_REFUSED = "User is not allowed to access this municipality."
 RAW_DATA_REFUSED = "This user is not admin and doesn't have raw data rights."
 UNKNOWN_USER = "Unknown user."
 
+# Rows by lists of sources are broadcast up to this number; such a list can be as long as there are organisations.
+SOURCE_ROWS = 50_000
+
 
 @dataclass(frozen=True)
 class AccessTables:
@@ -53,22 +56,43 @@ def _owned(tables: AccessTables) -> DataFrame:
     return municipalities.unionByName(exploded("operator", "data_owner_of_operators"))
 
 
-def effective_grants(tables: AccessTables) -> DataFrame:
-    """(user_id, kind, item): what the own organisation owns, and what owners granted to it or to the user."""
+def _sources(tables: AccessTables) -> DataFrame:
+    """(user_id, sources): one row per user; the own organisations, and the owners that granted to the user (`direct`), sorted.
+
+    The number of organisations bounds a list. Users with the same sources see the same.
+    """
+    def source(direct: bool, organisation: str) -> Column:
+        return F.struct(F.lit(direct).alias("direct"), F.col(organisation).alias("organisation_id")).alias("source")
+
+    own = tables.users.select("user_id", source(False, "organisation_id"))
+    directly = tables.grants.where(F.col("granted_user").isNotNull()).select(
+        F.col("granted_user").alias("user_id"), source(True, "owner_organisation_id"))
+    lists = own.unionByName(directly).groupBy("user_id").agg(F.sort_array(F.collect_set("source")).alias("sources"))
+    # Whoever has no account has no organisation, not even an unknown one; sorted, it would come first.
+    return lists.where(~F.element_at("sources", 1)["direct"])
+
+
+def _granted(tables: AccessTables, sources: DataFrame) -> DataFrame:
+    """(sources, kind, item): what the users with these sources see, once for all of them."""
     items = _owned(tables)
     own = tables.organisations.select("organisation_id", F.col("organisation_id").alias("owner_organisation_id"))
     to_organisation = tables.grants.where(F.col("granted_organisation_id").isNotNull()).select(
         F.col("granted_organisation_id").alias("organisation_id"), "owner_organisation_id")
-    to_user = (tables.grants.where(F.col("granted_user").isNotNull())
-               .select(F.col("granted_user").alias("user_id"), "owner_organisation_id").distinct())
-    # Per organisation first: far fewer rows than per user.
-    per_organisation = (spread_join(own.unionByName(to_organisation).distinct(), items, "owner_organisation_id")
-                        .select("organisation_id", "kind", "item").distinct())
-    through_organisation = spread_join(tables.users.select("user_id", "organisation_id"), per_organisation,
-                                       "organisation_id").select("user_id", "kind", "item")
-    directly = (spread_join(to_user, items, "owner_organisation_id")
-                .join(tables.users.select("user_id"), "user_id", "left_semi").select("user_id", "kind", "item"))
-    return through_organisation.unionByName(directly).distinct()
+    through_organisation = (spread_join(own.unionByName(to_organisation).distinct(), items, "owner_organisation_id")
+                            .select(F.lit(False).alias("direct"), "organisation_id", "kind", "item").distinct())
+    directly = items.select(F.lit(True).alias("direct"), F.col("owner_organisation_id").alias("organisation_id"), "kind", "item")
+    lists = sources.select("sources").distinct().select("sources", F.inline("sources"))
+    return lookup_join(lists, through_organisation.unionByName(directly), ["direct", "organisation_id"]).select(
+        "sources", "kind", "item").distinct()
+
+
+def effective_grants(tables: AccessTables) -> DataFrame:
+    """(user_id, kind, item): what the own organisation owns, and what owners granted to it or to the user.
+
+    Items are made distinct per list of sources. Users, far more than such lists, meet them at the end only.
+    """
+    sources = _sources(tables)
+    return lookup_join(sources, _granted(tables, sources), "sources", max_rows=SOURCE_ROWS).select("user_id", "kind", "item")
 
 
 def _of_kind(tables: AccessTables, kind: str, name: str) -> DataFrame:
@@ -107,10 +131,12 @@ def user_grants(tables: AccessTables) -> DataFrame:
     def items(kind: str) -> Column:
         return F.collect_list(F.when(F.col("kind") == kind, F.col("item")))
 
-    lists = effective_grants(tables).groupBy("user_id").agg(
+    sources = _sources(tables)
+    lists = _granted(tables, sources).groupBy("sources").agg(
         items("municipality").alias("municipalities"), items("operator").alias("granted_operators"))
     nothing = F.array().cast("array<string>")
-    return tables.known_users().join(lists, "user_id", "left").select(
+    known = tables.known_users().join(sources, "user_id", "left")
+    return lookup_join(known, lists, "sources", "left", max_rows=SOURCE_ROWS).select(
         "user_id", (F.col("type_of_organisation") == ADMIN).alias("is_admin"),
         raw_data_right(F.col("type_of_organisation"), F.col("privileges")).alias("may_export"),
         F.coalesce("municipalities", nothing).alias("municipalities"),

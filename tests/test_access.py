@@ -136,3 +136,29 @@ def test_raw_export_checks_logs_and_writes(spark, tables):
             export(user, **f)
     (row,) = spark.read.parquet(audit).collect()
     assert row["username"] == "city" and row["raw_api_call"] == "/raw_data?x=1"
+
+
+def test_items_are_made_distinct_before_users_meet_them(tables):
+    """A task must not hold every item of every user: the distinct rows are by list of sources."""
+    for df in (access.effective_operators(tables), access.effective_municipalities(tables), access.user_grants(tables)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        by = [line for line in plan.splitlines() if "Aggregate [" in line and "user_id" in line]
+        assert by and not any("item" in line for line in by)
+
+
+def test_grants_of_repeated_users_and_missing_keys(spark, tables):
+    """A user in two organisations sees both; unknown organisations and owners grant nothing; users without a name stay."""
+    users = spark.createDataFrame([("a", 2, []), ("a", 2, []), ("a", 3, []), (None, 3, []), ("lost", None, []), ("c", 9, [])],
+                                  SCHEMAS["user_account"])
+    organisations = spark.createDataFrame([
+        (2, "MUNICIPALITY", ["GM1", "GM1"], ["op_a"]), (2, "OTHER", [], ["op_b"]), (3, "OPERATOR", [], ["op_a", None]),
+        (None, "OPERATOR", ["GM1"], ["op_z"])], SCHEMAS["organisation"])
+    grants = spark.createDataFrame([(2, None, "lost"), (None, None, "c"), (None, 9, None), (3, None, "nobody"), (2, None, "a"), (3, 9, "c")],
+                                   SCHEMAS["view_data_access"])
+    odd = access.AccessTables(users, organisations, grants, tables.zones)
+    rows = [tuple(r) for r in access.effective_operators(odd).collect()]
+    both = [(u, o) for u in ("a", None, "c") for o in ("op_a", None)]
+    assert sorted(rows, key=repr) == sorted([*both, ("a", "op_b"), ("lost", "op_a"), ("lost", "op_b")], key=repr)
+    assert sorted(tuple(r)[:2] for r in access.effective_municipalities(odd).collect()) == [("a", "GM1"), ("lost", "GM1")]
+    lists = {(r["user_id"], tuple(sorted(r["granted_operators"]))) for r in access.user_grants(odd).collect()}
+    assert lists == {("a", ("op_a", "op_b")), (None, ())}  # the others have no known organisation
