@@ -162,3 +162,19 @@ def test_grants_of_repeated_users_and_missing_keys(spark, tables):
     assert sorted(tuple(r)[:2] for r in access.effective_municipalities(odd).collect()) == [("a", "GM1"), ("lost", "GM1")]
     lists = {(r["user_id"], tuple(sorted(r["granted_operators"]))) for r in access.user_grants(odd).collect()}
     assert lists == {("a", ("op_a", "op_b")), (None, ())}  # the others have no known organisation
+
+
+def test_raw_export_decides_for_its_user_only(spark, tables, monkeypatch):
+    """The grants of all others are not worked out for one request."""
+    class Decided(Exception):
+        pass
+
+    def decide(request, given):
+        assert [tuple(r) for r in given.users.select("user_id").collect()] == [("city",)] and request.first()["user_id"] == "city"
+        raise Decided
+
+    monkeypatch.setattr(exports, "decide_export", decide)
+    trips = spark.createDataFrame([], SCHEMAS["trips"])
+    with pytest.raises(Decided):
+        exports.raw_export(trips, trips, tables, "city", Filter.from_args({"start_time": "1998-01-01", "end_time": "1998-01-02"}),
+                           "", "", "/raw_data", datetime(2024, 1, 1))
