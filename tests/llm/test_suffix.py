@@ -97,3 +97,28 @@ def test_text_of_whole_characters_and_empty_tables(make_docs):
     assert sorted(r["kept"] for r in rows) == ["b1", "c2"]  # è and é share their first byte: the match cuts them in two
     assert suffix.remove_repeats(make_docs([])).collect() == []
     assert [r["n_removed"] for r in suffix.remove_repeats(make_docs([(1, None), (2, "short")])).collect()] == [0, 0]
+
+
+def test_contexts_of_a_large_batch_come_in_slices():
+    """A worker passes places on every SLICE_ROWS documents, however large the batch that Spark hands over."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    n, common = 2 * suffix.SLICE_ROWS + 7, bytes(rng.randrange(256) for _ in range(450))
+    texts = [bytes(rng.randrange(256) for _ in range(20)) + common for _ in range(n)]
+    anchors = []
+    for t in texts:
+        places, _ = suffix.doc_anchors(suffix._hashes(t), 400)
+        anchors.append([{"place": p, "n": n} for p in places.tolist() if p >= 20])
+    kind = pa.list_(pa.struct([("place", pa.int32()), ("n", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array(texts, pa.binary()), pa.array(anchors, kind)],
+                                       names=["_ka", "_kb", "_bytes", "anchors"])
+    out = [b.to_pylist() for b in suffix._find_contexts(400)(iter([batch.slice(0, 3), batch.slice(3)]))]
+    places = [{r["_ka"] for r in b} for b in out if b[0]["kind"] == "place"]
+    assert len(places) == 4 and max(map(len, places)) <= suffix.SLICE_ROWS and set().union(*places) == set(range(n))
+    contexts = [r for b in out for r in b if r["kind"] == "context"]
+    assert sum(r["weight"] for r in contexts) == sum(len(b) for b in out) - len(contexts)
+    assert {r["digest"] for r in contexts} == {r["digest"] for b in out for r in b if r["kind"] == "place"}
+    whole = [r for r in contexts if common in r["bytes"]]
+    assert all(texts[r["_ka"]][r["start"]:].startswith(c["bytes"]) for c in whole for b in out for r in b
+               if r["kind"] == "place" and r["digest"] == c["digest"])
