@@ -87,6 +87,19 @@ def test_edits_are_located_and_measured():
     assert merkle.likeness(one, other) < 0.05
 
 
+def test_likeness_adds_no_counters_paragraph_by_paragraph(monkeypatch):
+    """Texts of many paragraphs that all differ: leaves are counted once, not again for every paragraph."""
+    def refused(*_):
+        raise AssertionError("a sum of counters")
+
+    monkeypatch.setattr(merkle.Counter, "__add__", refused)
+    one, two = ("\n".join(f"{word} {i} tail{i % 5}." for i in range(50)) for word in ("left", "right"))
+    prints = [merkle.fingerprint(t) for t in (one, two)]
+    leaves = [[leaf for p in merkle.tree(t) for leaf in p[1]] for t in (one, two)]
+    common = sum(int(x[6:], 16) * min(leaves[0].count(x), leaves[1].count(x)) for x in set(leaves[0]))
+    assert common and merkle.likeness(*prints) == 2 * common / sum(int(x[6:], 16) for side in leaves for x in side)
+
+
 @pytest.mark.parametrize("n", [4, 8, 12, 20, 40, 80, 150, 300, 1000])
 def test_likeness_is_near_the_common_share(n):
     """Texts of one sentence without a stop: three quarters stay, whatever the length."""
